@@ -70,3 +70,32 @@ def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iter
 
 def has_letter(column: str) -> F.Column:
     return F.coalesce(F.col(column).rlike(r"\p{L}"), F.lit(False))
+
+
+def filesystem(path: str):
+    """The file system of a path of the shared folder, from any executor, and the path within it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return (fs.FileSystem.from_uri(path)) if "://" in path else (fs.LocalFileSystem(), path)
+
+
+def write_file(folder: str, name: str, data: Iterator[bytes]) -> str:
+    """Write a file of the shared folder whole: under a name of this attempt's own, so that retries don't meet."""
+    system, place = filesystem(folder)
+    system.create_dir(place, recursive=True)
+    path = f"{name}-{uuid.uuid4().hex}"
+    with system.open_output_stream(f"{place}/{path}") as out:
+        for part in data:
+            out.write(part)
+    return f"{folder}/{path}"
+
+
+def spread_by(df: DataFrame, column: str, n: int) -> DataFrame:
+    """One partition for each value 0..n-1 of ``column``."""
+    return df.repartitionById(n, F.col(column).cast("int"))
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -2,18 +2,41 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gridloom.llm._common import table
+from gridloom.llm.exact_dedup import exact_duplicates
 from gridloom.llm.near_dedup import near_duplicates
+from gridloom.llm.sstable import read_shards, write_shards
+from gridloom.llm.token_counts import token_counts
+
+
+def op2_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_shards(manifest)
 
 
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
 
 
-QUERIES = {f.__name__: f for f in (op3_minhash_near_dedup,)}
-ORACLE_SQL: dict[str, str] = {}
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_sstable_shards, op3_minhash_near_dedup, op5_token_counts, op6_exact_dedup)}
+
+ORACLE_SQL = {
+    "op6_exact_dedup": """
+SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+  doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents""",
+}
 
 
 def queries() -> dict:
