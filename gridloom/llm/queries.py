@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.llm import bpe, licenses, mixing
 from gridloom.llm._common import table
 from gridloom.llm.exact_dedup import exact_duplicates
 from gridloom.llm.near_dedup import near_duplicates
@@ -21,6 +22,10 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=4, threshold=0.8)
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -29,13 +34,42 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_sstable_shards, op3_minhash_near_dedup, op5_token_counts, op6_exact_dedup)}
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
+
+
+def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+QUERIES = {f.__name__: f for f in (op2_sstable_shards, op3_minhash_near_dedup, op4_license_scan, op5_token_counts, op6_exact_dedup, op8_source_mixing, op9_byte_bpe)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
   doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents""",
+    "op8_source_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source IS NULL AS absent, coalesce(source, '') AS name, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
+), totals AS (
+  SELECT absent, name, sum(size)::BIGINT AS source_size FROM sized GROUP BY ALL
+), weighed AS (
+  SELECT *, list_value(3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE)[((row_number() OVER (ORDER BY absent, name) - 1) % 3 + 1)::BIGINT] AS weight, source_size * 2.0::DOUBLE AS top FROM totals
+), levels AS (
+  SELECT *, ((sum(source_size) OVER ())::DOUBLE * 1.5::DOUBLE - coalesce(sum(top) OVER (ORDER BY top / weight, absent, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(weight) OVER (ORDER BY top / weight, absent, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed
+), targets AS (
+  SELECT absent, name, source_size, least(top, weight * max(level) OVER ()) AS target,
+    CAST('0x' || substr(md5('0:' || CASE WHEN absent THEN '' ELSE '=' END || name), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS start FROM levels
+), ranked AS (
+  SELECT s.*, t.source_size, t.target, t.start, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
+    (row_number() OVER (PARTITION BY s.absent, s.name ORDER BY s.size, md5(s.doc_id::VARCHAR), s.doc_id))::DOUBLE AS place
+  FROM sized s JOIN targets t ON s.absent = t.absent AND s.name = t.name
+), taken AS (
+  SELECT *, (floor(start + place * rate) - floor(start + (place - 1) * rate))::BIGINT AS copies FROM ranked
+)
+SELECT doc_id, size, source_size, target, copies, copies * size AS taken FROM taken""",
 }
 
 
