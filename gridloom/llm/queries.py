@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, licenses, mixing
+from gridloom.llm import bpe, embedding_dedup, langid, licenses, mixing
 from gridloom.llm._common import table
 from gridloom.llm.exact_dedup import exact_duplicates
 from gridloom.llm.near_dedup import near_duplicates
@@ -13,6 +14,18 @@ from gridloom.llm.sstable import read_shards, write_shards
 from gridloom.llm.token_counts import token_counts
 
 
+def remainder(column: str, divisor: int) -> F.Column:
+    """CRC-32 of an identifier's decimal text, modulo a small number: the folds of the contracts."""
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % divisor, F.lit(-1))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 4) == 2
+    found = langid.predict(docs, langid.fit(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op2_sstable_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_shards(manifest)
@@ -34,6 +47,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_itq_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "copies", "taken")
 
@@ -42,7 +59,7 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op2_sstable_shards, op3_minhash_near_dedup, op4_license_scan, op5_token_counts, op6_exact_dedup, op8_source_mixing, op9_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sstable_shards, op3_minhash_near_dedup, op4_license_scan, op5_token_counts, op6_exact_dedup, op7_itq_embedding_dedup, op8_source_mixing, op9_byte_bpe)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
