@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import bpe, embedding_dedup, langid, licenses, mixing
+from gridloom.llm import bpe, embedding_dedup, langid, language_model, licenses, mixing
 from gridloom.llm._common import table
 from gridloom.llm.exact_dedup import exact_duplicates
 from gridloom.llm.near_dedup import near_duplicates
@@ -59,7 +59,14 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_sstable_shards, op3_minhash_near_dedup, op4_license_scan, op5_token_counts, op6_exact_dedup, op7_itq_embedding_dedup, op8_source_mixing, op9_byte_bpe)}
+def op10_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = remainder("doc_id", 5) == 1
+    found = language_model.score(docs, language_model.fit(docs.filter(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_sstable_shards, op3_minhash_near_dedup, op4_license_scan, op5_token_counts, op6_exact_dedup, op7_itq_embedding_dedup, op8_source_mixing, op9_byte_bpe, op10_maxent_lm)}
 
 ORACLE_SQL = {
     "op6_exact_dedup": """
