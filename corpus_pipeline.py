@@ -1,23 +1,51 @@
-"""A corpus pipeline: stages that each apply one operator of gridloom.llm to all the stage before kept."""
+"""A corpus pipeline: stages that each apply one operator of gridloom.llm to all that the stage before kept."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.llm import bpe, exact_dedup, langid, mixing, near_dedup
 from gridloom.llm._common import fresh_dir
-from gridloom.llm.near_dedup import near_duplicates
 
+VOCABULARY = "byte_bpe_50k.tiktoken"
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no language can be told, as they have no letter, go."""
+    model = langid.fit(docs)
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    rejected = langid.predict(keyed, model, id_col="_row").filter(F.col("lang_pred") == langid.UNKNOWN).select("_row").distinct()
+    return keyed.join(rejected, "_row", "left_anti").select(docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents with equal texts, the one with the largest doc_id stays."""
+    kept = exact_dedup.exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
+    own = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (own == F.col("sha")), "left_semi")
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more)."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their source takes them: twice, once, or not at all."""
+    return mixing.resample(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids and decoded bytes of every document that was taken, digested: one row for each time it was taken."""
+    return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
 
-STAGES = [("near_dedup", near_dedup)]
+STAGES = [("language_id", language_id), ("exact_dedup", exact), ("near_dedup", near), ("mixing", mix), ("byte_bpe", encode)]
 
-#: Language identification, MinHash and byte-pair encoding have no SQL form.
+#: Language identification, MinHash and byte-pair encoding have no SQL form; tests compare with a brute-force version.
 ORACLE_SQL = None
 
 
