@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.queries import tpch
+from gridloom.queries import relational, sinks, tpch
 
-MODULES = (tpch,)
+MODULES = (tpch, relational, sinks)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
