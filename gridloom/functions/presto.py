@@ -218,7 +218,7 @@ def _unsigned(digits: int, bits: int, kind: str) -> Callable[[Column], Column]:
 
     def build(b: Column) -> Column:
         value = F.conv(F.hex(b), 16, 10).cast("decimal(20,0)")
-        signed = F.when(value >= 2 ** (bits - 1), value - lit(str(2**bits)).cast("decimal(20,0)")).otherwise(value).cast(kind)
+        signed = F.when(value >= lit(str(2 ** (bits - 1))).cast("decimal(20,0)"), value - lit(str(2**bits)).cast("decimal(20,0)")).otherwise(value).cast(kind)
         return F.when(F.octet_length(b) != digits // 2, F.raise_error(lit(f"expects {digits // 2} bytes")).cast(kind)).otherwise(signed)
 
     return build
@@ -302,7 +302,7 @@ _zone = lambda part, at, n: lambda x: F.substring(F.date_format(x, "xxx"), at, n
 _iso = lambda x: (F.weekday(x) + 1).cast("bigint")
 _big = lambda f: lambda x: f(x).cast("bigint")
 _define(
-    to_unixtime=lambda x: F.unix_micros(x) / 1e6, from_unixtime=lambda x: F.timestamp_seconds(x), date=F.to_date, timezone_hour=_zone("hour", 1, 3), timezone_minute=_zone("minute", 5, 2), year=_big(F.year),
+    to_unixtime=lambda x: F.unix_micros(x.cast("timestamp")) / 1e6, from_unixtime=F.timestamp_seconds, date=F.to_date, timezone_hour=_zone("hour", 1, 3), timezone_minute=_zone("minute", 5, 2), year=_big(F.year),
     week=_big(F.weekofyear), week_of_year=_big(F.weekofyear), quarter=_big(F.quarter), month=_big(F.month), day=_big(F.dayofmonth), day_of_month=_big(F.dayofmonth), dow=_iso, day_of_week=_iso,
     doy=_big(F.dayofyear), day_of_year=_big(F.dayofyear), yow=lambda x: F.extract(lit("YEAROFWEEK"), x).cast("bigint"), year_of_week=lambda x: F.extract(lit("YEAROFWEEK"), x).cast("bigint"), hour=_big(F.hour),
     last_day_of_month=F.last_day, minute=_big(F.minute), second=_big(F.second), millisecond=lambda x: F.date_format(x, "SSS").cast("bigint"), date_trunc=lambda unit, x: F.date_trunc(unit, x),

@@ -15,7 +15,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_erf = np.frompyfunc(math.erf, 1, 1)
+
+
+def _erf(x: np.ndarray) -> np.ndarray:
+    return np.array([math.erf(v) for v in np.ravel(x)]).reshape(np.shape(x))
+
+
 _lgamma = np.frompyfunc(math.lgamma, 1, 1)
 
 
@@ -120,7 +125,7 @@ def _inverse_beta(a: np.ndarray, b: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-normal_cdf = _numeric(lambda mean, sd, x: 0.5 * (1 + _erf((x - mean) / (sd * math.sqrt(2))).astype(float)))
+normal_cdf = _numeric(lambda mean, sd, x: 0.5 * (1 + _erf((x - mean) / (sd * math.sqrt(2)))))
 beta_cdf = _numeric(incomplete_beta)
 inverse_beta_cdf = _numeric(_inverse_beta)
 binomial_cdf = _numeric(lambda n, p, k: np.where(k < 0, 0.0, np.where(k >= n, 1.0, incomplete_beta(np.maximum(n - np.floor(k), 1e-9), np.floor(k) + 1, 1 - p))))

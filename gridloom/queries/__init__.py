@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.queries import relational, sinks, tpch
+from gridloom.queries import aggregates, functions, relational, sinks, tpch, windows
 
-MODULES = (tpch, relational, sinks)
+MODULES = (tpch, relational, sinks, windows, aggregates, functions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
