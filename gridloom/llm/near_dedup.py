@@ -6,18 +6,20 @@ values folded into a parity bitmap. The number of set bits in the XOR of two ske
 most precisely near 1, for a few bytes a class. Candidates share a band; a sketch that puts a pair far below the
 threshold drops it; the full sets confirm all others.
 
-Classes in one bucket are not paired with each other. In each round every bucket has one leader (the class with most
-links so far) and its other classes are checked against that; a bucket whose classes are all in one component is done.
-Buckets that hold several components after ``rounds`` rounds have their pairs of different components compared, less
-those that the triangle inequality of the Jaccard distance to the last leader rules out.
+Classes in one bucket are not paired with each other. In each round every bucket has one leader and its other classes
+are checked against that; a bucket whose classes are all in one component is done. The first leader is any class; later
+ones are those with the smallest share of shingles that no other open class has, the centre of a group of edited copies.
+Buckets that hold several components after ``rounds`` rounds are compared in blocks, less the classes ruled out by the
+shingles that they have alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial, reduce
+from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from gridloom.llm._common import checkpoint, map_arrow, slices
 from gridloom.llm.graph import components
 
 BANDS, ROWS, SKETCH_BITS = 24, 4, 256
+#: Classes of a bucket in one chunk of the last, blockwise comparison.
+CHUNK = 256
 U64 = np.uint64
 
 
@@ -138,19 +142,21 @@ def near_duplicates(
         return both.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("common")).select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
 
     near_enough = F.col("similarity") >= threshold - 1e-12
-    links, placed, open_, checked = None, None, buckets, []
+    links, placed, open_, alone = None, None, buckets, None
     for turn in range(rounds + 1):
         if links is not None:
             placed = checkpoint(components(links.select("a", "b")))
-            degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-            rated = placed.join(degree, "node", "left")
-            open_ = buckets.join(rated, "node", "left").withColumns({"component": F.coalesce("component", "node"), "degree": F.coalesce("degree", F.lit(0))})
-            several = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.max(F.struct("degree", "node")).alias("top")).filter("x != y").select("key", F.col("top.node").alias("lead"))
+            open_ = buckets.join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            several = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
             open_ = checkpoint(open_.join(several, "key"))
             if open_.isEmpty():
                 break
+            if alone is None:
+                alone = checkpoint(_alone(open_, sets, marks))
+            lead = open_.join(alone, "node").groupBy("key").agg(F.min(F.struct(F.col("alone") / F.col("n"), "node")).alias("least")).select("key", F.col("least.node").alias("lead"))
+            open_ = open_.join(lead, "key")
         if turn == rounds:
-            links = links.union(checkpoint(confirmed(_rest(open_, reduce(DataFrame.union, checked), marks, threshold, most)).filter(near_enough)))
+            links = links.union(checkpoint(_rest(open_, alone, sets, threshold)))
             placed = components(links.select("a", "b"))
             break
         if turn == 0:
@@ -159,8 +165,7 @@ def near_duplicates(
         else:
             leads = placed.select(F.col("node").alias("lead"), F.col("component").alias("of"))
             pairs = open_.join(leads, "lead", "left").filter("component != coalesce(of, lead)").select(F.col("lead").alias("a"), F.col("node").alias("b"))
-        checked.append(checkpoint(confirmed(pairs)))
-        fresh = checked[-1].filter(near_enough)
+        fresh = checkpoint(confirmed(pairs).filter(near_enough))
         links = fresh if links is None else links.union(fresh)
     of_class = classes.select("node", "low").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lowest = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
@@ -171,16 +176,49 @@ def near_duplicates(
     )
 
 
-def _rest(open_: DataFrame, checked: DataFrame, marks: DataFrame, threshold: float, most: float) -> DataFrame:
-    """Pairs of different components in one bucket that the distance to the bucket's last leader doesn't rule out.
+def _alone(open_: DataFrame, sets: DataFrame, marks: DataFrame) -> DataFrame:
+    """(node, n, alone) of the open classes: how many shingles of a class no other open class has."""
+    own = open_.select("node").distinct()
+    each = sets.join(own, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    once = each.groupBy("shingle").agg(F.count("*").alias("classes"), F.min("node").alias("node")).filter("classes = 1").groupBy("node").agg(F.count("*").alias("alone"))
+    return marks.join(own, "node", "left_semi").join(once, "node", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
 
-    Distances are 1 - similarity, a metric: d(x, y) >= |d(x, lead) - d(y, lead)|. A class whose distance to the leader
-    was not worked out, as sizes or sketches dropped it, is compared with all.
+
+def _rest(open_: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links between different components of one bucket.
+
+    Shingles that a class has alone can't be common to a pair: classes with too many of their own are left out. The
+    others of a bucket are dealt to chunks of some ``CHUNK`` classes, and every two chunks meet in one task, which
+    compares their sets and gives links only. A set travels once for each chunk of its bucket, not once a pair.
     """
-    known = checked.groupBy(F.col("a").alias("lead"), F.col("b").alias("node")).agg((1 - F.first("similarity")).alias("d"))
-    side = open_.join(known, ["lead", "node"], "left").join(marks, "node").select("key", "node", "component", "n", "sketch", "d")
-    x, y = (side.select("key", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "component", "n", "sketch", "d"))) for s in "xy")
-    apart = F.coalesce(F.abs(F.col("d_x") - F.col("d_y")) <= 1 - threshold + 1e-9, F.lit(True))
-    sized = F.least("n_x", "n_y") >= F.greatest("n_x", "n_y") * (threshold - 1e-9)
-    pairs = x.join(y, "key").filter((F.col("node_x") < F.col("node_y")) & (F.col("component_x") != F.col("component_y")) & sized & apart & (_far("sketch_x", "sketch_y") <= most))
-    return pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"))
+    able = classes.filter(F.col("n") - F.col("alone") >= F.col("n") * (threshold - 1e-9)).select("node", "n")
+    side = open_.select("key", "node", "component").join(able, "node")
+    sizes = side.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key", F.ceil(F.col("m") / CHUNK).alias("chunks"))
+    dealt = side.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    met = met.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "component", "n").join(sets, "node")
+    return met.groupBy("key", "i", "j").applyInPandas(partial(_compare, threshold=threshold), "a binary, b binary, similarity double")
+
+
+def _compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """Links of the rows, one for each class and other component."""
+    none = pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})
+    _, component = np.unique([bytes(c) for c in rows["component"]], return_inverse=True)
+    if component.max(initial=0) == 0:
+        return none
+    sets, n = rows["shingles"].tolist(), rows["n"].to_numpy()
+    owner = np.repeat(np.arange(len(rows)), [len(x) for x in sets])
+    _, kind, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[kind] > 1
+    owner, (_, kind) = owner[shared], np.unique(kind[shared], return_inverse=True)
+    common = np.zeros((len(rows), len(rows)), np.float32)
+    for start in range(0, int(kind.max(initial=-1)) + 1, 4096):
+        own = (kind >= start) & (kind < start + 4096)
+        has = np.zeros((len(rows), 4096), np.float32)
+        has[owner[own], kind[own] - start] = 1
+        common += has @ has.T
+    similarity = common.astype(float) / (n[:, None] + n[None, :] - common)
+    x, y = np.nonzero((similarity >= threshold - 1e-12) & (component[:, None] != component[None, :]))
+    _, first = np.unique(x * (component.max() + 1) + component[y], return_index=True)
+    nodes = [bytes(b) for b in rows["node"]]
+    return pd.DataFrame({"a": [nodes[i] for i in x[first]], "b": [nodes[i] for i in y[first]], "similarity": similarity[x[first], y[first]]}) if len(first) else none
