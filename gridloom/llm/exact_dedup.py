@@ -188,5 +188,6 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.select("id", (F.xxhash64("text") if key is None else key).alias("key"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     files = build_index(df, id_col, text_col, capacity, owners, key)
     files = files.select("path").repartition(max(1, shuffle_partitions(df.sparkSession)))
+    # The planner takes entries for as small as the list of files; they are as many as distinct texts, so no broadcast.
     entries = map_arrow(files, _entries, "key long, text_sha256 string, keep_id long, group_size long")
-    return rows.join(entries, ["key", "text_sha256"]).select(F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+    return rows.join(entries.hint("merge"), ["key", "text_sha256"]).select(F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
