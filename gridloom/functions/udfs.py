@@ -21,7 +21,8 @@ def _erf(x: np.ndarray) -> np.ndarray:
     return np.array([math.erf(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
-_lgamma = np.frompyfunc(math.lgamma, 1, 1)
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
 def _floats(*series: pd.Series) -> list[np.ndarray]:
@@ -70,7 +71,7 @@ def incomplete_beta(a: np.ndarray, b: np.ndarray, x: np.ndarray) -> np.ndarray:
     inside = np.clip(x, 1e-300, 1 - 1e-16)
     flip = inside > (a + 1) / (a + b + 2)
     p, q, y = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - inside, inside)
-    front = np.exp((_lgamma(p + q) - _lgamma(p) - _lgamma(q)).astype(float) + p * np.log(y) + q * np.log1p(-y)) / p
+    front = np.exp(_lgamma(p + q) - _lgamma(p) - _lgamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
     tiny = 1e-300
     c, d = np.ones_like(y), 1 - (p + q) * y / (p + 1)
     d = 1 / np.where(np.abs(d) < tiny, tiny, d)
@@ -92,7 +93,7 @@ def incomplete_gamma(a: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The regularised lower incomplete gamma function: a series below a + 1, a continued fraction above."""
     a, x = np.broadcast_arrays(np.asarray(a, float), np.asarray(x, float))
     safe = np.maximum(x, 1e-300)
-    front = np.exp(-safe + a * np.log(safe) - _lgamma(a).astype(float))
+    front = np.exp(-safe + a * np.log(safe) - _lgamma(a))
     term, total = 1 / a, 1 / a
     for n in range(1, 1000):
         term = term * safe / (a + n)
