@@ -189,10 +189,9 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
 
     def parts() -> Iterator[bytes]:
         nonlocal shard
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             shard = batch.column("shard")[0].as_py()
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
-            split = [[t] if whole else t.split() for t in texts]
+            split = [[(t or "").encode()] for t in batch.column("text").to_pylist()] if whole else wordpieces.split(batch.column("text"))
             known = words.know([w for s in split for w in s])
             for identifier, s in zip(batch.column("id").to_pylist(), split, strict=True):
                 ids = np.frombuffer(b"".join(map(known.__getitem__, s)), "<u4")

@@ -57,7 +57,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 def buffer_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all texts and the offsets of each; null is empty."""
     if column.null_count:
-        column = pc.fill_null(column, "")
+        column = pc.fill_null(column, pa.scalar("").cast(column.type))
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, offsets, data = column.buffers()

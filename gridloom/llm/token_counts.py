@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import partial
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,23 +37,23 @@ def segments(text: bytes, most: int = SEGMENT) -> Iterator[bytes]:
 def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     memo, safe = wordpieces.memo(path, "length"), wordpieces.splits_at_space(path)
     for batch in slices(batches, "text", BATCH):
-        texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64())
         counts = []
-        if safe and sum(map(len, texts)) <= 2 * BATCH:
-            split = [t.split() for t in texts]
+        if safe and pc.sum(sizes).as_py() <= 2 * BATCH:
+            split = wordpieces.split(batch.column("text"))
             known = memo.know([w for s in split for w in s])
             counts = [sum(map(known.__getitem__, s)) for s in split]
         elif safe:  # one text alone, longer than a batch
-            for text in texts:
+            for text in batch.column("text").to_pylist():
                 total = 0
-                for part in segments(text):
-                    part = part.split()
-                    total += sum(map(memo.know(part).__getitem__, part))
+                for part in segments(text.encode()):
+                    (words,) = wordpieces.split(pa.array([part], pa.binary()))
+                    total += sum(map(memo.know(words).__getitem__, words))
                 counts.append(total)
         else:
             encode = memo.encode
-            counts = [len(ids) for ids in encode([t.decode() for t in texts])]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
+            counts = [len(ids) for ids in encode([t or "" for t in batch.column("text").to_pylist()])]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
 
 def token_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 2048) -> DataFrame:

@@ -11,26 +11,75 @@ import os
 from collections.abc import Callable, Iterable
 
 import numpy as np
+import pyarrow as pa
+
+from gridloom.llm import textnum
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
 #: Words remembered in each of two generations, and bytes of the longest word remembered.
-REMEMBERED, LONGEST = 300_000, 64
-#: Bytes of words given to the library in one call.
-CALL_BYTES = 1 << 18
+REMEMBERED, LONGEST = 500_000, 64
+#: Words of letters joined into one text for the library, and bytes of texts given to it in one call.
+JOINED, CALL_BYTES = 200, 1 << 18
+Encode = Callable[[list[str]], Iterable[list[int]]]
+
+_TAIL = b".,;:!?"
+_mark = np.zeros(256, bool)
+_mark[list(_TAIL)] = True
+#: Second bytes of the two-byte letters that begin with C3: all but the signs for times and divided by.
+_second = np.zeros(256, bool)
+_second[0x80:0xC0] = True
+_second[[0x97, 0xB7]] = False
+
+
+def split(column: pa.Array) -> list[list[bytes]]:
+    """For each text the words that may be encoded one by one; null is empty.
+
+    A text of Latin-1 characters without the opening of a special token is lowered (its ASCII letters; the vocabulary's
+    normaliser does so anyway, and no combining mark can follow one), and a mark that ends a word of letters is parted
+    from it, as the vocabulary's pre-tokeniser does. So fewer different words are met.
+    """
+    raw, offsets = textnum.buffer_of(column)
+    if not len(raw):
+        return [[] for _ in range(len(offsets) - 1)]
+    after = np.append(raw[1:], np.uint8(32))
+    odd = np.flatnonzero((raw >= 0xC4) | ((raw == 60) & (after == 124)))
+    plain = np.ones(len(offsets) - 1, bool)
+    plain[np.searchsorted(offsets, odd, side="right") - 1] = False
+    inside = np.repeat(plain, np.diff(offsets))
+    low = np.where(inside, textnum._lower[raw], raw)
+    ends = textnum._space[after]
+    ends[offsets[1:][np.diff(offsets) > 0] - 1] = True
+    at = np.flatnonzero(_mark[low] & ends & inside)
+    at = at[at > 0]
+    before = low[at - 1]
+    letter = ((before >= 97) & (before <= 122)) | (_second[before] & (low[np.maximum(at - 2, 0)] == 0xC3))
+    first = np.zeros(len(raw) + 1, bool)
+    first[offsets] = True
+    at = at[letter & ~first[at]]
+    data, cuts = np.insert(low, at, 32).tobytes(), (offsets + np.searchsorted(at, offsets)).tolist()
+    return [data[a:b].split() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
 class Memo:
-    """``value`` of the ids of words; the last ``REMEMBERED`` to twice as many words are looked up, not encoded."""
+    """A value of the packed ids of words that adds up when words are joined; the last ``REMEMBERED`` to twice as many words are looked up, not encoded.
+
+    A word that isn't known is parted from the punctuation at its end, if the rest is letters: the two are separate
+    pre-tokens. Words of letters are single pre-tokens, so many go to the library as one text, and their ids part at the
+    tokens that end a word. Those of lower-case Latin letters need no normalising: ``plain`` is the same model without it.
+    """
 
-    def __init__(self, encode: Callable[[list[str]], Iterable[list[int]]], value: Callable[[list[int]], object]):
-        self.encode, self.value = encode, value
+    def __init__(self, encode: Encode, plain: Encode | None, ends: np.ndarray | None, value: Callable[[bytes], object]):
+        self.encode, self.plain, self.ends, self.value = encode, plain, ends, value
         self.young: dict[bytes, object] = {}
         self.old: dict[bytes, object] = {}
+        self.long: list[bytes] = []
 
     def know(self, words: list[bytes]) -> dict[bytes, object]:
-        """A mapping that holds the value of every word of the list."""
+        """A mapping that holds the value of every word of the list, until the next call."""
+        for word in self.long:
+            self.young.pop(word, None)
         new = set(words)
         new.difference_update(self.young)
         if len(self.young) + len(new) > REMEMBERED:
@@ -40,36 +89,77 @@ class Memo:
         for word in back:
             self.young[word] = self.old[word]
         new -= back
-        missing, call, size = list(new), [], 0
-        for i, word in enumerate(missing):
-            call.append(word)
-            size += len(word)
-            if size >= CALL_BYTES or i + 1 == len(missing):
-                for w, ids in zip(call, self.encode([w.decode() for w in call]), strict=True):
-                    self.young[w] = self.value(ids)
+        self.young.update(self._values(new))
+        self.long = [w for w in new if len(w) > LONGEST]  # these are forgotten at the next call
+        return self.young
+
+    def _values(self, words: set[bytes]) -> dict[bytes, object]:
+        if self.ends is None:
+            return dict(zip(words, self._call(self.encode, [w.decode() for w in words]), strict=True))
+        latin, letters, others, found, parts = set(), set(), set(), {}, []
+        for word in words:
+            text, core = word.decode(), word
+            if not text.isalpha():
+                core = word.rstrip(_TAIL)
+                text = text[: len(core) - len(word)]
+                if len(core) == len(word) or not text.isalpha() or not text.lower().isalpha():
+                    others.add(word)
+                    continue
+                tail = word[len(core) :]
+                others.add(tail)
+                parts.append((word, core, tail))
+            (latin if text.islower() and (text.isascii() or max(text) < "\u0250") else letters).add(core)
+        for encode, kind in ((self.plain, latin), (self.encode, letters)):
+            kind = list(kind)
+            groups = [kind[i : i + JOINED] for i in range(0, len(kind), JOINED)]
+            for group, packed in zip(groups, self._call(encode, [b" ".join(g).decode() for g in groups], raw=True), strict=True):
+                stops = (4 * np.flatnonzero(self.ends[np.frombuffer(packed, "<u4")]) + 4).tolist()
+                if len(stops) == len(group):
+                    found.update(zip(group, (self.value(packed[a:b]) for a, b in zip([0, *stops[:-1]], stops, strict=True)), strict=True))
+                else:  # letters to us, but not to the vocabulary's pre-tokeniser
+                    others.update(group)
+        rest = list(others)
+        found.update(zip(rest, self._call(self.encode, [w.decode() for w in rest]), strict=True))
+        for word, core, tail in parts:
+            found[word] = found[core] + found[tail]
+        return found
+
+    def _call(self, encode: Encode, texts: list[str], raw: bool = False) -> Iterable:
+        call, size = [], 0
+        for i, text in enumerate(texts):
+            call.append(text)
+            size += len(text)
+            if size >= CALL_BYTES or i + 1 == len(texts):
+                for ids in encode(call):
+                    packed = np.asarray(ids, "<u4").tobytes()
+                    yield packed if raw else self.value(packed)
                 call, size = [], 0
-        known = self.young
-        if any(len(w) > LONGEST for w in missing):
-            known = dict(known)
-            for w in missing:
-                if len(w) > LONGEST:
-                    del self.young[w]
-        return known
 
 
-def library(path: str) -> Callable[[list[str]], Iterable[list[int]]]:
-    """The function that encodes texts with the library a vocabulary file is for, without special tokens added."""
+def library(path: str) -> tuple[Encode, Encode | None, np.ndarray | None]:
+    """The function that encodes texts with the library a vocabulary file is for, without special tokens added; one for lower-case Latin words; which ids end a word."""
     if path.endswith(".model"):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        return lambda texts: model.encode(texts, num_threads=1)
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return lambda texts: (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        return (lambda texts: model.encode(texts, num_threads=1)), None, None
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    def encoder(tokenizer: Tokenizer) -> Encode:
+        tokenizer.no_truncation()
+        tokenizer.no_padding()
+        return lambda texts: (e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    full = Tokenizer.from_file(path)
+    if not splits_at_space(path):
+        return encoder(full), None, None
+    vocabulary = full.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    plain = Tokenizer.from_file(path)
+    plain.normalizer = normalizers.Sequence([])
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return encoder(full), encoder(plain), ends
 
 
 _memos: dict[tuple, Memo] = {}
@@ -78,7 +168,7 @@ _memos: dict[tuple, Memo] = {}
 def memo(path: str, kind: str) -> Memo:
     """This process's memo of a vocabulary file; kind: 'length', or 'packed' for little-endian unsigned 32-bit ids."""
     if (path, kind) not in _memos:
-        _memos[path, kind] = Memo(library(path), len if kind == "length" else lambda ids: np.asarray(ids, "<u4").tobytes())
+        _memos[path, kind] = Memo(*library(path), (lambda ids: len(ids) // 4) if kind == "length" else (lambda ids: ids))
     return _memos[path, kind]
 
 
