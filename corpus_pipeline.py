@@ -12,25 +12,33 @@ from gridloom.llm._common import fresh_dir
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that the documents don't have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told, as they have no letter, go."""
     model = langid.fit(docs)
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    rejected = langid.predict(keyed, model, id_col="_row").filter(F.col("lang_pred") == langid.UNKNOWN).select("_row").distinct()
-    return keyed.join(rejected, "_row", "left_anti").select(docs.columns)
+    row = free_name(docs, "row")
+    keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
+    rejected = langid.predict(keyed, model, id_col=row).filter(F.col("lang_pred") == langid.UNKNOWN).select(row).distinct()
+    return keyed.join(rejected, row, "left_anti").select(docs.columns)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, the one with the largest doc_id stays."""
     kept = exact_dedup.exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
-    own = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")) & (own == F.col("sha")), "left_semi")
+    own = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]) & (own == kept["sha"]), "left_semi")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group stays (five-word shingles, similarity 0.8 or more)."""
     kept = near_dedup.near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["id"]), "left_semi")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
