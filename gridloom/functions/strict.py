@@ -1,6 +1,6 @@
 """The strict dialect: checked arithmetic, nulls in give null out, out-of-range look-ups give null.
 
-``presto("split_part", F.col("s"), F.lit("-"), F.lit(1))`` builds a Column. Builders take Columns, and where the
+``strict("split_part", F.col("s"), F.lit("-"), F.lit(1))`` builds a Column. Builders take Columns, and where the
 dialect asks for constants (formats, lambdas) plain Python values. Everything stays in the JVM except functions of
 ``gridloom.functions.udfs``.
 """
@@ -15,20 +15,27 @@ from pyspark.sql import functions as F
 from gridloom.functions import udfs
 
 lit, col = F.lit, F.col
-PRESTO: dict[str, Callable[..., Column]] = {}
+STRICT: dict[str, Callable[..., Column]] = {}
 
 
-def presto(name: str, *arguments) -> Column:
+def strict(name: str, *arguments) -> Column:
     """The Column of a function of this dialect; the name isn't case-sensitive."""
     try:
-        build = PRESTO[name.lower()]
+        build = STRICT[name.lower()]
     except KeyError:
         raise ValueError(f"no such function: {name}") from None
     return build(*arguments)
 
 
 def _define(**functions: Callable[..., Column]) -> None:
-    PRESTO.update({name.rstrip("_"): f for name, f in functions.items()})
+    STRICT.update({name.rstrip("_"): f for name, f in functions.items()})
+
+
+def _fold(f: Callable[[Column, Column], Column], columns: tuple[Column, ...]) -> Column:
+    out = columns[0]
+    for c in columns[1:]:
+        out = f(out, c)
+    return out
 
 
 def _any_null(*columns: Column) -> Column:
@@ -38,11 +45,6 @@ def _any_null(*columns: Column) -> Column:
     return found
 
 
-def _strict(f: Callable[..., Column]) -> Callable[..., Column]:
-    """Null if any argument is."""
-    return lambda *a: F.when(~_any_null(*a), f(*a))
-
-
 def _extreme(f: Callable[..., Column]) -> Callable[..., Column]:
     def build(*a: Column) -> Column:
         nan = lit(False)
@@ -105,6 +107,32 @@ _define(
 )
 
 
+def _switch(*arguments: Column) -> Column:
+    """switch(condition, value, condition, value, ..., default): the value of the first condition that is true."""
+    pairs, rest = arguments[: len(arguments) // 2 * 2], arguments[len(arguments) // 2 * 2 :]
+    out = F.when(pairs[0], pairs[1])
+    for condition, value in zip(pairs[2::2], pairs[3::2], strict=True):
+        out = out.when(condition, value)
+    return out.otherwise(rest[0]) if rest else out
+
+
+#: What ``try`` turns a failing call into: the form of each function that gives null instead of an error.
+_TRY = {"plus": F.try_add, "minus": F.try_subtract, "multiply": F.try_multiply, "divide": F.try_divide, "mod": F.try_mod, "subscript": F.try_element_at, "element_at": F.try_element_at, "json_parse": F.try_parse_json, "parse_datetime": F.try_to_timestamp}
+
+
+def _try(name: str, *arguments: Column) -> Column:
+    """``strict("try", "divide", a, b)``: null where the call would be an error."""
+    if name not in _TRY:
+        raise ValueError(f"no form of {name} gives null instead of an error")
+    return _TRY[name](*arguments)
+
+
+_define(
+    and_=lambda *a: _fold(lambda x, y: x & y, a), or_=lambda *a: _fold(lambda x, y: x | y, a), if_=lambda c, a, b=None: F.when(c, a) if b is None else F.when(c, a).otherwise(b), switch=_switch, coalesce=F.coalesce,
+    cast=lambda x, kind: x.cast(kind), try_cast=lambda x, kind: x.try_cast(kind), try_=_try,
+)
+
+
 # Arrays -------------------------------------------------------------------------------------------------------------
 def _sum(a: Column, start: Column) -> Column:
     return F.aggregate(a, start, lambda s, x: s + F.coalesce(x, start))

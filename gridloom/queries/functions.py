@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog import tables
-from gridloom.functions import presto as p
+from gridloom.functions import strict as p
 from gridloom.functions import spark_call as s
 
 QUERIES = {}

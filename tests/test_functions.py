@@ -9,8 +9,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from gridloom.functions import AGGREGATES, PRESTO, SPARK, agg, presto, spark_call
-from gridloom.functions.presto import java_pattern
+from gridloom.functions import AGGREGATES, STRICT, SPARK, agg, strict, spark_call
+from gridloom.functions.strict import java_pattern
 from gridloom.functions.udfs import incomplete_beta, incomplete_gamma, spooky_hash
 
 lit = F.lit
@@ -23,18 +23,19 @@ def value(spark, column):
 @pytest.mark.parametrize(
     ("made", "want"),
     [
-        (lambda: presto("greatest", lit(1), lit(None)), None), (lambda: presto("least", lit(3), lit(2)), 2), (lambda: presto("split_part", lit("a-b"), lit("-"), lit(3)), None), (lambda: presto("split_part", lit("a.b"), lit("."), lit(2)), "b"),
-        (lambda: presto("substr", lit("abc"), lit(0)), ""), (lambda: presto("substr", lit("abc"), lit(-2), lit(1)), "b"), (lambda: presto("substr", lit("abc"), lit(-9)), ""), (lambda: presto("substr", lit("abc"), lit(9)), ""),
-        (lambda: presto("array_min", F.array(lit(1), lit(None))), None), (lambda: presto("element_at", F.array(lit(1)), lit(5)), None), (lambda: presto("array_sum", F.array(lit(1), lit(None), lit(4))), 5),
-        (lambda: presto("array_average", F.array(lit(1.0), lit(None), lit(4.0))), 2.5), (lambda: presto("find_first_index", F.array(lit(1)), lambda x: x > 3), None), (lambda: presto("strpos", lit("abcabc"), lit("c"), lit(2)), 6),
-        (lambda: presto("strpos", lit("abc"), lit("z"), lit(1)), 0), (lambda: presto("strrpos", lit("abcb"), lit("b")), 4), (lambda: presto("strrpos", lit("abc"), lit("z")), 0), (lambda: presto("regexp_extract", lit("abc"), "z"), None),
-        (lambda: presto("from_big_endian_64", F.unhex(lit("FFFFFFFFFFFFFFFF"))), -1), (lambda: presto("from_big_endian_32", F.unhex(lit("7FFFFFFF"))), 2**31 - 1), (lambda: presto("bit_count", lit(-1).cast("long"), lit(8)), 8),
-        (lambda: presto("json_extract_scalar", lit('{"a":[1]}'), "$.a"), None), (lambda: presto("json_extract_scalar", lit("not json"), "$.a"), None), (lambda: presto("json_array_contains", lit('["x","y"]'), lit("y")), True),
-        (lambda: presto("date_diff", "month", lit("2024-01-31").cast("timestamp"), lit("2024-02-29").cast("timestamp")), 1), (lambda: presto("url_extract_port", lit("http://h:81/x")), 81), (lambda: presto("url_extract_host", lit("nothing")), ""),
-        (lambda: presto("truncate", lit(-1.79), lit(1)), -1.7), (lambda: presto("to_base", lit(255), 2), "11111111"), (lambda: presto("codepoint", lit("A")), 65), (lambda: presto("map_concat", F.create_map(lit(1), lit("a")), F.create_map(lit(1), lit("b"))), {1: "b"}),
-        (lambda: presto("binomial_cdf", lit(5), lit(0.5), lit(5)), 1.0), (lambda: presto("cauchy_cdf", lit(0.0), lit(1.0), lit(0.0)), 0.5), (lambda: spark_call("divide", lit(1), lit(0)), None), (lambda: spark_call("greatest", lit(1), lit(None)), 1),
-        (lambda: presto("array_position", F.array(lit(1), lit(2), lit(1)), lit(1), lit(2)), 3), (lambda: presto("ngrams", F.array(lit("a")), lit(3)), [["a"]]), (lambda: presto("array_normalize", F.array(lit(0.0)), lit(2.0)), [0.0]),
-        (lambda: presto("combinations", F.array(lit(1), lit(2), lit(3)), 2), [[1, 2], [1, 3], [2, 3]]), (lambda: presto("replace", lit("aXbX"), lit("X")), "ab"), (lambda: presto("wilson_interval_upper", lit(4), lit(10), lit(0.0)), 0.4),
+        (lambda: strict("greatest", lit(1), lit(None)), None), (lambda: strict("least", lit(3), lit(2)), 2), (lambda: strict("split_part", lit("a-b"), lit("-"), lit(3)), None), (lambda: strict("split_part", lit("a.b"), lit("."), lit(2)), "b"),
+        (lambda: strict("substr", lit("abc"), lit(0)), ""), (lambda: strict("substr", lit("abc"), lit(-2), lit(1)), "b"), (lambda: strict("substr", lit("abc"), lit(-9)), ""), (lambda: strict("substr", lit("abc"), lit(9)), ""),
+        (lambda: strict("array_min", F.array(lit(1), lit(None))), None), (lambda: strict("element_at", F.array(lit(1)), lit(5)), None), (lambda: strict("array_sum", F.array(lit(1), lit(None), lit(4))), 5),
+        (lambda: strict("array_average", F.array(lit(1.0), lit(None), lit(4.0))), 2.5), (lambda: strict("find_first_index", F.array(lit(1)), lambda x: x > 3), None), (lambda: strict("strpos", lit("abcabc"), lit("c"), lit(2)), 6),
+        (lambda: strict("strpos", lit("abc"), lit("z"), lit(1)), 0), (lambda: strict("strrpos", lit("abcb"), lit("b")), 4), (lambda: strict("strrpos", lit("abc"), lit("z")), 0), (lambda: strict("regexp_extract", lit("abc"), "z"), None),
+        (lambda: strict("from_big_endian_64", F.unhex(lit("FFFFFFFFFFFFFFFF"))), -1), (lambda: strict("from_big_endian_32", F.unhex(lit("7FFFFFFF"))), 2**31 - 1), (lambda: strict("bit_count", lit(-1).cast("long"), lit(8)), 8),
+        (lambda: strict("json_extract_scalar", lit('{"a":[1]}'), "$.a"), None), (lambda: strict("json_extract_scalar", lit("not json"), "$.a"), None), (lambda: strict("json_array_contains", lit('["x","y"]'), lit("y")), True),
+        (lambda: strict("date_diff", "month", lit("2024-01-31").cast("timestamp"), lit("2024-02-29").cast("timestamp")), 1), (lambda: strict("url_extract_port", lit("http://h:81/x")), 81), (lambda: strict("url_extract_host", lit("nothing")), ""),
+        (lambda: strict("truncate", lit(-1.79), lit(1)), -1.7), (lambda: strict("to_base", lit(255), 2), "11111111"), (lambda: strict("codepoint", lit("A")), 65), (lambda: strict("map_concat", F.create_map(lit(1), lit("a")), F.create_map(lit(1), lit("b"))), {1: "b"}),
+        (lambda: strict("binomial_cdf", lit(5), lit(0.5), lit(5)), 1.0), (lambda: strict("cauchy_cdf", lit(0.0), lit(1.0), lit(0.0)), 0.5), (lambda: spark_call("divide", lit(1), lit(0)), None), (lambda: spark_call("greatest", lit(1), lit(None)), 1),
+        (lambda: strict("try", "divide", lit(1), lit(0)), None), (lambda: strict("switch", lit(False), lit(1), lit(True), lit(2), lit(3)), 2), (lambda: strict("if", lit(False), lit(1)), None), (lambda: strict("and", lit(True), lit(None).cast("boolean"), lit(False)), False),
+        (lambda: strict("or", lit(None).cast("boolean"), lit(True)), True), (lambda: strict("try_cast", lit("x"), "int"), None), (lambda: strict("array_position", F.array(lit(1), lit(2), lit(1)), lit(1), lit(2)), 3), (lambda: strict("ngrams", F.array(lit("a")), lit(3)), [["a"]]), (lambda: strict("array_normalize", F.array(lit(0.0)), lit(2.0)), [0.0]),
+        (lambda: strict("combinations", F.array(lit(1), lit(2), lit(3)), 2), [[1, 2], [1, 3], [2, 3]]), (lambda: strict("replace", lit("aXbX"), lit("X")), "ab"), (lambda: strict("wilson_interval_upper", lit(4), lit(10), lit(0.0)), 0.4),
     ],
 )
 def test_value(spark, made, want):
@@ -42,26 +43,26 @@ def test_value(spark, made, want):
     assert got == pytest.approx(want) if isinstance(want, float) else got == want
 
 
-@pytest.mark.parametrize("made", [lambda: presto("greatest", lit(float("nan")), lit(1.0)), lambda: presto("codepoint", lit("ab")), lambda: presto("from_big_endian_32", F.unhex(lit("00"))), lambda: presto("subscript", F.array(lit(1)), lit(5)), lambda: presto("plus", lit(2**31 - 1), lit(1))])
+@pytest.mark.parametrize("made", [lambda: strict("greatest", lit(float("nan")), lit(1.0)), lambda: strict("codepoint", lit("ab")), lambda: strict("from_big_endian_32", F.unhex(lit("00"))), lambda: strict("subscript", F.array(lit(1)), lit(5)), lambda: strict("plus", lit(2**31 - 1), lit(1))])
 def test_error(spark, made):
     with pytest.raises(Exception):  # noqa: B017
         value(spark, made())
 
 
 def test_unknown_names():
-    for call in (presto, spark_call, agg):
+    for call in (strict, spark_call, agg):
         with pytest.raises(ValueError):
             call("no_such_function")
-    assert len(PRESTO) > 230 and len(SPARK) > 130 and len(AGGREGATES) >= 50
+    assert len(STRICT) > 230 and len(SPARK) > 130 and len(AGGREGATES) >= 50
 
 
 def test_hashes(spark):
     data = b"some bytes"
-    assert bytes(value(spark, presto("xxhash64", lit(data)))) == xxhash.xxh64(data, seed=0).digest()
+    assert bytes(value(spark, strict("xxhash64", lit(data)))) == xxhash.xxh64(data, seed=0).digest()
     for name in ("md5", "sha1", "sha256", "sha512"):
-        assert bytes(value(spark, presto(f"hmac_{name}", lit(data), lit(b"k")))) == hmac.new(b"k", data, name).digest()
-        assert bytes(value(spark, presto(name, lit(data)))) == hashlib.new(name, data).digest()
-    assert bytes(value(spark, presto("to_ieee754_64", lit(1.5)))) == struct.pack(">d", 1.5)
+        assert bytes(value(spark, strict(f"hmac_{name}", lit(data), lit(b"k")))) == hmac.new(b"k", data, name).digest()
+        assert bytes(value(spark, strict(name, lit(data)))) == hashlib.new(name, data).digest()
+    assert bytes(value(spark, strict("to_ieee754_64", lit(1.5)))) == struct.pack(">d", 1.5)
     assert spooky_hash(b"") == 0x232706FC6BF50919
     assert len({spooky_hash(bytes(n)) for n in range(0, 400, 7)}) == 58
 
@@ -74,8 +75,8 @@ def test_distributions():
 
 
 def test_normal_cdf(spark):
-    assert value(spark, presto("normal_cdf", lit(0.0), lit(1.0), lit(1.96))) == pytest.approx(0.9750021)
-    assert value(spark, presto("normal_cdf", lit(None).cast("double"), lit(1.0), lit(1.96))) is None
+    assert value(spark, strict("normal_cdf", lit(0.0), lit(1.0), lit(1.96))) == pytest.approx(0.9750021)
+    assert value(spark, strict("normal_cdf", lit(None).cast("double"), lit(1.0), lit(1.96))) is None
 
 
 def test_date_patterns():
@@ -88,3 +89,20 @@ def test_aggregates_of_few_rows(spark):
     df = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, None)], "x double, s string")
     row = df.agg(agg("kurtosis", F.col("x")).alias("k"), agg("skewness", F.col("x")).alias("w"), agg("array_agg", F.col("x")).alias("l"), agg("entropy", F.col("x") * 0).alias("e"), agg("max", F.col("x"), 5).alias("t")).first()
     assert row.k is None and row.w is None and len(row.l) == 3 and row.e == 0 and row.t == [3.0, 1.0]
+
+
+def test_user_functions(spark):
+    import pandas as pd
+
+    from gridloom.functions import registry
+
+    def total(x: pd.Series) -> float:
+        return float(x.sum())
+
+    def twice(x: pd.Series) -> pd.Series:
+        return x * 2
+
+    registry.register(spark, "own_total", registry.aggregate("double")(total))
+    registry.register(spark, "own_twice", registry.vector("long")(twice))
+    registry.register(spark, "own_next", registry.scalar("long")(lambda x: x + 1))
+    assert spark.sql("SELECT own_total(own_next(own_twice(id))) AS v FROM range(4)").first().v == 16
