@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,8 +18,6 @@ def _folder(spark) -> str:
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
         return tempfile.mkdtemp(prefix="gridloom-")
-    import uuid
-
     return f"{shared.rstrip('/')}/written-{uuid.uuid4().hex}"
 
 
@@ -59,9 +58,9 @@ QUERIES["sink_append"] = (appended, "SELECT 2 * count(*) AS rows FROM nation")
 
 def bucketed(spark, sf_dir):
     """Two tables in the same buckets join without a shuffle."""
-    t = tables(spark, sf_dir)
-    orders = sources.write_bucketed(t.orders.select("o_orderkey", "o_custkey"), "gridloom_orders", 8, ["o_custkey"], ["o_custkey"])
-    customers = sources.write_bucketed(t.customer.select("c_custkey", "c_mktsegment"), "gridloom_customers", 8, ["c_custkey"], ["c_custkey"])
+    t, folder, name = tables(spark, sf_dir), _folder(spark), uuid.uuid4().hex
+    orders = sources.write_bucketed(t.orders.select("o_orderkey", "o_custkey"), f"orders_{name}", 8, ["o_custkey"], ["o_custkey"], path=f"{folder}/orders")
+    customers = sources.write_bucketed(t.customer.select("c_custkey", "c_mktsegment"), f"customers_{name}", 8, ["c_custkey"], ["c_custkey"], path=f"{folder}/customers")
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 

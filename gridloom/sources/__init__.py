@@ -62,9 +62,14 @@ def write(
     return scan(df.sparkSession, path, kind=kind).agg(F.count("*").alias("rows"))
 
 
-def write_bucketed(df: DataFrame, table: str, buckets: int, keys: Sequence[str], sort: Sequence[str] = (), mode: str = "overwrite") -> DataFrame:
-    """Write a table whose rows are dealt to buckets by a hash of keys, so that later joins on the keys need no shuffle."""
+def write_bucketed(df: DataFrame, table: str, buckets: int, keys: Sequence[str], sort: Sequence[str] = (), mode: str = "overwrite", path: str | None = None) -> DataFrame:
+    """Write a table whose rows are dealt to buckets by a hash of keys, so that later joins on the keys need no shuffle.
+
+    Its files go to ``path``, or the warehouse.
+    """
     writer = df.write.mode(mode).format("parquet").bucketBy(buckets, *keys)
+    if path:
+        writer = writer.option("path", path)
     (writer.sortBy(*sort) if sort else writer).saveAsTable(table)
     return df.sparkSession.table(table)
 
