@@ -49,21 +49,22 @@ def _with_base(rows: DataFrame, base: tuple[tuple[str, str], ...]) -> DataFrame:
 
 
 def _matches(rows: DataFrame, rules: list[license_rules.Rule]) -> DataFrame:
-    """One row for each match of each rule in each text that the keywords let through, with its segment; texts without any have one row."""
+    """One row for each match of each rule in each text that the keywords let through, with its segment, and one without a match for every text."""
     struct = lambda r: F.struct(F.lit(r.number).alias("number"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.confidence).alias("confidence"))
     gate = F.lit(False)
     for word in license_rules.GATE:
         gate = gate | F.contains("norm", F.lit(word))
-    able = F.when(gate, F.filter(F.array(*map(struct, rules)), lambda r: F.contains(F.col("norm"), r["keyword"])))
-    tried = rows.withColumn("rule", F.explode_outer(able)).withColumn("found", F.regexp_extract_all("norm", F.col("rule.pattern"), F.lit(0)))
-    tried = tried.filter((F.size("found") > 0) | (F.coalesce(F.col("rule.number"), F.lit(0)) == 0))  # the first rule's row stands for a text without matches
+    stand = F.array(struct(license_rules.Rule(-1, 0, "", "", "(?!)", 0.0)))  # matches nothing; its row stands for the text
+    able = F.when(gate, F.concat(stand, F.filter(F.array(*map(struct, rules)), lambda r: F.contains(F.col("norm"), r["keyword"])))).otherwise(stand)
+    tried = rows.withColumn("rule", F.explode(able)).withColumn("found", F.regexp_extract_all("norm", F.col("rule.pattern"), F.lit(0)))
+    tried = tried.filter((F.size("found") > 0) | (F.col("rule.number") < 0))
     between = F.transform(F.split("norm", F.col("rule.pattern"), -1), F.length)
     spans = F.arrays_zip(F.slice(between, F.lit(1), F.size("found")).alias("gap"), F.transform("found", F.length).alias("long"))
     return tried.select("row", "id", "n_words", "n_base", "first_word", "last_word", "base", "rule", F.posexplode_outer(F.when(F.size("found") > 0, spans)).alias("pos", "span"))
 
 
 def detections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[license_rules.Rule] | None = None) -> DataFrame:
-    """Every detection with its interval in the normalised text and whether it is kept; texts without one have a row with a null label.
+    """Every detection with its interval in the normalised text and whether it is kept; every text also has a row with a null label.
 
     Columns: row, id, n_words, n_base, first_word, last_word, base, label, priority, start, end, confidence, kept.
     """
@@ -72,11 +73,11 @@ def detections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     spans = Window.partitionBy("row", "rule.number").orderBy("pos")
     ended = made.withColumn("end", F.sum(F.col("span.gap") + F.col("span.long")).over(spans)).withColumn("start", F.col("end") - F.col("span.long"))
     order = Window.partitionBy("row").orderBy(F.col("start"), F.col("end").desc(), F.col("rule.priority").desc(), F.col("rule.number"), F.col("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    levels = sorted({r.priority for r in rules})
+    levels = sorted({r.priority for r in rules} | {0})
     covered = ended
     for level in levels:
         covered = covered.withColumn(f"to_{level}", F.max(F.when(F.col("rule.priority") >= level, F.col("end"))).over(order))
-    reach = F.coalesce(*(F.when(F.col("rule.priority") == level, F.col(f"to_{level}")) for level in levels)) if levels else F.lit(None)
+    reach = F.coalesce(*(F.when(F.col("rule.priority") == level, F.col(f"to_{level}")) for level in levels))
     kept = F.col("end").isNotNull() & F.coalesce(reach < F.col("end"), F.lit(True))
     out = covered.withColumn("kept", kept)
     real = F.col("end").isNotNull()
