@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textnum
-from gridloom.llm._common import checkpoint, map_arrow, slices, spread_by
+from gridloom.llm._common import checkpoint, map_arrow, shuffle_partitions, slices, spread_by
 
 U64 = np.uint64
 #: Frequent classes, words in each, classes by word ending; rows of each feature's table (a power of two), words whose counts travel.
@@ -213,7 +213,7 @@ def _train(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, weights: list[np
             yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([some.astype(np.int32).tobytes()]), pa.array([used[table][at][some].tobytes()]), pa.array([change.tobytes()])], ["block", "rows", "used", "change"])
 
 
-def _blocks(weights: list[np.ndarray], size: int = 512) -> list[tuple[int, slice]]:
+def _blocks(weights: list[np.ndarray], size: int = 128) -> list[tuple[int, slice]]:
     return [(i, slice(a, a + size)) for i, w in enumerate(weights) for a in range(0, len(w), size)]
 
 
@@ -239,10 +239,11 @@ def fit(train: DataFrame, text_col: str = "text", rounds: int = 2) -> Model:
     tasks = max(train.sparkSession.sparkContext.defaultParallelism, -(-lexicon.tokens // (TOKENS_A_TASK * rounds)))
     blocks = _blocks(weights)
     shapes = [weights[i][at].shape for i, at in blocks]
+    owners = min(len(blocks), shuffle_partitions(train.sparkSession))
     for turn in range(rounds):
         own = rows.filter(F.pmod(F.xxhash64("text"), F.lit(rounds)) == turn).coalesce(tasks)
         made = map_arrow(own, partial(_train, lexicon=lexicon, weights=weights), "block int, rows binary, used binary, change binary")
-        means = map_arrow(spread_by(made, "block", len(blocks)), partial(_mean, shapes=shapes), "block int, change binary")
+        means = map_arrow(spread_by(made.withColumn("owner", F.col("block") % owners), "owner", owners).drop("owner"), partial(_mean, shapes=shapes), "block int, change binary")
         weights = [w.copy() for w in weights]
         for r in means.collect():  # the model's size, once
             table, at = blocks[r.block]
