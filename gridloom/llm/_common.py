@@ -37,8 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage with files in the shared folder, which outlive executors."""
+    """Cut lineage with files in the shared folder, which outlive executors.
+
+    Spark deletes the shuffle and checkpoint files of frames that are no longer used when the driver's garbage is
+    collected, which a driver with little to do may put off for long: so it is asked for here.
+    """
+    context = df.sparkSession.sparkContext
     shared_dir(df.sparkSession)
+    context._jvm.System.gc()
     return df.checkpoint(eager=True)
 
 

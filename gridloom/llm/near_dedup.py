@@ -119,8 +119,8 @@ def near_duplicates(
     classes = checkpoint(signed.filter("id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
 
     spread = classes.select("node", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
-    buckets = checkpoint(spread.join(shared, "key"))
+    shared = spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    buckets = checkpoint(spread.join(shared.withColumn("salts", F.ceil(F.col("members") / CHUNK)), "key"))
     active = buckets.select("node").distinct()
     wanted = classes.join(active, "node", "left_semi").select(F.col("low").alias("id")).distinct()
     sets = checkpoint(
@@ -131,14 +131,21 @@ def near_duplicates(
     most = sketch_distance(max(0.0, threshold - slack))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """(a, b, similarity) for distinct pairs that sizes and sketches don't rule out."""
+        """(a, b, similarity) of pairs that sizes and sketches don't rule out; the leaders are a.
+
+        A leader meets as many classes as its bucket has, so its sketch and set are laid out ``salts`` times, once for
+        each CHUNK of them, and its pairs are dealt among those.
+        """
+        pairs = checkpoint(pairs.groupBy("a", "b").agg(F.max("salts").alias("salts")).withColumn("salt", F.pmod(F.xxhash64("b"), "salts")))
+        heads = pairs.select("a", "salts").distinct()
+        spots = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
+        on = ["a", "salts", "salt"]
         near = (
-            pairs.distinct()
-            .join(marks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-            .join(marks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-            .filter(F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9)).filter(_far("sa", "sb") <= most).select("a", "b", "na", "nb")
+            pairs.join(marks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+            .join(heads.join(marks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").select("a", "salts", "na", "sa", spots), on)
+            .filter(F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9)).filter(_far("sa", "sb") <= most).select(*on, "b", "na", "nb")
         )
-        both = near.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b")
+        both = near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b").join(heads.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").select("a", "salts", "xa", spots), on)
         return both.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("common")).select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
 
     near_enough = F.col("similarity") >= threshold - 1e-12
@@ -146,7 +153,8 @@ def near_duplicates(
     for turn in range(rounds + 1):
         if links is not None:
             placed = checkpoint(components(links.select("a", "b")))
-            open_ = buckets.join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            # A bucket of two is done: its leader was compared with the other.
+            open_ = buckets.filter("members > 2").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
             several = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
             open_ = checkpoint(open_.join(several, "key"))
             if open_.isEmpty():
@@ -161,10 +169,10 @@ def near_duplicates(
             break
         if turn == 0:
             led = open_.join(open_.groupBy("key").agg(F.min("node").alias("lead")), "key")
-            pairs = led.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+            pairs = led.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), "salts")
         else:
             leads = placed.select(F.col("node").alias("lead"), F.col("component").alias("of"))
-            pairs = open_.join(leads, "lead", "left").filter("component != coalesce(of, lead)").select(F.col("lead").alias("a"), F.col("node").alias("b"))
+            pairs = open_.join(leads, "lead", "left").filter("component != coalesce(of, lead)").select(F.col("lead").alias("a"), F.col("node").alias("b"), "salts")
         fresh = checkpoint(confirmed(pairs).filter(near_enough))
         links = fresh if links is None else links.union(fresh)
     of_class = classes.select("node", "low").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
