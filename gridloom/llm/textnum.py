@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Bytes of text handled at once, so that the temporaries stay in cache; a longer text is handled alone and whole.
 BLOCK_BYTES = 1 << 20
+#: Bytes of a longer text that are hashed at once.
+SPAN_BYTES = 1 << 22
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _space = np.zeros(256, bool)
@@ -83,15 +85,20 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, by its content alone."""
-    if not len(starts):
-        return np.zeros(0, U64)
+    """A 64-bit hash of each span of bytes, by its content alone; spans are in order. Holds SPAN_BYTES at once, or one longer span."""
+    value, out, i = _byte_lowered if lower else _byte_value, np.empty(len(starts), U64), 0
     with np.errstate(over="ignore"):
-        powers, inverses = _power_tables(len(raw) + 1)
-        sums = np.empty(len(raw) + 1, U64)
-        sums[0] = 0
-        np.cumsum((_byte_lowered if lower else _byte_value)[raw] * powers[:-1], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * inverses[starts])
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + SPAN_BYTES, side="right")))
+            part = raw[starts[i] : ends[j - 1]]
+            powers, inverses = _power_tables(len(part) + 1)
+            sums = np.empty(len(part) + 1, U64)
+            sums[0] = 0
+            np.cumsum(value[part] * powers[:-1], out=sums[1:])
+            first, last = starts[i:j] - starts[i], ends[i:j] - starts[i]
+            out[i:j] = mix((sums[last] - sums[first]) * inverses[first])
+            i = j
+    return out
 
 
 def word_hashes(column: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
