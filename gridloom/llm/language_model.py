@@ -95,7 +95,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lexicon(counts: DataFrame) -> Lexicon:
     sums = {r.ending: (r.total, r.kinds) for r in counts.groupBy("ending").agg(F.sum("n").alias("total"), F.count("*").alias("kinds")).collect()}
-    top = counts.orderBy(F.desc("n"), "word").limit(LEXICON).toArrow()
+    # Few words are frequent: counts by power say from which on there are enough, so that no task sorts more than those.
+    level = F.floor(F.log2(F.col("n").cast("double")) * 8)
+    cut, enough = 0, 0
+    for r in sorted(counts.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), reverse=True):  # some 500 rows at most
+        cut, enough = r.level, enough + r.words
+        if enough >= LEXICON:
+            break
+    top = counts.filter(level >= cut).orderBy(F.desc("n"), "word").limit(LEXICON).toArrow()
     words, n, ending = top.column("word").to_numpy().view(U64), top.column("n").to_numpy(), top.column("ending").to_numpy()
     rank = np.argsort(words != END, kind="stable") if (words == END).any() else np.arange(len(words))  # the end token is always frequent
     frequent = rank[: BINS * WIDTH]
