@@ -1,13 +1,18 @@
 """Signature rules for licences, over texts reduced to lower-case words parted by single spaces.
 
-A family has a label, words that every one of its matches holds (the keyword), a pattern of its names, and a pattern
-of its short identifiers. Each family's names and identifiers are set into the same templates, from the most explicit
-notice to a bare mention; sentences that only one licence has are rules of their own. More explicit rules have higher
-priority. Patterns match whole words.
+A family has a label, a pattern of its names, and a pattern of its short identifiers. Each family's names and
+identifiers are set into the same templates, from the most explicit notice to a bare mention; sentences that only one
+licence has are rules of their own. More explicit rules have higher priority. Patterns match whole words.
+
+Keywords and gate are derived from the patterns: all texts that a pattern can match are written out (in ``phrases``),
+and words are chosen until each of these texts holds one of them.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable
+from functools import cache
 from typing import NamedTuple
 
 
@@ -15,65 +20,66 @@ class Rule(NamedTuple):
     number: int
     priority: int
     label: str
-    keyword: str
+    keywords: tuple[str, ...]  # every match, with the spaces around it, holds one of them
     pattern: str
     confidence: float
+    phrases: tuple[str, ...]  # every match, with the spaces around it, holds one of them
 
 
-#: label, keyword, names, identifiers
+#: label, names, identifiers
 FAMILIES = (
-    ("mit", "mit", "(?:mit|expat|x11)(?: style| open source)? licen[cs]e", "mit"),
-    ("mit-0", "mit", "mit no attribution(?: licen[cs]e)?", "mit 0"),
-    ("apache-2", "apache", "apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)?", "apache 2(?: 0)?"),
-    ("apache-1.1", "apache", "apache(?: software)? licen[cs]e(?: version| v)? ?1 1", "apache 1 1"),
-    ("apache-1.0", "apache", "apache(?: software)? licen[cs]e(?: version| v)? ?1 0", "apache 1 0"),
-    ("bsd-2-clause", "bsd", "(?:simplified bsd|freebsd|(?:2|two) clause bsd|bsd (?:2|two) clause) licen[cs]e", "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", "(?:(?:new|modified|revised) bsd|(?:3|three) clause bsd|bsd (?:3|three) clause) licen[cs]e", "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", "(?:original bsd|(?:4|four) clause bsd|bsd (?:4|four) clause) licen[cs]e", "bsd 4 clause"),
-    ("0bsd", "bsd", "(?:zero clause bsd|bsd zero clause) licen[cs]e", "0bsd"),
-    ("bsd", "bsd", "bsd(?: style)? licen[cs]e", "bsd"),
-    ("gpl-1.0", "g", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| v) ?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
-    ("gpl-2.0", "g", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| v) ?2(?: 0)?", "gpl 2 0(?: only| or later)?|gplv2"),
-    ("gpl-3.0", "g", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| v) ?3(?: 0)?", "gpl 3 0(?: only| or later)?|gplv3"),
-    ("gpl", "g", "gnu (?:general public licen[cs]e|gpl)", "gpl"),
-    ("lgpl-2.0", "l", "(?:gnu )?(?:library general public licen[cs]e|lgpl)(?: version| v) ?2(?: 0)?", "lgpl 2 0(?: only| or later)?"),
-    ("lgpl-2.1", "l", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| v) ?2 1", "lgpl 2 1(?: only| or later)?"),
-    ("lgpl-3.0", "l", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| v) ?3(?: 0)?", "lgpl 3 0(?: only| or later)?|lgplv3"),
-    ("lgpl", "l", "gnu (?:(?:lesser|library) general public licen[cs]e|lgpl)", "lgpl"),
-    ("agpl-3.0", "a", "(?:gnu )?(?:affero general public licen[cs]e|agpl)(?: version| v) ?3(?: 0)?", "agpl 3 0(?: only| or later)?|agplv3"),
-    ("agpl", "a", "(?:gnu )?affero general public licen[cs]e", "agpl"),
-    ("gfdl", "free documentation", "gnu free documentation licen[cs]e", "gfdl 1 [123](?: only| or later)?"),
-    ("mpl-1.1", "m", "(?:mozilla public licen[cs]e|mpl)(?: version| v) ?1 1", "mpl 1 1"),
-    ("mpl-2.0", "m", "(?:mozilla public licen[cs]e|mpl)(?: version| v) ?2 0", "mpl 2 0"),
-    ("mpl", "mozilla", "mozilla public licen[cs]e", "mpl"),
-    ("epl-1.0", "e", "(?:eclipse public licen[cs]e|epl)(?: version| v) ?1 0", "epl 1 0"),
-    ("epl-2.0", "e", "(?:eclipse public licen[cs]e|epl)(?: version| v) ?2 0", "epl 2 0"),
-    ("eupl-1.2", "e", "(?:european union public licen[cs]e|eupl)(?: version| v) ?1 2", "eupl 1 2"),
-    ("cddl-1.0", "c", "(?:common development and distribution licen[cs]e|cddl)(?: version| v) ?1 0", "cddl 1 0"),
-    ("cpl-1.0", "common public", "common public licen[cs]e(?: version| v)? ?1 0", "cpl 1 0"),
-    ("ms-pl", "m", "(?:microsoft|ms) public licen[cs]e", "ms pl"),
-    ("ms-rl", "m", "(?:microsoft|ms) reciprocal licen[cs]e", "ms rl"),
-    ("isc", "isc", "isc licen[cs]e", "isc"),
-    ("zlib", "z", "zlib(?: libpng)? licen[cs]e", "zlib"),
-    ("bsl-1.0", "b", "boost software licen[cs]e(?: version 1 0| 1 0)?", "bsl 1 0"),
-    ("artistic-1.0", "artistic", "artistic licen[cs]e(?: version)? 1 0", "artistic 1 0"),
-    ("artistic-2.0", "artistic", "artistic licen[cs]e(?: version)? 2 0", "artistic 2 0"),
-    ("python-2.0", "python", "python software foundation licen[cs]e(?: version 2)?", "(?:python|psf) 2 0"),
-    ("postgresql", "postgresql", "postgresql licen[cs]e", "postgresql"),
-    ("openssl", "openssl", "openssl licen[cs]e", "openssl"),
-    ("unlicense", "unlicense", "(?:the )?unlicense", "unlicense"),
-    ("wtfpl", "w", "(?:do what the fuck you want to public licen[cs]e|wtfpl)", "wtfpl"),
-    ("ofl-1.1", "o", "sil open font licen[cs]e(?: version 1 1| 1 1)?", "ofl 1 1"),
-    ("odbl-1.0", "o", "open (?:data commons open )?database licen[cs]e", "odbl 1 0"),
-    ("cc0-1.0", "c", "(?:cc0(?: 1 0)?(?: universal)?|creative commons zero)(?: licen[cs]e)?", "cc0 1 0"),
-    ("cc-by-4.0", "c", "(?:cc by|creative commons attribution)(?: licen[cs]e)? 4 0(?: international)?", "cc by 4 0"),
-    ("cc-by-3.0", "c", "(?:cc by|creative commons attribution)(?: licen[cs]e)? 3 0(?: unported)?", "cc by 3 0"),
-    ("cc-by", "c", "creative commons attribution licen[cs]e", "cc by"),
-    ("cc-by-sa", "c", "(?:cc by sa|creative commons attribution share ?alike)(?: licen[cs]e)?(?: [234] [05])?", "cc by sa [234] [05]"),
-    ("cc-by-nd", "c", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: licen[cs]e)?(?: [234] [05])?", "cc by nd [234] [05]"),
-    ("cc-by-nc", "c", "(?:cc by nc|creative commons attribution non ?commercial)(?: licen[cs]e)?(?: [234] [05])?", "cc by nc [234] [05]"),
-    ("cc-by-nc-sa", "c", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: licen[cs]e)?(?: [234] [05])?", "cc by nc sa [234] [05]"),
-    ("cc-by-nc-nd", "c", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: licen[cs]e)?(?: [234] [05])?", "cc by nc nd [234] [05]"),
+    ("mit", "(?:mit|expat|x11)(?: style| open source)? licen[cs]e", "mit"),
+    ("mit-0", "mit no attribution(?: licen[cs]e)?", "mit 0"),
+    ("apache-2", "apache(?: software)? licen[cs]e(?: version| v)? ?2(?: 0)?", "apache 2(?: 0)?"),
+    ("apache-1.1", "apache(?: software)? licen[cs]e(?: version| v)? ?1 1", "apache 1 1"),
+    ("apache-1.0", "apache(?: software)? licen[cs]e(?: version| v)? ?1 0", "apache 1 0"),
+    ("bsd-2-clause", "(?:simplified bsd|freebsd|(?:2|two) clause bsd|bsd (?:2|two) clause) licen[cs]e", "bsd 2 clause"),
+    ("bsd-3-clause", "(?:(?:new|modified|revised) bsd|(?:3|three) clause bsd|bsd (?:3|three) clause) licen[cs]e", "bsd 3 clause"),
+    ("bsd-4-clause", "(?:original bsd|(?:4|four) clause bsd|bsd (?:4|four) clause) licen[cs]e", "bsd 4 clause"),
+    ("0bsd", "(?:zero clause bsd|bsd zero clause) licen[cs]e", "0bsd"),
+    ("bsd", "bsd(?: style)? licen[cs]e", "bsd"),
+    ("gpl-1.0", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| v) ?1(?: 0)?", "gpl 1 0(?: only| or later)?"),
+    ("gpl-2.0", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| v) ?2(?: 0)?", "gpl 2 0(?: only| or later)?|gplv2"),
+    ("gpl-3.0", "(?:gnu )?(?:general public licen[cs]e|gpl)(?: version| v) ?3(?: 0)?", "gpl 3 0(?: only| or later)?|gplv3"),
+    ("gpl", "gnu (?:general public licen[cs]e|gpl)", "gpl"),
+    ("lgpl-2.0", "(?:gnu )?(?:library general public licen[cs]e|lgpl)(?: version| v) ?2(?: 0)?", "lgpl 2 0(?: only| or later)?"),
+    ("lgpl-2.1", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| v) ?2 1", "lgpl 2 1(?: only| or later)?"),
+    ("lgpl-3.0", "(?:gnu )?(?:lesser general public licen[cs]e|lgpl)(?: version| v) ?3(?: 0)?", "lgpl 3 0(?: only| or later)?|lgplv3"),
+    ("lgpl", "gnu (?:(?:lesser|library) general public licen[cs]e|lgpl)", "lgpl"),
+    ("agpl-3.0", "(?:gnu )?(?:affero general public licen[cs]e|agpl)(?: version| v) ?3(?: 0)?", "agpl 3 0(?: only| or later)?|agplv3"),
+    ("agpl", "(?:gnu )?affero general public licen[cs]e", "agpl"),
+    ("gfdl", "gnu free documentation licen[cs]e", "gfdl 1 [123](?: only| or later)?"),
+    ("mpl-1.1", "(?:mozilla public licen[cs]e|mpl)(?: version| v) ?1 1", "mpl 1 1"),
+    ("mpl-2.0", "(?:mozilla public licen[cs]e|mpl)(?: version| v) ?2 0", "mpl 2 0"),
+    ("mpl", "mozilla public licen[cs]e", "mpl"),
+    ("epl-1.0", "(?:eclipse public licen[cs]e|epl)(?: version| v) ?1 0", "epl 1 0"),
+    ("epl-2.0", "(?:eclipse public licen[cs]e|epl)(?: version| v) ?2 0", "epl 2 0"),
+    ("eupl-1.2", "(?:european union public licen[cs]e|eupl)(?: version| v) ?1 2", "eupl 1 2"),
+    ("cddl-1.0", "(?:common development and distribution licen[cs]e|cddl)(?: version| v) ?1 0", "cddl 1 0"),
+    ("cpl-1.0", "common public licen[cs]e(?: version| v)? ?1 0", "cpl 1 0"),
+    ("ms-pl", "(?:microsoft|ms) public licen[cs]e", "ms pl"),
+    ("ms-rl", "(?:microsoft|ms) reciprocal licen[cs]e", "ms rl"),
+    ("isc", "isc licen[cs]e", "isc"),
+    ("zlib", "zlib(?: libpng)? licen[cs]e", "zlib"),
+    ("bsl-1.0", "boost software licen[cs]e(?: version 1 0| 1 0)?", "bsl 1 0"),
+    ("artistic-1.0", "artistic licen[cs]e(?: version)? 1 0", "artistic 1 0"),
+    ("artistic-2.0", "artistic licen[cs]e(?: version)? 2 0", "artistic 2 0"),
+    ("python-2.0", "python software foundation licen[cs]e(?: version 2)?", "(?:python|psf) 2 0"),
+    ("postgresql", "postgresql licen[cs]e", "postgresql"),
+    ("openssl", "openssl licen[cs]e", "openssl"),
+    ("unlicense", "(?:the )?unlicense", "unlicense"),
+    ("wtfpl", "(?:do what the fuck you want to public licen[cs]e|wtfpl)", "wtfpl"),
+    ("ofl-1.1", "sil open font licen[cs]e(?: version 1 1| 1 1)?", "ofl 1 1"),
+    ("odbl-1.0", "open (?:data commons open )?database licen[cs]e", "odbl 1 0"),
+    ("cc0-1.0", "(?:cc0(?: 1 0)?(?: universal)?|creative commons zero)(?: licen[cs]e)?", "cc0 1 0"),
+    ("cc-by-4.0", "(?:cc by|creative commons attribution)(?: licen[cs]e)? 4 0(?: international)?", "cc by 4 0"),
+    ("cc-by-3.0", "(?:cc by|creative commons attribution)(?: licen[cs]e)? 3 0(?: unported)?", "cc by 3 0"),
+    ("cc-by", "creative commons attribution licen[cs]e", "cc by"),
+    ("cc-by-sa", "(?:cc by sa|creative commons attribution share ?alike)(?: licen[cs]e)?(?: [234] [05])?", "cc by sa [234] [05]"),
+    ("cc-by-nd", "(?:cc by nd|creative commons attribution no ?deriv(?:ative)?s)(?: licen[cs]e)?(?: [234] [05])?", "cc by nd [234] [05]"),
+    ("cc-by-nc", "(?:cc by nc|creative commons attribution non ?commercial)(?: licen[cs]e)?(?: [234] [05])?", "cc by nc [234] [05]"),
+    ("cc-by-nc-sa", "(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: licen[cs]e)?(?: [234] [05])?", "cc by nc sa [234] [05]"),
+    ("cc-by-nc-nd", "(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv(?:ative)?s)(?: licen[cs]e)?(?: [234] [05])?", "cc by nc nd [234] [05]"),
 )
 
 #: priority, text around a family's names (N) or identifiers (I), confidence
@@ -87,46 +93,128 @@ TEMPLATES = (
     (1, "N", 0.7),
 )
 
-#: Sentences of one licence: label, keyword, pattern, confidence; priority 6.
+#: Sentences of one licence: label, pattern, confidence; priority 6.
 SENTENCES = (
-    ("mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0.99),
-    ("isc", "permission to use", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.99),
-    ("bsd", "redistribution and use", "redistribution and use in source and binary forms with or without modification are permitted provided that", 0.95),
-    ("bsd-3-clause", "neither the name", "neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote products", 0.97),
-    ("bsd-4-clause", "all advertising materials", "all advertising materials mentioning features or use of this software must display", 0.97),
-    ("gpl-2.0", "free software foundation", "gnu general public license as published by the free software foundation either version 2", 0.98),
-    ("gpl-3.0", "free software foundation", "gnu general public license as published by the free software foundation either version 3", 0.98),
-    ("lgpl-2.1", "free software foundation", "gnu lesser general public license as published by the free software foundation either version 2 1", 0.98),
-    ("lgpl-3.0", "free software foundation", "gnu lesser general public license as published by the free software foundation either version 3", 0.98),
-    ("agpl-3.0", "free software foundation", "gnu affero general public license as published by the free software foundation either version 3", 0.98),
-    ("apache-2", "apache", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", 0.99),
-    ("apache-2", "apache org licenses", "http(?:s)? www apache org licenses license 2 0", 0.9),
-    ("mpl-2.0", "source code form", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.99),
-    ("unlicense", "unencumbered software", "this is free and unencumbered software released into the public domain", 0.99),
-    ("zlib", "held liable", "in no event will the authors be held liable for any damages arising from the use of this software", 0.9),
-    ("cc0-1.0", "creativecommons org", "creativecommons org publicdomain zero 1 0", 0.95),
-    ("cc-by-4.0", "creativecommons org", "creativecommons org licenses by 4 0", 0.95),
-    ("cc-by-sa", "creativecommons org", "creativecommons org licenses by sa [234] [05]", 0.95),
-    ("cc-by-nc", "creativecommons org", "creativecommons org licenses by nc [234] [05]", 0.95),
-    ("cc-by-nd", "creativecommons org", "creativecommons org licenses by nd [234] [05]", 0.95),
-    ("public-domain", "public domain", "(?:released into|placed in|dedicated to|in) the public domain", 0.7),
-    ("proprietary", "rights reserved", "all rights reserved", 0.5),
-    ("proprietary", "proprietary", "(?:confidential and proprietary|proprietary and confidential)", 0.6),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 0.99),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", 0.99),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that", 0.95),
+    ("bsd-3-clause", "neither the name of (?:[^ ]+ ){1,12}nor the names of its contributors may be used to endorse or promote products", 0.97),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display", 0.97),
+    ("gpl-2.0", "gnu general public license as published by the free software foundation either version 2", 0.98),
+    ("gpl-3.0", "gnu general public license as published by the free software foundation either version 3", 0.98),
+    ("lgpl-2.1", "gnu lesser general public license as published by the free software foundation either version 2 1", 0.98),
+    ("lgpl-3.0", "gnu lesser general public license as published by the free software foundation either version 3", 0.98),
+    ("agpl-3.0", "gnu affero general public license as published by the free software foundation either version 3", 0.98),
+    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", 0.99),
+    ("apache-2", "http(?:s)? www apache org licenses license 2 0", 0.9),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", 0.99),
+    ("unlicense", "this is free and unencumbered software released into the public domain", 0.99),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", 0.9),
+    ("cc0-1.0", "creativecommons org publicdomain zero 1 0", 0.95),
+    ("cc-by-4.0", "creativecommons org licenses by 4 0", 0.95),
+    ("cc-by-sa", "creativecommons org licenses by sa [234] [05]", 0.95),
+    ("cc-by-nc", "creativecommons org licenses by nc [234] [05]", 0.95),
+    ("cc-by-nd", "creativecommons org licenses by nd [234] [05]", 0.95),
+    ("public-domain", "(?:released into|placed in|dedicated to|in) the public domain", 0.7),
+    ("proprietary", "all rights reserved", 0.5),
+    ("proprietary", "(?:confidential and proprietary|proprietary and confidential)", 0.6),
 )
 
-#: What a text must hold for any rule to match it; checked before all rules.
-GATE = ("licen", "spdx", "public domain", "rights reserved", "proprietary", "permission", "redistribution", "creative commons", "creativecommons", "cc0", " cc by", "wtfpl", "gpl", "copyright", "apache", "mozilla", "neither the name", "advertising materials", "held liable", "source code form")
+#: Words too common to tell anything; they are not chosen, which decides on speed alone.
+COMMON = frozenset("a all and any be by for free from in is may no not of on only open or other that the this to under use v version with you your".split())
+#: Stands for any word in a written-out pattern.
+ANY = "\0"
 
 #: Fixed values of the contract: phrase, label.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 
-def rules() -> list[Rule]:
+def _written(pattern: str) -> list[str]:
+    """All texts that a pattern matches: of letters, classes of letters, groups, alternatives and ``?``; a repeated ``[^ ]`` is ``ANY``."""
+    at = 0
+
+    def either() -> list[str]:
+        nonlocal at
+        found = several()
+        while at < len(pattern) and pattern[at] == "|":
+            at += 1
+            found = found + several()
+        return found
+
+    def several() -> list[str]:
+        nonlocal at
+        found = [""]
+        while at < len(pattern) and pattern[at] not in "|)":
+            if pattern.startswith("(?:", at):
+                at += 3
+                one = either()
+                at += 1
+            elif pattern[at] == "[":
+                end = pattern.index("]", at)
+                one, at = [ANY] if pattern[at + 1] == "^" else list(pattern[at + 1 : end]), end + 1
+            else:
+                one, at = [pattern[at]], at + 1
+            if pattern[at : at + 1] == "?":
+                one, at = ["", *one], at + 1
+            elif pattern[at : at + 1] == "+":
+                at += 1
+            elif pattern[at : at + 1] == "{":
+                at = pattern.index("}", at) + 1
+            found = [a + b for a in found for b in one]
+        return found
+
+    return either()
+
+
+@cache
+def phrases(pattern: str) -> tuple[str, ...]:
+    """The shortest texts, between spaces, of which every match of a pattern holds one."""
+    chosen: list[str] = []
+    for text in sorted({f" {w} " for w in _written(pattern)}, key=lambda w: (len(w), w)):
+        if not any(c in text for c in chosen):
+            chosen.append(text)
+    return tuple(chosen)
+
+
+def _runs(text: str) -> set[str]:
+    """Up to three words in a row of a text, between spaces, and one of them not common; the text itself if it has no such."""
+    words = text.split()
+    runs = [words[i : i + n] for n in (1, 2, 3) for i in range(len(words) - n + 1)]
+    return {f" {' '.join(r)} " for r in runs if ANY not in r and any(w not in COMMON and not (w.isdigit() or len(w) < 2) for w in r)} or {text}
+
+
+def cover(texts: Iterable[str], cost: Counter[str] | None = None) -> tuple[str, ...]:
+    """Words of which every text holds one: few, and those of least cost (1 each if none is given)."""
+    left = {t: _runs(t) for t in texts}
+    chosen: list[str] = []
+    while left:
+        counts = Counter(r for runs in left.values() for r in runs)
+        chosen.append(min(counts, key=lambda r: ((cost[r] if cost else 1) / counts[r], -len(r), r)))
+        left = {t: runs for t, runs in left.items() if chosen[-1] not in t}
+    return tuple(chosen)
+
+
+def gate(found: Iterable[Rule]) -> tuple[str, ...]:
+    """What a text must hold one of for any of the rules to match it."""
+    return cover({p for r in found for p in r.phrases})
+
+
+@cache
+def _all() -> tuple[Rule, ...]:
+    # A run of words costs as many as there are labels whose patterns have it.
+    groups = [(label, phrases(p)) for label, *both in FAMILIES for p in both] + [(label, phrases(p)) for label, p, _ in SENTENCES]
+    cost = Counter(r for _, r in {(label, r) for label, texts in groups for t in texts for r in _runs(t)})
     found: list[Rule] = []
-    for label, keyword, names, identifiers in FAMILIES:
+    for label, names, identifiers in FAMILIES:
         for priority, template, confidence in TEMPLATES:
+            named = "N" in template
+            own = names if named else identifiers
             body = template.replace("N", f"(?:{names})").replace("I", f"(?:{identifiers})")
-            found.append(Rule(len(found), priority, label, keyword, body, confidence))
-    for label, keyword, pattern, confidence in SENTENCES:
-        found.append(Rule(len(found), 6, label, keyword, pattern, confidence))
-    return [r._replace(pattern=f"(?<= )(?:{r.pattern})(?= )") for r in found]
+            found.append(Rule(len(found), priority, label, cover(phrases(own), cost), body, confidence, phrases(own if named else body)))
+    for label, pattern, confidence in SENTENCES:
+        found.append(Rule(len(found), 6, label, cover(phrases(pattern), cost), pattern, confidence, phrases(pattern)))
+    return tuple(r._replace(pattern=f"(?<= )(?:{r.pattern})(?= )") for r in found)
+
+
+def rules() -> list[Rule]:
+    return list(_all())

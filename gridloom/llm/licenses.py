@@ -1,6 +1,6 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
-Texts become lower-case words between single spaces. A gate of a few substrings, then each rule's keyword, decide which
+Texts become lower-case words between single spaces. A gate of a few words, then each rule's keywords, decide which
 regular expressions run on a text at all. A detection is an interval of characters with its rule's priority; it is
 suppressed if an interval of higher priority, or of the same and longer (or first by rule), contains it. With a text's
 detections in order of their start, longest first, every interval that can contain one comes before it, so one running
@@ -50,12 +50,19 @@ def _with_base(rows: DataFrame, base: tuple[tuple[str, str], ...]) -> DataFrame:
 
 def _matches(rows: DataFrame, rules: list[license_rules.Rule]) -> DataFrame:
     """One row for each match of each rule in each text that the keywords let through, with its segment, and one without a match for every text."""
-    struct = lambda r: F.struct(F.lit(r.number).alias("number"), F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(r.keyword).alias("keyword"), F.lit(r.pattern).alias("pattern"), F.lit(r.confidence).alias("confidence"))
+    text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    struct = lambda r: f"named_struct('number', {r.number}, 'priority', {r.priority}, 'label', {text(r.label)}, 'pattern', {text(r.pattern)}, 'confidence', {r.confidence!r}D)"
     gate = F.lit(False)
-    for word in license_rules.GATE:
+    for word in license_rules.gate(rules):
         gate = gate | F.contains("norm", F.lit(word))
-    stand = F.array(struct(license_rules.Rule(-1, 0, "", "", "(?!)", 0.0)))  # matches nothing; its row stands for the text
-    able = F.when(gate, F.concat(stand, F.filter(F.array(*map(struct, rules)), lambda r: F.contains(F.col("norm"), r["keyword"])))).otherwise(stand)
+    stand = F.expr(f"array({struct(license_rules.Rule(-1, 0, '', (), '(?!)', 0.0, ()))})")  # matches nothing; its row stands for the text
+    alike: dict[tuple[str, ...], list[license_rules.Rule]] = {}
+    for r in rules:
+        alike.setdefault(r.keywords, []).append(r)
+    # As text, which is parsed at once: thousands of columns made one by one take longer than a small scan.
+    groups = F.expr(f"array({', '.join(f"named_struct('keywords', array({', '.join(map(text, words))}), 'rules', array({', '.join(map(struct, own))}))" for words, own in alike.items())})")
+    held = F.flatten(F.transform(F.filter(groups, lambda g: F.exists(g["keywords"], lambda w: F.contains(F.col("norm"), w))), lambda g: g["rules"]))
+    able = F.when(gate, F.concat(stand, held)).otherwise(stand) if rules else stand
     tried = rows.withColumn("rule", F.explode(able)).withColumn("found", F.regexp_extract_all("norm", F.col("rule.pattern"), F.lit(0)))
     tried = tried.filter((F.size("found") > 0) | (F.col("rule.number") < 0))
     between = F.transform(F.split("norm", F.col("rule.pattern"), -1), F.length)

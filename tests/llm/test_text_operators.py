@@ -232,6 +232,21 @@ def test_license_rules_overlap_by_priority(spark, odd):
     assert len(licenses.scan(odd).collect()) == 11 and licenses.scan(empty(odd)).collect() == []
 
 
+def test_license_matches_pass_gate_and_keywords(spark):
+    texts = [
+        ("under MPL v2.0", "mpl-2.0"), ("MPL version 1.1", "mpl-1.1"), ("EPL v2.0", "epl-2.0"), ("EUPL v1.2", "eupl-1.2"), ("CDDL version 1.0", "cddl-1.0"), ("MIT No Attribution", "mit-0"), ("SPDX-License-Identifier: GFDL-1.3-or-later", "gfdl"),
+        ("License: CPL-1.0", "cpl-1.0"), ("License: PSF-2.0", "python-2.0"), ("Released under the Expat License", "mit"), ("X11 license", "mit"), ("released to you under mit", "mit"), ("confidential and proprietary", "proprietary"), ("mit mpl and cpl", ""),
+    ]
+    rows = licenses.scan(spark.createDataFrame([(t, t) for t, _ in texts], "doc_id string, text string")).collect()
+    assert {r.doc_id: r.labels for r in rows} == dict(texts)
+    rules = licenses.license_rules.rules()
+    gate = licenses.license_rules.gate(rules)
+    for rule in rules:
+        for text in licenses.license_rules._written(rule.pattern.removeprefix("(?<= )").removesuffix("(?= )")):
+            norm = f" {text.replace(licenses.license_rules.ANY, 'x')} "
+            assert re.search(rule.pattern, norm) and any(w in norm for w in gate) and any(w in norm for w in rule.keywords)
+
+
 def test_license_suppression_matches_brute_force(spark):
     draw = np.random.default_rng(2)
     words = "licensed released under the terms of mit license apache version 2 0 gnu gpl v3 spdx identifier bsd style cc by nc".split()
