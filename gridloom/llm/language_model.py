@@ -5,7 +5,8 @@ words stand in classes of ``WIDTH`` by rank; all others are classed by a hash of
 languages say much about the language and the kind of word. Two softmax layers, over classes and over the words of a
 frequent class, add the weights of hashed features of the history: the word before (bigram), the two words before
 (trigram), and the second word before alone (skip). Words outside the frequent classes have their smoothed share of
-their class's count, so every word, known or not, has a probability.
+their class's count, so every word, known or not, has a probability. The tables' rows grow with the root of the training
+tokens and the frequent classes with their logarithm.
 
 Counts come from one distributed count of all training words. Training is distributed gradient descent: in each round
 every task takes gradient steps over its own texts from the weights that it was given, and a row of weights becomes
@@ -29,17 +30,23 @@ from gridloom.llm import textnum
 from gridloom.llm._common import checkpoint, map_arrow, shuffle_partitions, slices, spread_by
 
 U64 = np.uint64
-#: Frequent classes, words in each, classes by word ending; rows of each feature's table (a power of two), words whose counts travel.
+#: Frequent classes at least, words in each, classes by word ending; rows of each feature's table at least (a power of two), words whose counts travel.
 BINS, WIDTH, ENDINGS, ROWS, LEXICON = 16, 64, 32, 4096, 1 << 16
-CLASSES = BINS + ENDINGS
 STEP, BATCH, TOKENS_A_TASK = 0.15, 16384, 1 << 22
 END, START = textnum.mix(np.array([0xE4D], U64))[0], textnum.mix(np.array([0x57A27], U64))[0]
-#: Tables over classes (bigram, trigram, skip) and over words of a class (bigram, skip); after them the two layers' biases.
-LAYER = (CLASSES, CLASSES, CLASSES, WIDTH, WIDTH)
-_shift = U64(64 - int(np.log2(ROWS)))
 _factors = textnum.seeds(8, 9) | U64(1)
 
 
+def table_rows(tokens: int) -> int:
+    """Rows of each feature's table: the power of two next to the root of the training tokens."""
+    return max(ROWS, 1 << round(np.log2(max(tokens, 1)) / 2))
+
+
+def frequent_classes(tokens: int) -> int:
+    """Two more for each doubling of the training tokens."""
+    return BINS + max(0, int(2 * np.log2(max(tokens, 1) / TOKENS_A_TASK)))
+
+
 class Lexicon(NamedTuple):
     tokens: int  # training tokens
     distinct: int
@@ -105,20 +112,23 @@ def _lexicon(counts: DataFrame) -> Lexicon:
     top = counts.filter(level >= cut).orderBy(F.desc("n"), "word").limit(LEXICON).toArrow()
     words, n, ending = top.column("word").to_numpy().view(U64), top.column("n").to_numpy(), top.column("ending").to_numpy()
     rank = np.argsort(words != END, kind="stable") if (words == END).any() else np.arange(len(words))  # the end token is always frequent
-    frequent = rank[: BINS * WIDTH]
+    total = sum(a for a, _ in sums.values())
+    frequent = rank[: frequent_classes(total) * WIDTH]
     frequent = frequent[np.argsort(-n[frequent], kind="stable")]
     slots = np.full(len(words), -1)
     slots[frequent] = np.arange(len(frequent))
     shares = np.array([sum(sums.get(e, (0, 0))[:1]) + 0.5 * sums.get(e, (0, 0))[1] + 0.5 for e in range(ENDINGS)], float)
     np.subtract.at(shares, ending[frequent], n[frequent] + 0.5)
     order = np.argsort(words)
-    return Lexicon(sum(a for a, _ in sums.values()), sum(b for _, b in sums.values()), words[order], n[order], slots[order], np.log10(shares))
+    return Lexicon(total, sum(b for _, b in sums.values()), words[order], n[order], slots[order], np.log10(shares))
 
 
 def initial(lexicon: Lexicon) -> list[np.ndarray]:
     """Weights under which the model is the smoothed unigram model."""
-    weights = [np.zeros((ROWS, width), np.float32) for width in LAYER]
-    inner = np.full((BINS, WIDTH), -30.0)
+    bins = frequent_classes(lexicon.tokens)
+    # Tables over classes (bigram, trigram, skip) and over words of a class (bigram, skip); after them the two layers' biases.
+    weights = [np.zeros((table_rows(lexicon.tokens), width), np.float32) for width in (*[bins + ENDINGS] * 3, WIDTH, WIDTH)]
+    inner = np.full((bins, WIDTH), -30.0)
     has = lexicon.slots >= 0
     inner.reshape(-1)[lexicon.slots[has]] = np.log(lexicon.counts[has] + 0.5)
     outer = np.concatenate([np.logaddexp.reduce(inner, axis=1), lexicon.shares * np.log(10)])
@@ -141,7 +151,7 @@ def examples(t: Tokens, lexicon: Lexicon) -> Examples:
         at = np.minimum(np.searchsorted(lexicon.words, t.hashes), len(lexicon.words) - 1)
         found = np.where(lexicon.words[at] == t.hashes, at, -1)
     slot = np.where(found >= 0, lexicon.slots[found], -1) if len(lexicon.words) else found
-    kind = np.where(slot >= 0, slot // WIDTH, BINS + t.ending)
+    kind = np.where(slot >= 0, slot // WIDTH, frequent_classes(lexicon.tokens) + t.ending)
     one, two = np.full(n, START, U64), np.full(n, START, U64)
     one[1:], two[2:] = t.hashes[:-1], t.hashes[:-2]
     firsts = t.before[:-1]
@@ -149,10 +159,12 @@ def examples(t: Tokens, lexicon: Lexicon) -> Examples:
     two[firsts] = START
     seconds = firsts + 1
     two[seconds[seconds < t.before[1:]]] = START
+    size = table_rows(lexicon.tokens)
+    shift, row = U64(64 - int(np.log2(size))), np.uint16 if size <= 1 << 16 else np.uint32
     with np.errstate(over="ignore"):
         k = kind.astype(U64)
         keys = [one * _factors[0], one * _factors[1] + two * _factors[2], two * _factors[3], one * _factors[4] + k * _factors[5], two * _factors[6] + k * _factors[7]]
-        rows = [((x ^ (x >> U64(29))) * _factors[0] >> _shift).astype(np.uint16) for x in keys]
+        rows = [((x ^ (x >> U64(29))) * _factors[0] >> shift).astype(row) for x in keys]
     return Examples(kind, np.where(slot >= 0, slot % WIDTH, -1), rows, found)
 
 
@@ -181,7 +193,7 @@ def _chances(scores: np.ndarray) -> np.ndarray:
 
 def _descend(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray, used: np.ndarray) -> None:
     """One step on the rows used, each by its own rate (the root of its squared gradients so far)."""
-    order = np.argsort(rows, kind="stable")  # a radix sort: rows are 16-bit
+    order = np.argsort(rows, kind="stable")  # a radix sort where rows are 16-bit
     ordered = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     own = ordered[starts]
@@ -238,12 +250,14 @@ def _mean(batches: Iterator[pa.RecordBatch], shapes: list[tuple[int, int]]) -> I
 
 
 def fit(train: DataFrame, text_col: str = "text", rounds: int = 2) -> Model:
-    """Count all words of ``train`` and learn the weights; null texts are empty. The model's size doesn't depend on the rows."""
+    """Count all words of ``train`` and learn the weights; null texts are empty. The model grows with the root of the training tokens."""
     rows = train.select(F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     counts = checkpoint(map_arrow(rows, _count, "word long, ending int, n long").groupBy("word").agg(F.sum("n").alias("n"), F.min("ending").alias("ending")))
     lexicon = _lexicon(counts)
     weights = initial(lexicon)
-    tasks = max(train.sparkSession.sparkContext.defaultParallelism, -(-lexicon.tokens // (TOKENS_A_TASK * rounds)))
+    # Tasks have more tokens as tables have more rows, so that what all tasks send grows as the tokens do.
+    own_tokens = TOKENS_A_TASK * (table_rows(lexicon.tokens) // ROWS)
+    tasks = max(train.sparkSession.sparkContext.defaultParallelism, -(-lexicon.tokens // (own_tokens * rounds)))
     blocks = _blocks(weights)
     shapes = [weights[i][at].shape for i, at in blocks]
     owners = min(len(blocks), shuffle_partitions(train.sparkSession))
@@ -280,7 +294,7 @@ def _score(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, weights: list[np
                 chance[has] *= _chances(_inner(weights, [r[has] for r in rows], kind[has]))[np.arange(len(has)), inner[has]]
             score[part] = np.log10(np.maximum(chance, 1e-30))
         rest = x.inner < 0
-        score[rest] += own[rest] - lexicon.shares[x.kind[rest] - BINS]
+        score[rest] += own[rest] - lexicon.shares[x.kind[rest] - frequent_classes(lexicon.tokens)]
         n = np.diff(t.before)
         zero = pa.array(np.zeros(len(n), np.int32))
         yield pa.RecordBatch.from_arrays(

@@ -372,6 +372,19 @@ def test_language_model_probabilities_add_up():
     assert math.isclose(chances.sum(), 1, rel_tol=1e-5)
 
 
+def test_language_model_grows_with_its_training_tokens():
+    shapes = []
+    for n in (1, 1 << 22, 1 << 26, 1 << 32, 1 << 36):
+        lexicon = language_model.Lexicon(n, 3, np.array([1, 2, 3], np.uint64), np.array([5, 3, 1]), np.array([0, 1, -1]), np.log10(np.full(language_model.ENDINGS, 0.5)))
+        weights = language_model.initial(lexicon)
+        t = language_model.Tokens(np.arange(1, 4, dtype=np.uint64), np.full(3, language_model.ENDINGS - 1), np.array([0, 3]))
+        x = language_model.examples(t, lexicon)
+        assert len(weights[6]) * language_model.WIDTH >= 1024 and x.kind.max() == weights[0].shape[1] - 1 and all(r.max() < len(w) for r, w in zip(x.rows, weights))
+        assert np.isclose(np.exp(weights[5]).sum(), 1)
+        shapes.append(weights[0].shape)
+    assert [rows for rows, _ in shapes] == [4096, 4096, 8192, 65536, 262144] and [width for _, width in shapes] == [48, 48, 56, 68, 76]
+
+
 def test_language_model_of_odd_rows(odd):
     model = language_model.fit(odd)
     rows = language_model.score(odd, model).collect()
