@@ -79,6 +79,18 @@ QUERIES["ml_svd"] = (_svd, """SELECT o_orderkey, round(coalesce(c.c_custkey / 10
 FROM orders LEFT JOIN customer c ON c_custkey = o_custkey AND c_custkey < 100 LEFT JOIN supplier s ON s_suppkey = o_orderkey % 120 AND s_suppkey < 50""")
 
 
+def _svd_all(spark, sf_dir):
+    t = tables(spark, sf_dir)
+    pairs = t.lineitem.join(t.orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "l_linenumber", "o_custkey", "l_suppkey")
+    side = lambda df, key: df.select(F.col(key).alias("id"), (F.col(key) / 100).alias("bias"), F.array((F.col(key) % 7).cast("double"), (F.col(key) % 3).cast("double")).alias("factors"))
+    return k.svd_score(pairs, side(t.customer, "c_custkey"), side(t.supplier, "s_suppkey"), "o_custkey", "l_suppkey", "y").select("l_orderkey", "l_linenumber", F.round("y", 8).alias("y"))
+
+
+#: As ml_svd, with factors for every customer and supplier.
+QUERIES["ml_svd_all"] = (_svd_all, """SELECT l_orderkey, l_linenumber, round(coalesce(c.c_custkey / 100 + s.s_suppkey / 100 + (c.c_custkey % 7) * (s.s_suppkey % 7) + (c.c_custkey % 3) * (s.s_suppkey % 3), 0)::DOUBLE, 8) AS y
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer c ON c_custkey = o_custkey LEFT JOIN supplier s ON s_suppkey = l_suppkey""")
+
+
 
 
 QUERIES["ml_rag_nearest"] = (

@@ -49,3 +49,13 @@ def test_query(spark, small, duck, name):
         assert sorted(names) == columns
         want = sorted([plain(r[names.index(c)]) for c in columns] for r in made.fetchall())
         assert got == want
+
+
+def test_svd_scores_every_known_pair(spark, small):
+    from gridloom.ml import kernels
+
+    rows = QUERIES["ml_svd_all"](spark, small).collect()
+    assert len(rows) == spark.read.parquet(f"{small}/lineitem.parquet").count() and sum(r.y > 0 for r in rows) > 0.99 * len(rows)  # customer 0 with supplier 0 scores 0
+    pairs = spark.createDataFrame([(1, 1), (1, 9), (9, 1), (None, 1)], "u long, i long")
+    side = spark.createDataFrame([(1, 0.5, [2.0, 3.0])], "id long, bias double, factors array<double>")
+    assert sorted(r.y for r in kernels.svd_score(pairs, side, side, "u", "i", "y").collect()) == [0.0, 0.0, 0.0, 14.0]
