@@ -282,6 +282,11 @@ def merge_exchange(t):
     return op.merge_sorted(t.customer.select(F.col("c_custkey").alias("k")), t.supplier.select(F.col("s_suppkey").alias("k")), keys=["k"]).limit(50)
 
 
+@query("SELECT k FROM (SELECT c_custkey AS k FROM customer UNION ALL SELECT s_suppkey FROM supplier) ORDER BY k")
+def merge_exchange_all(t):
+    return op.merge_sorted(t.customer.select(F.col("c_custkey").alias("k")), t.supplier.select(F.col("s_suppkey").alias("k")), keys=["k"])
+
+
 @query("SELECT n_nationkey AS k FROM nation UNION ALL SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier")
 def union_all(t):
     return op.union_all(t.nation.select(F.col("n_nationkey").alias("k")), t.customer.select(F.col("c_nationkey").alias("k")), t.supplier.select(F.col("s_nationkey").alias("k")))

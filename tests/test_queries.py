@@ -59,3 +59,9 @@ def test_svd_scores_every_known_pair(spark, small):
     pairs = spark.createDataFrame([(1, 1), (1, 9), (9, 1), (None, 1)], "u long, i long")
     side = spark.createDataFrame([(1, 0.5, [2.0, 3.0])], "id long, bias double, factors array<double>")
     assert sorted(r.y for r in kernels.svd_score(pairs, side, side, "u", "i", "y").collect()) == [0.0, 0.0, 0.0, 14.0]
+
+
+def test_merge_returns_all_rows_in_order(spark, small):
+    keys = [r.k for r in QUERIES["rel_merge_exchange_all"](spark, small).collect()]
+    count = lambda name: spark.read.parquet(f"{small}/{name}.parquet").count()
+    assert keys == sorted(keys) and len(keys) == count("customer") + count("supplier")
