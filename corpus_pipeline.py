@@ -22,6 +22,8 @@ def free_name(docs: DataFrame, name: str) -> str:
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no language can be told, as they have no letter, go."""
     model = langid.fit(docs)
+    if not model.languages:  # nothing was labelled: any letter will do
+        model = model._replace(languages=["any"])
     row = free_name(docs, "row")
     keyed = docs.withColumn(row, F.xxhash64(*docs.columns))
     rejected = langid.predict(keyed, model, id_col=row).filter(F.col("lang_pred") == langid.UNKNOWN).select(row).distinct()

@@ -123,3 +123,10 @@ def test_pipeline_of_no_documents(spark, small):
 def test_registered_queries_and_sql_have_the_same_names(spark):
     assert set(queries.oracle_sql()) <= set(queries.queries()) and len(queries.queries()) == 10
     assert zlib.crc32(b"12") == spark.range(1).selectExpr("crc32(CAST(CAST(12 AS STRING) AS BINARY)) AS c").first().c
+
+
+def test_pipeline_keeps_unlabelled_documents_with_letters(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "the cat sat", None), (2, "12 ...", None), (3, None, None), (4, "日本語", None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in corpus_pipeline.language_id(spark, docs, "").collect()) == [1, 4]
