@@ -72,10 +72,10 @@ def mix(
 
 
 def resample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it; rows that are alike in all columns are each emitted as often as the one of them taken most."""
+    """The rows of ``df``, each as often as the mix takes it; rows that are alike in all columns are emitted as often as the mix takes all of them."""
     key = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
-    copies = mix(df, id_col, text_col, source_col, key=key, **options).filter("copies > 0").groupBy("key").agg(F.max("copies").alias("copies"))
-    return df.withColumn("key", key).join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"`{c}`") for c in df.columns)) if not {"key", "copies", "copy"} & set(df.columns) else _renamed(df, id_col, text_col, source_col, **options)
+    copies = mix(df, id_col, text_col, source_col, key=key, **options).filter("copies > 0").groupBy("key").agg(F.sum("copies").alias("copies"))
+    return df.withColumn("key", key).dropDuplicates(["key"]).join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"`{c}`") for c in df.columns)) if not {"key", "copies", "copy"} & set(df.columns) else _renamed(df, id_col, text_col, source_col, **options)
 
 
 def _renamed(df: DataFrame, id_col: str, text_col: str, source_col: str, **options) -> DataFrame:

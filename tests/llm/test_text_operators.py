@@ -392,3 +392,10 @@ def test_language_model_of_odd_rows(odd):
     untaught = language_model.fit(empty(odd))
     assert all(abs(r.base_score) < 1e-6 and r.n_known == 0 for r in language_model.score(odd, untaught).collect())
     assert language_model.score(empty(odd), model).collect() == []
+
+
+def test_resample_takes_a_share_of_repeated_rows(spark):
+    rows = spark.createDataFrame([(1, "one two three", "a")] * 40 + [(i, f"text {i}", "b") for i in range(2, 12)], "doc_id long, text string, source string")
+    want = {r.source: r.n for r in rows.join(mixing.mix(rows, weights=(1, 8)).groupBy("doc_id").agg(F.sum("copies").alias("n")), "doc_id").select("source", "doc_id", "n").distinct().groupBy("source").agg(F.sum("n").alias("n")).collect()}
+    got = Counter(r.source for r in mixing.resample(rows, weights=(1, 8)).collect())
+    assert dict(got) == want
