@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.queries import aggregates, functions, ml, relational, sinks, tpch, windows
+from gridloom.queries import aggregates, functions, lenient, ml, relational, sinks, tpch, windows
 
-MODULES = (tpch, relational, sinks, windows, aggregates, functions, ml)
+MODULES = (tpch, relational, sinks, windows, aggregates, functions, lenient, ml)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -106,3 +106,26 @@ def test_user_functions(spark):
     registry.register(spark, "own_twice", registry.vector("long")(twice))
     registry.register(spark, "own_next", registry.scalar("long")(lambda x: x + 1))
     assert spark.sql("SELECT own_total(own_next(own_twice(id))) AS v FROM range(4)").first().v == 16
+
+
+def test_lenient_results_do_not_depend_on_the_ansi_setting(spark):
+    from gridloom.functions import spark_call as s
+
+    df = spark.sql("SELECT id, 9223372036854775807 AS most, 'abc' AS word, array(1, 2) AS a FROM range(1)")
+    row = lambda: df.select(s("add", F.col("most"), F.col("id") + 1), s("unix_timestamp", F.col("word")), s("element_at", F.col("a"), F.lit(3)), s("next_day", F.current_date(), F.col("word"))).first()
+    strict_row = row()
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        assert row() == strict_row == (-(2**63), None, None, None)
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", "true")
+
+
+@pytest.mark.parametrize("make", [
+    lambda s: s("cast", F.col("word"), "int"), lambda s: s("make_date", F.lit(2020), F.lit(13), F.col("one")), lambda s: s("bit_get", F.col("one"), F.lit(64)), lambda s: s("element_at", F.array("one"), F.col("one") - 1),
+])
+def test_lenient_calls_that_stay_errors(spark, make):
+    from gridloom.functions import spark_call as s
+
+    with pytest.raises(Exception):  # noqa: B017
+        spark.sql("SELECT 'abc' AS word, CAST(id + 1 AS INT) AS one FROM range(1)").select(make(s)).collect()
