@@ -13,6 +13,8 @@ from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions.catalyst import expression, option, unchecked
+
 #: Names that Spark SQL has under the same name.
 NATIVE = (
     "transform aggregate filter map_filter array array_contains array_intersect map_from_arrays concat lower upper isnull isnotnull array_min array_max get_json_object chr ascii lpad rpad "
@@ -35,36 +37,21 @@ def _scale(x: Column, scale: int) -> Column:
     return (x * F.lit(10**scale)).cast("bigint")
 
 
-def _expression(name: str, *arguments) -> Column:
-    """A Column of one Catalyst expression; Columns among its arguments become expressions."""
-    jvm = SparkContext._active_spark_context._jvm
-    utils = jvm.org.apache.spark.sql.classic.ExpressionUtils
-    given = (utils.expression(a._jc) if isinstance(a, Column) else a for a in arguments)
-    made = utils.column(getattr(jvm.org.apache.spark.sql.catalyst.expressions, name)(*given))
-    return type(F.lit(0))(made)
-
-
 def _wrapping(name: str) -> Callable[[Column, Column], Column]:
     """Arithmetic of two numbers that wraps around."""
-
-    def build(a: Column, b: Column) -> Column:
-        expressions = SparkContext._active_spark_context._jvm.org.apache.spark.sql.catalyst.expressions
-        return _expression(name, a, b, expressions.NumericEvalContext(expressions.EvalMode.LEGACY(), True))
-
-    return build
+    return lambda a, b: expression(name, a, b, unchecked())
 
 
 def _unix_time(text: Column | None = None, pattern: Column | str = "yyyy-MM-dd HH:mm:ss") -> Column:
     """Seconds of a time, null if the text isn't one in that pattern; of now, if there is no text."""
     if text is None:
         return F.unix_timestamp()
-    context = SparkContext._active_spark_context
-    zone = context._jvm.org.apache.spark.sql.classic.SparkSession.active().sessionState().conf().sessionLocalTimeZone()
-    return _expression("UnixTimestamp", text, F.lit(pattern), context._jvm.scala.Option.apply(zone), False)
+    zone = SparkContext._active_spark_context._jvm.org.apache.spark.sql.classic.SparkSession.active().sessionState().conf().sessionLocalTimeZone()
+    return expression("UnixTimestamp", text, F.lit(pattern), option(zone), False)
 
 
 def _element_at(a: Column, at: Column) -> Column:
-    return _expression("ElementAt", a, at, SparkContext._active_spark_context._jvm.scala.Option.apply(None), False)
+    return expression("ElementAt", a, at, option(None), False)
 
 
 #: Names that are operators or compositions.
@@ -72,10 +59,10 @@ OWN: dict[str, Callable[..., Column]] = {
     "not": lambda x: ~x, "cast": lambda x, kind: x.cast(kind), "try_cast": lambda x, kind: x.try_cast(kind), "hash_with_seed": _seeded("hash"), "xxhash64_with_seed": _seeded("xxhash64"),
     "week_of_year": F.weekofyear, "doy": F.dayofyear, "dow": F.dayofweek, "get_timestamp": lambda s, pattern: F.try_to_timestamp(s, F.lit(pattern)), "unscaled_value": _scale,
     "make_decimal": lambda x, precision, scale: (x.cast("decimal(38,0)") / F.lit(10**scale).cast("decimal(38,0)")).cast(f"decimal({precision},{scale})"), "decimal_round": lambda x, scale=0: F.round(x, scale),
-    "add": _wrapping("Add"), "subtract": _wrapping("Subtract"), "multiply": _wrapping("Multiply"), "abs": lambda x: _expression("Abs", x, False), "element_at": _element_at,
-    "unix_timestamp": _unix_time, "to_unix_timestamp": _unix_time, "next_day": lambda x, day: _expression("NextDay", x, day, False), "size": lambda x: _expression("Size", x, True), "pmod": lambda a, b: F.when(b != 0, F.pmod(a, b)),
-    "conv": lambda x, a, b: _expression("Conv", x, F.lit(a), F.lit(b), False), "divide": lambda a, b: F.when(b != 0, a.cast("double") / b), "remainder": lambda a, b: F.when(b != 0, a % b),
-    "unaryminus": lambda x: _expression("UnaryMinus", x, False), "equalto": lambda a, b: a == b, "notequalto": lambda a, b: a != b, "lessthan": lambda a, b: a < b, "greaterthan": lambda a, b: a > b, "lessthanorequal": lambda a, b: a <= b,
+    "add": _wrapping("Add"), "subtract": _wrapping("Subtract"), "multiply": _wrapping("Multiply"), "abs": lambda x: expression("Abs", x, False), "element_at": _element_at,
+    "unix_timestamp": _unix_time, "to_unix_timestamp": _unix_time, "next_day": lambda x, day: expression("NextDay", x, day, False), "size": lambda x: expression("Size", x, True), "pmod": lambda a, b: F.when(b != 0, F.pmod(a, b)),
+    "conv": lambda x, a, b: expression("Conv", x, F.lit(a), F.lit(b), False), "divide": lambda a, b: F.when(b != 0, a.cast("double") / b), "remainder": lambda a, b: F.when(b != 0, a % b),
+    "unaryminus": lambda x: expression("UnaryMinus", x, False), "equalto": lambda a, b: a == b, "notequalto": lambda a, b: a != b, "lessthan": lambda a, b: a < b, "greaterthan": lambda a, b: a > b, "lessthanorequal": lambda a, b: a <= b,
     "greaterthanorequal": lambda a, b: a >= b, "equalnullsafe": lambda a, b: a.eqNullSafe(b), "between": lambda x, a, b: x.between(a, b), "in": lambda x, *a: x.isin(*a), "bitwise_and": lambda a, b: a.bitwiseAND(b),
     "bitwise_or": lambda a, b: a.bitwiseOR(b), "bitwise_xor": lambda a, b: a.bitwiseXOR(b),
 }

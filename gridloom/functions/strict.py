@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridloom.functions import udfs
+from gridloom.functions import patterns, udfs
+from gridloom.functions.catalyst import attempt
 
 lit, col = F.lit, F.col
 STRICT: dict[str, Callable[..., Column]] = {}
@@ -67,6 +68,17 @@ def _truncate(x: Column, digits: Column | None = None) -> Column:
     return F.when(scaled >= 0, F.floor(scaled)).otherwise(F.ceil(scaled)).cast("double") / scale
 
 
+def _whole(x: Column, up: bool) -> Column:
+    """The next whole number, of the type of ``x``: a byte as step doesn't widen it."""
+    near, step = F.round(x, 0), lit(1).cast("tinyint")
+    return F.when(near < x, near + step).otherwise(near) if up else F.when(near > x, near - step).otherwise(near)
+
+
+def _sign(x: Column) -> Column:
+    one = lit(1).cast("tinyint")
+    return F.when(F.isnan(x.cast("double")), x).when(x > 0, one).when(x < 0, -one).otherwise(x)
+
+
 def _wilson(sign: int) -> Callable[..., Column]:
     def build(successes: Column, trials: Column, z: Column) -> Column:
         n, p = trials.cast("double"), successes / trials.cast("double")
@@ -84,10 +96,10 @@ def _map_cosine(a: Column, b: Column) -> Column:
 _define(
     plus=lambda a, b: a + b, minus=lambda a, b: a - b, multiply=lambda a, b: a * b, mod=lambda a, b: a % b, negate=F.negative,
     divide=lambda a, b: a / b, integer_divide=lambda a, b: (a - a % b) / b,
-    ceil=lambda x: F.ceil(x).cast("double"), ceiling=lambda x: F.ceil(x).cast("double"), floor=lambda x: F.floor(x).cast("double"), abs=F.abs,
+    ceil=lambda x: _whole(x, up=True), ceiling=lambda x: _whole(x, up=True), floor=lambda x: _whole(x, up=False), abs=F.abs,
     radians=F.radians, degrees=F.degrees, round=lambda x, d=0: F.round(x, d), power=F.pow, pow=F.pow, exp=F.exp, ln=F.ln, log2=F.log2, log10=F.log10,
     clamp=lambda x, low, high: F.when(~_any_null(x, low, high), F.least(F.greatest(x, low), high)), cos=F.cos, cosh=F.cosh, acos=F.acos, sin=F.sin, asin=F.asin, tan=F.tan,
-    tanh=F.tanh, atan=F.atan, atan2=F.atan2, sqrt=F.sqrt, cbrt=F.cbrt, sign=F.signum, infinity=lambda: lit(float("inf")), nan=lambda: lit(float("nan")), e=F.e, pi=F.pi,
+    tanh=F.tanh, atan=F.atan, atan2=F.atan2, sqrt=F.sqrt, cbrt=F.cbrt, sign=_sign, infinity=lambda: lit(float("inf")), nan=lambda: lit(float("nan")), e=F.e, pi=F.pi,
     is_finite=lambda x: ~F.isnan(x) & (F.abs(x) != lit(float("inf"))), is_infinite=lambda x: F.abs(x) == lit(float("inf")), is_nan=F.isnan, rand=F.rand,
     random=lambda n=None: F.rand() if n is None else F.floor(F.rand() * n).cast("bigint"), truncate=_truncate,
     width_bucket=lambda x, *a: F.width_bucket(x, *a) if len(a) == 3 else F.size(F.filter(a[0], lambda b: b <= x)).cast("bigint"),
@@ -116,15 +128,9 @@ def _switch(*arguments: Column) -> Column:
     return out.otherwise(rest[0]) if rest else out
 
 
-#: What ``try`` turns a failing call into: the form of each function that gives null instead of an error.
-_TRY = {"plus": F.try_add, "minus": F.try_subtract, "multiply": F.try_multiply, "divide": F.try_divide, "mod": F.try_mod, "subscript": F.try_element_at, "element_at": F.try_element_at, "json_parse": F.try_parse_json, "parse_datetime": F.try_to_timestamp}
-
-
-def _try(name: str, *arguments: Column) -> Column:
-    """``strict("try", "divide", a, b)``: null where the call would be an error."""
-    if name not in _TRY:
-        raise ValueError(f"no form of {name} gives null instead of an error")
-    return _TRY[name](*arguments)
+def _try(x: Column | str, *arguments) -> Column:
+    """``strict("try", column)``: null where working the column out is an error; or a function's name and its arguments."""
+    return attempt(x if isinstance(x, Column) else strict(x, *arguments))
 
 
 _define(
@@ -277,30 +283,7 @@ _define(
     bitwise_shift_left=lambda x, n, bits: _over(x, n, _shift("shiftleft")(x, n).bitwiseAND(_mask(bits)), lit(0)),
 )
 
-# Dates and times: %-formats become the pattern letters that the JVM knows --------------------------------------------
-#: MySQL format letters and their Java patterns.
-FORMAT = {"Y": "yyyy", "y": "yy", "m": "MM", "c": "M", "d": "dd", "e": "d", "H": "HH", "k": "H", "h": "hh", "I": "hh", "l": "h", "i": "mm", "s": "ss", "S": "ss", "f": "SSSSSS", "p": "a", "T": "HH:mm:ss", "r": "hh:mm:ss a", "M": "MMMM", "b": "MMM", "W": "EEEE", "a": "EEE", "j": "DDD"}
-
-
-def java_pattern(text: str) -> str:
-    """A MySQL date format as a Java pattern; letters outside of % are quoted."""
-    out, i = "", 0
-    while i < len(text):
-        if text[i] == "%" and i + 1 < len(text):
-            letter = text[i + 1]
-            if letter not in FORMAT and letter.isalpha() and letter not in "xvuUVwX":
-                out += f"'{letter}'"
-            elif letter in "xvuUVwX":
-                raise ValueError(f"%{letter} is not supported")
-            else:
-                out += FORMAT.get(letter, letter)
-            i += 2
-        else:
-            out += f"'{text[i]}'" if text[i].isalpha() else "''" if text[i] == "'" else text[i]
-            i += 1
-    return out
-
-
+# Dates and times ----------------------------------------------------------------------------------------------------
 def _unit(name: str) -> str:
     unit = name.upper()
     if unit not in ("MILLISECOND", "SECOND", "MINUTE", "HOUR", "DAY", "WEEK", "MONTH", "QUARTER", "YEAR"):
@@ -334,7 +317,8 @@ _define(
     week=_big(F.weekofyear), week_of_year=_big(F.weekofyear), quarter=_big(F.quarter), month=_big(F.month), day=_big(F.dayofmonth), day_of_month=_big(F.dayofmonth), dow=_iso, day_of_week=_iso,
     doy=_big(F.dayofyear), day_of_year=_big(F.dayofyear), yow=lambda x: F.extract(lit("YEAROFWEEK"), x).cast("bigint"), year_of_week=lambda x: F.extract(lit("YEAROFWEEK"), x).cast("bigint"), hour=_big(F.hour),
     last_day_of_month=F.last_day, minute=_big(F.minute), second=_big(F.second), millisecond=lambda x: F.date_format(x, "SSS").cast("bigint"), date_trunc=lambda unit, x: F.date_trunc(unit, x),
-    date_add=_date_add, date_diff=_date_diff, date_format=lambda x, f: F.date_format(x, java_pattern(f)), format_datetime=F.date_format, parse_datetime=F.to_timestamp, date_parse=lambda s, f: F.to_timestamp(s, java_pattern(f)), current_date=F.current_date,
+    date_add=_date_add, date_diff=_date_diff, date_format=lambda x, f: patterns.write(x, patterns.percents(f)), format_datetime=lambda x, f: patterns.write(x, patterns.runs(f)),
+    parse_datetime=lambda s, f: patterns.read(s, patterns.runs(f)), date_parse=lambda s, f: patterns.read(s, patterns.percents(f)), current_date=F.current_date,
 )
 
 # JSON and URLs ------------------------------------------------------------------------------------------------------

@@ -171,13 +171,24 @@ def ieee754(bits: int) -> Callable[[Column], Column]:
     return lambda column: F.when(column.isNotNull(), F.pandas_udf(run, "binary")(column.cast("double")))
 
 
+#: Fixed value: combinations of one array at most.
+MOST_COMBINATIONS = 100_000
+
+
 def combinations(array: Column, n: int) -> Column:
-    """All combinations of n elements (at most 5), in the order of their places."""
+    """All combinations of n elements (at most 5), in the order of their places; more than MOST_COMBINATIONS are an error."""
     if not 0 <= n <= 5:
         raise ValueError("combinations takes n from 0 to 5")
 
+    def of(a):
+        if a is None:
+            return None
+        if math.comb(len(a), n) > MOST_COMBINATIONS:
+            raise ValueError(f"more than {MOST_COMBINATIONS} combinations")
+        return [list(c) for c in itertools.combinations(list(a), n)]
+
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda a: None if a is None else [list(c) for c in itertools.combinations(list(a), n)])
+        return s.map(of)
 
     run.__annotations__ = {"s": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, T.ArrayType(T.ArrayType(T.LongType())))(array.cast("array<bigint>"))

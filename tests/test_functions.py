@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from gridloom.functions import AGGREGATES, STRICT, SPARK, agg, strict, spark_call
-from gridloom.functions.strict import java_pattern
+from gridloom.functions.patterns import java_pattern
 from gridloom.functions.udfs import incomplete_beta, incomplete_gamma, spooky_hash
 
 lit = F.lit
@@ -129,3 +129,32 @@ def test_lenient_calls_that_stay_errors(spark, make):
 
     with pytest.raises(Exception):  # noqa: B017
         spark.sql("SELECT 'abc' AS word, CAST(id + 1 AS INT) AS one FROM range(1)").select(make(s)).collect()
+
+
+@pytest.mark.parametrize("pattern", ["", "q", "'open", "YYYY-Q"])
+def test_patterns_that_are_errors(pattern):
+    from gridloom.functions import patterns
+
+    with pytest.raises(ValueError):
+        patterns.runs(pattern)
+
+
+def test_combinations_have_a_limit(spark):
+    df = spark.sql("SELECT sequence(1L, 60L) AS a, sequence(1L, 5L) AS b FROM range(1)")
+    assert len(df.select(strict("combinations", F.col("b"), 3).alias("v")).first().v) == 10
+    with pytest.raises(Exception):  # noqa: B017
+        df.select(strict("combinations", F.col("a"), 5)).collect()
+
+
+def test_try_gives_null_for_any_error(spark):
+    df = spark.sql("SELECT 'x' AS word, array(1) AS a, 0 AS zero FROM range(1)")
+    failing = [F.col("word").cast("int"), F.lit(1) / F.col("zero"), F.element_at("a", F.lit(9)), F.raise_error(F.col("word")).cast("int"), strict("codepoint", F.concat("word", "word"))]
+    assert list(df.select(*(strict("try", f).alias(f"c{i}") for i, f in enumerate(failing))).first()) == [None] * 5
+
+
+@pytest.mark.parametrize("x, up, down", [(1.5, 2.0, 1.0), (-1.5, -1.0, -2.0), (-1e-17, 0.0, -1.0), (1e300, 1e300, 1e300), (float("inf"), float("inf"), float("inf")), (2.0, 2.0, 2.0)])
+def test_whole_numbers_of_reals(spark, x, up, down):
+    row = spark.createDataFrame([(x,)], "x double").select(strict("ceil", F.col("x")), strict("floor", F.col("x")), strict("sign", F.col("x"))).first()
+    assert list(row) == [up, down, math.copysign(1, x)]
+    nan = spark.createDataFrame([(float("nan"),)], "x double").select(strict("ceil", F.col("x")), strict("sign", F.col("x"))).first()
+    assert all(math.isnan(v) for v in nan)
