@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 lit = F.lit
@@ -25,25 +26,6 @@ def _entropy(c: Column) -> Column:
     return F.when(F.coalesce(total, lit(0.0)) == 0, 0.0).otherwise(F.greatest(F.log2(total) - F.sum(F.when(c > 0, c * F.log2(c.cast("double"))).otherwise(0.0)) / total, lit(0.0)))
 
 
-def _top(up: bool) -> Callable[..., Column]:
-    def build(x: Column, n: int | None = None) -> Column:
-        if n is None:
-            return F.min(x) if up else F.max(x)
-        return F.slice(F.sort_array(F.collect_list(x), asc=up), 1, n)
-
-    return build
-
-
-def _by(up: bool) -> Callable[..., Column]:
-    def build(x: Column, y: Column, n: int | None = None) -> Column:
-        if n is None:
-            return F.min_by(x, y) if up else F.max_by(x, y)
-        rows = F.filter(F.collect_list(F.struct(y.alias("y"), x.alias("x"))), lambda s: s["y"].isNotNull())
-        return F.slice(F.transform(F.sort_array(rows, asc=up), lambda s: s["x"]), 1, n)
-
-    return build
-
-
 def _first_by_key(entries: Column) -> Column:
     """Entries in order of key and value, the first of each key."""
     ordered = F.array_sort(entries)
@@ -63,17 +45,13 @@ def _reduce_agg(x: Column, start: Column, step: Callable[[Column, Column], Colum
     return F.aggregate(F.array_sort(F.collect_list(x)), start, step)
 
 
-def _percentile(x: Column, p, weight: Column | None = None, accuracy: int = 10000) -> Column:
-    return F.percentile_approx(x, p, accuracy) if weight is None else F.percentile(x, p, weight)
-
-
 AGGREGATES: dict[str, Callable[..., Column]] = {
-    "approx_distinct": lambda x, e=0.023: F.approx_count_distinct(x, e), "approx_set": F.hll_sketch_agg, "merge": F.hll_union_agg, "approx_percentile": _percentile, "arbitrary": F.any_value, "any_value": F.any_value,
+    "approx_distinct": lambda x, e=0.023: F.approx_count_distinct(x, e), "approx_set": F.hll_sketch_agg, "merge": F.hll_union_agg, "approx_percentile": lambda x, p, accuracy=10000: F.percentile_approx(x, p, accuracy), "arbitrary": F.any_value, "any_value": F.any_value,
     "array_agg": _kept, "avg": F.avg, "bitwise_or_agg": F.bit_or, "bitwise_and_agg": F.bit_and, "bitwise_xor_agg": F.bit_xor, "bool_and": F.bool_and, "every": F.every, "bool_or": F.bool_or, "kurtosis": _kurtosis,
     "skewness": lambda x: F.when(F.count(x) >= 3, F.skewness(x.cast("double"))), "checksum": lambda x: F.bit_xor(F.xxhash64(x)), "count": lambda x=None: F.count("*" if x is None else x), "count_if": F.count_if,
     "covar_pop": F.covar_pop, "covar_samp": F.covar_samp, "corr": F.corr, "regr_intercept": F.regr_intercept, "regr_slope": F.regr_slope, "entropy": _entropy, "geometric_mean": lambda x: F.exp(F.avg(F.ln(x.cast("double")))),
     "map_agg": _map_agg, "map_union": _map_union, "max_data_size_for_stats": lambda x: F.max(F.octet_length(x.cast("string"))), "sum_data_size_for_stats": lambda x: F.sum(F.octet_length(x.cast("string"))),
-    "min": _top(True), "max": _top(False), "min_by": _by(True), "max_by": _by(False), "reduce_agg": _reduce_agg, "set_agg": F.collect_set, "set_union": lambda a: F.array_distinct(F.flatten(F.collect_list(a))), "sum": F.sum,
+    "min": F.min, "max": F.max, "min_by": F.min_by, "max_by": F.max_by, "reduce_agg": _reduce_agg, "set_agg": F.collect_set, "set_union": lambda a: F.array_distinct(F.flatten(F.collect_list(a))), "sum": F.sum,
     "stddev": F.stddev, "stddev_pop": F.stddev_pop, "stddev_samp": F.stddev_samp, "variance": F.variance, "var_pop": F.var_pop, "var_samp": F.var_samp, "bit_xor": F.bit_xor, "first": F.first,
     "first_ignore_null": lambda x: F.first(x, ignorenulls=True), "last": F.last, "last_ignore_null": lambda x: F.last(x, ignorenulls=True),
     "array_cat": lambda block, index: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(index.alias("i"), block.alias("b")))), lambda s: s["b"])),
@@ -87,6 +65,38 @@ def agg(name: str, *arguments) -> Column:
         raise ValueError(f"no such aggregate: {name}") from None
 
 
+def top_values(df: DataFrame, keys: Sequence[str], x: str, n: int, name: str, least: bool = False) -> DataFrame:
+    """The n greatest values of each group in an array, greatest first (or the least, least first); nulls don't count."""
+    return top_values_by(df.filter(F.col(x).isNotNull()), keys, x, x, n, name, least)
+
+
+def top_values_by(df: DataFrame, keys: Sequence[str], x: str, y: str, n: int, name: str, least: bool = False) -> DataFrame:
+    """Values of ``x`` in the n rows of each group with the greatest (least) ``y``, ties by ``x``; rows whose y is null don't count.
+
+    Groups are cut to n rows before the shuffle and after it, so no task holds one.
+    """
+    from gridloom.operators.windows import top_n_row_number
+
+    order = [F.asc_nulls_last(c) if least else F.desc_nulls_first(c) for c in dict.fromkeys((y, x))]
+    ranked = top_n_row_number(df.filter(F.col(y).isNotNull()).select(*keys, *dict.fromkeys((x, y))), keys, order, n, "_place")
+    places = [F.first(F.when(F.col("_place") == i, F.struct(F.col(x).alias("v"))), ignorenulls=True) for i in range(1, n + 1)]
+    return ranked.groupBy(*keys).agg(F.transform(F.array_compact(F.array(*places)), lambda s: s["v"]).alias(name))
+
+
+def weighted_percentile(df: DataFrame, keys: Sequence[str], x: str, weight: str, p: float, name: str, error: float = 0.001) -> DataFrame:
+    """A value of each group near its weighted percentile ``p``: within ``error`` of the least one that has this share at or below it, relative to it.
+
+    Values fall in buckets whose bounds grow by a constant factor, so a group has a few thousand rows at most whatever
+    its size. Null, NaN and weightless rows don't count.
+    """
+    v, step = F.col(x).cast("double"), math.log((1 + error) / (1 - error))
+    bucket = F.when(v == 0, 0).otherwise(F.signum(v) * (F.ceil(F.ln(F.abs(v)) / step) + 10_000_000))
+    counted = df.filter(F.col(x).isNotNull() & ~F.isnan(v) & (F.col(weight) > 0)).groupBy(*keys, bucket.alias("_b")).agg(F.sum(F.col(weight).cast("double")).alias("_w"), F.min(v).alias("_low"), F.max(v).alias("_high"))
+    group = Window.partitionBy(*keys)
+    reached = counted.withColumn("_to", F.sum("_w").over(group.orderBy("_b"))).withColumn("_all", F.sum("_w").over(group))
+    return reached.filter(F.col("_to") >= F.col("_all") * p).groupBy(*keys).agg(F.min_by((F.col("_low") + F.col("_high")) / 2, "_b").alias(name))
+
+
 def histogram(df: DataFrame, keys: Sequence[str], x: str, name: str) -> DataFrame:
     """Counts of each value in a map, by key: counted in two steps, so that only distinct values meet."""
     counted = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))

@@ -160,9 +160,27 @@ def _ngrams(a: Column, n: Column) -> Column:
     return F.transform(F.sequence(lit(1), F.greatest(lit(1), F.size(a) - n + 1)), lambda i: F.slice(a, i, n))
 
 
+def _runs(a: Column) -> Column:
+    """Structs (e, n): each distinct element and how often it stands in the array, in order, nulls last; by one sort."""
+
+    def of(ordered: Column) -> Column:
+        starts = F.array_compact(F.transform(ordered, lambda e, i: F.when((i == 0) | ~e.eqNullSafe(F.get(ordered, i - 1)), i)))
+        return _let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(ordered, i).alias("e"), (F.coalesce(F.get(at, k + 1), F.size(ordered)) - i).alias("n"))))
+
+    return _let(F.array_sort(a), of)
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, not for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _frequency(a: Column) -> Column:
-    kinds = F.array_distinct(F.array_compact(a))
-    return F.map_from_arrays(kinds, F.transform(kinds, lambda e: F.size(F.filter(a, lambda y: y == e))))
+    return _let(_runs(F.array_compact(a)), lambda found: F.map_from_arrays(F.transform(found, lambda r: r["e"]), F.transform(found, lambda r: r["n"])))
+
+
+def _duplicates(a: Column) -> Column:
+    return F.sort_array(F.transform(F.filter(_runs(a), lambda r: r["n"] > 1), lambda r: r["e"]))
 
 
 _define(
@@ -170,7 +188,7 @@ _define(
     array_join=F.array_join, array_has_duplicates=lambda a: F.size(F.array_distinct(a)) < F.size(a), array_frequency=_frequency, array_normalize=_normalize,
     trim_array=lambda a, n: F.slice(a, lit(1), F.size(a) - n), remove_nulls=F.array_compact, array_union=F.array_union, array_remove=F.array_remove, all_match=F.forall, any_match=F.exists,
     none_match=lambda a, f: ~F.exists(a, f), find_first=lambda a, f: F.get(F.filter(a, f), lit(0)), find_first_index=lambda a, f: F.nullif(F.array_position(F.transform(a, f), lit(True)), lit(0)),
-    array_distinct=F.array_distinct, array_duplicates=lambda a: F.sort_array(F.filter(F.array_distinct(a), lambda e: F.size(F.filter(a, lambda y: y.eqNullSafe(e))) > 1)),
+    array_distinct=F.array_distinct, array_duplicates=_duplicates,
     array_intersect=F.array_intersect, contains=F.array_contains, array_except=F.array_except, arrays_overlap=F.arrays_overlap, slice=F.slice, zip=F.arrays_zip, zip_with=F.zip_with,
     array_position=_position, shuffle=F.shuffle, array_sort=F.array_sort, array_sort_desc=lambda a: F.sort_array(a, asc=False),
     array_sum=lambda a: _sum(a, lit(0).cast("bigint")), array_sum_double=lambda a: _sum(a, lit(0.0)),

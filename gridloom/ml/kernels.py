@@ -6,7 +6,7 @@ Vectors are arrays of float or double; arithmetic is in double.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +22,11 @@ def total(a: Column) -> Column:
     return F.aggregate(a, lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once: inside a lambda, a plain Column is worked out for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def add(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda x, y: x + y)
 
@@ -39,10 +44,9 @@ def sigmoid(a: Column) -> Column:
 
 
 def softmax(a: Column) -> Column:
-    """Shifted by the largest element, so that it doesn't overflow."""
-    top = F.array_max(a)
-    raised = F.transform(a, lambda x: F.exp(x - top))
-    return F.transform(raised, lambda x: x / total(raised))
+    """Shifted by the largest element, so that it doesn't overflow; linear in the vector."""
+    shifted = lambda top: let(F.transform(a, lambda x: F.exp(x - top)), lambda raised: let(total(raised), lambda n: F.transform(raised, lambda x: x / n)))
+    return let(F.array_max(a), shifted)
 
 
 def argmax(a: Column) -> Column:
@@ -91,11 +95,10 @@ def embedding(indexes: Column, table: Sequence[Sequence[float]]) -> Column:
 
 
 def sequence_pooling(a: Column, width: int, kind: str) -> Column:
-    """min, max or mean over vectors of ``width`` that stand one after the other."""
-    n = F.size(a) / width
-    column = lambda j: F.filter(a, lambda x, i: i % width == j)
-    how = {"min": F.array_min, "max": F.array_max, "mean": lambda c: total(c) / n}[kind]
-    return F.transform(F.sequence(lit(0), lit(width - 1)), lambda j: how(column(j)))
+    """min, max or mean over vectors of ``width`` that stand one after the other; linear in the array."""
+    how = {"min": F.array_min, "max": F.array_max, "mean": lambda c: total(c) / F.size(c)}[kind]
+    vectors = F.transform(F.sequence(lit(0), (F.size(a) / width).cast("int") - 1), lambda i: F.slice(a, i * width + 1, lit(width)))
+    return let(vectors, lambda vs: F.transform(F.sequence(lit(0), lit(width - 1)), lambda j: how(F.transform(vs, lambda v: F.get(v, j)))))
 
 
 def position_encoding(a: Column, position: Column, width: int) -> Column:
@@ -216,4 +219,4 @@ def binary_class(a: Column, cut: float = 0.5) -> Column:
     return (F.element_at(a, 1) >= cut).cast("int")
 
 
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("math", "annotations", "Sequence", "Column", "DataFrame", "F", "lit")]
+__all__ = [n for n in dir() if not n.startswith("_") and n not in ("math", "annotations", "Callable", "Sequence", "Column", "DataFrame", "F", "lit")]

@@ -11,7 +11,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -228,7 +229,18 @@ class Tree(Kernel):
 
     @classmethod
     def parse(cls, text: str) -> Tree:
-        """From the text dump of a boosted tree: ``0:[f2<1.5] yes=1,no=2,missing=1`` and ``1:leaf=0.3`` lines."""
+        """From a dump of a boosted tree, as text or as a graph.
+
+        Text has a line a node, ``0:[f2<1.5] yes=1,no=2,missing=1`` or ``1:leaf=0.3``. A graph has ``0 [ label="f2<1.5" ]``
+        or ``1 [ label="leaf=0.3" ]`` for nodes and ``0 -> 1 [label="yes, missing"]`` for what follows them; where no
+        edge says so, a missing value goes right.
+        """
+        nodes = cls._of_graph(text) if "->" in text or "graph" in text or re.search(r"\[\s*label", text) else cls._of_lines(text)
+        rows = [nodes.get(i, (-1, 0.0, 0, 0, 0, 0.0)) for i in range(max(nodes) + 1)]
+        return cls(*(np.array(c) for c in zip(*rows, strict=True)))
+
+    @staticmethod
+    def _of_lines(text: str) -> dict[int, tuple]:
         nodes = {}
         for line in filter(None, map(str.strip, text.splitlines())):
             if m := re.match(r"(\d+):leaf=([-+\d.eE]+)", line):
@@ -237,8 +249,28 @@ class Tree(Kernel):
                 nodes[int(m[1])] = (int(m[2]), float(m[3]), int(m[4]), int(m[5]), int(m[6] or m[5]), 0.0)
             else:
                 raise ValueError(f"not a node of a tree: {line}")
-        rows = [nodes.get(i, (-1, 0.0, 0, 0, 0, 0.0)) for i in range(max(nodes) + 1)]
-        return cls(*(np.array(c) for c in zip(*rows, strict=True)))
+        return nodes
+
+    @staticmethod
+    def _of_graph(text: str) -> dict[int, tuple]:
+        labels, edges = {}, {}
+        for line in filter(None, map(str.strip, text.splitlines())):
+            if m := re.match(r'(\d+)\s*->\s*(\d+)\s*\[\s*label="([^"]*)"', line):
+                for word in filter(None, re.split(r"[,\s]+", m[3])):
+                    edges[int(m[1]), word] = int(m[2])
+            elif m := re.match(r'(\d+)\s*\[\s*label="([^"]*)"', line):
+                labels[int(m[1])] = m[2]
+            elif not re.match(r"digraph\b|graph\b|\}|//", line):
+                raise ValueError(f"not a line of a tree's graph: {line}")
+        nodes = {}
+        for i, label in labels.items():
+            if m := re.fullmatch(r"leaf=([-+\d.eE]+)", label):
+                nodes[i] = (-1, 0.0, 0, 0, 0, float(m[1]))
+            elif (m := re.fullmatch(r"f?(\d+)<([-+\d.eE]+)", label)) and (i, "yes") in edges and (i, "no") in edges:
+                nodes[i] = (int(m[1]), float(m[2]), edges[i, "yes"], edges[i, "no"], edges.get((i, "missing"), edges[i, "no"]), 0.0)
+            else:
+                raise ValueError(f"not a whole node of a tree's graph: {i} {label}")
+        return nodes
 
     def __call__(self, x):
         at = np.zeros(len(x), int)
@@ -288,24 +320,23 @@ class Boosted(Kernel):
         return sum(t.cost(width) for t in self.trees)
 
 
-def matrix(column: pd.Series) -> np.ndarray:
-    return np.array(column.tolist(), float) if len(column) else np.zeros((0, 0))
+def matrix(column: pa.Array) -> np.ndarray:
+    """A list array without null lists as rows of a matrix; null elements are NaN."""
+    column = column.cast(pa.list_(pa.float64()))
+    return pc.fill_null(column.flatten(), float("nan")).to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def apply(kernel: Kernel, column: Column) -> Column:
     """The kernel over a vector column; null vectors give null."""
 
-    def run(x: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(x), dtype=object)
-        some = np.flatnonzero(x.notna().to_numpy())
-        if len(some):
-            made = kernel(matrix(x.iloc[some]))
-            for i, row in zip(some.tolist(), made.tolist(), strict=True):
-                out.iat[i] = row
-        return out
+    def run(x: pa.Array) -> pa.Array:
+        some = x.is_valid().to_numpy(zero_copy_only=False)
+        made = np.asarray(kernel(matrix(x.drop_null())), float) if some.any() else np.zeros((0, 0))
+        ends = np.concatenate([[0], np.cumsum(np.where(some, made.shape[1], 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(made.ravel()), mask=pa.array(~some))
 
-    run.__annotations__ = {"x": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, "array<double>")(column.cast("array<double>"))
+    run.__annotations__ = {"x": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "array<double>")(column.cast("array<double>"))
 
 
 def scalar(kernel: Kernel, column: Column) -> Column:

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator, Sequence
-from functools import partial, reduce
+from collections.abc import Sequence
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,45 +21,35 @@ def distance(a: Column, b: Column) -> Column:
     return total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)))
 
 
-def _best(batches: Iterator[pd.DataFrame], ids: list, vectors: np.ndarray, k: int) -> Iterator[pd.DataFrame]:
-    """The k best documents of a partition for each query of a block."""
-    far, near = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
-    norms = (vectors * vectors).sum(axis=1)[:, None]
-    for batch in batches:
-        if not len(batch):
-            continue
-        w, d = np.array(batch["w"].tolist(), float), batch["d"].to_numpy()
-        some = np.maximum(norms - 2 * vectors @ w.T + (w * w).sum(axis=1)[None, :], 0.0)
-        far, near = np.concatenate([far, some], axis=1), np.concatenate([near, np.broadcast_to(d, some.shape)], axis=1)
-        order = np.lexsort((near, far), axis=1)[:, :k]
-        far, near = np.take_along_axis(far, order, axis=1), np.take_along_axis(near, order, axis=1)
-    n = near.shape[1]
-    yield pd.DataFrame({"q": np.repeat(np.array(ids), n), "d": near.reshape(-1), "far": far.reshape(-1)})
+def _best(queries: pa.Table, documents: pa.Table, k: int) -> pa.Table:
+    """The k best documents of a group for each query of a block, some thousand distances a query at a time."""
+    if not queries.num_rows or not documents.num_rows:
+        return pa.table({"q": pa.array([], pa.int64()), "d": pa.array([], pa.int64()), "far": pa.array([], pa.float64())})
+    vectors, w = (np.asarray(t.column("v").combine_chunks().flatten(), float).reshape(t.num_rows, -1) for t in (queries, documents))
+    ids, d = queries.column("q").to_numpy(), documents.column("d").to_numpy()
+    norms, some = (w * w).sum(axis=1)[None, :], []
+    for start in range(0, len(ids), 256):
+        v = vectors[start : start + 256]
+        far = np.maximum((v * v).sum(axis=1)[:, None] - 2 * v @ w.T + norms, 0.0)
+        order = np.lexsort((np.broadcast_to(d, far.shape), far), axis=1)[:, :k]
+        some.append((np.repeat(ids[start : start + 256], order.shape[1]), d[order].reshape(-1), np.take_along_axis(far, order, axis=1).reshape(-1)))
+    return pa.table(dict(zip(("q", "d", "far"), map(np.concatenate, zip(*some, strict=True)), strict=True)))
 
 
 def nearest(queries: DataFrame, documents: DataFrame, query_id: str, vector: str, document_id: str, k: int = 1, block: int = 4096) -> DataFrame:
     """For every query its k nearest documents, exactly: (query_id, document_id, distance, place); ids are integers.
 
-    Queries travel in blocks of at most ``block`` (the driver holds one at a time); each block meets all documents in
-    numpy, and a task keeps its best k of each query, so what is shuffled is k rows for each query and task.
+    Queries are dealt to blocks and documents to groups of some ``block``, and every block meets every group in one
+    task, in numpy. Only k rows for each query and group are shuffled on, and no vector passes the driver.
     """
-    docs = documents.select(F.col(document_id).cast("long").alias("d"), F.col(vector).alias("w"))
-    found, ids, vectors = [], [], []
-
-    def flush() -> None:
-        run = partial(_best, ids=list(ids), vectors=np.array(vectors, float), k=k)
-        found.append(docs.mapInPandas(run, "q long, d long, far double"))
-        ids.clear()
-        vectors.clear()
-
-    for row in queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).toLocalIterator():
-        ids.append(row.q)
-        vectors.append(row.v)
-        if len(ids) == block:
-            flush()
-    if ids or not found:
-        flush()
-    top = top_n_row_number(reduce(DataFrame.union, found), ["q"], ["far", "d"], k, "place")
+    asked = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).cast("array<double>").alias("v"))
+    docs = documents.select(F.col(document_id).cast("long").alias("d"), F.col(vector).cast("array<double>").alias("v"))
+    blocks, groups = (max(1, -(-x.count() // block)) for x in (asked, docs))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = asked.select("*", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int").alias("b")).select("*", every(groups, "g"))
+    right = docs.select("*", F.pmod(F.xxhash64("d"), F.lit(groups)).cast("int").alias("g")).select("*", every(blocks, "b"))
+    found = left.groupBy("b", "g").cogroup(right.groupBy("b", "g")).applyInArrow(lambda a, b: _best(a, b, k), "q long, d long, far double")
+    top = top_n_row_number(found, ["q"], ["far", "d"], k, "place")
     return top.select(F.col("q").alias(query_id), F.col("d").alias(document_id), F.col("far").alias("distance"), "place")
 
 

@@ -24,11 +24,12 @@ def aggregate(df: DataFrame, keys: Sequence[str], aggregates: dict[str, Column |
     return df.groupBy(*keys).agg(*columns)
 
 
-def sorted_aggregate(df: DataFrame, keys: Sequence[str], name: str, value: str, by: Sequence[str], descending: bool = False) -> DataFrame:
-    """Values of each group in an array, ordered by other columns."""
-    row = F.struct(*(F.col(c).alias(f"k{i}") for i, c in enumerate(by)), F.col(value).alias("v"))
-    ordered = F.sort_array(F.collect_list(row), asc=not descending)
-    return df.groupBy(*keys).agg(F.transform(ordered, lambda r: r["v"]).alias(name))
+def sorted_aggregate(df: DataFrame, keys: Sequence[str], name: str, value: str, by: Sequence[str | Column], descending: bool = False) -> DataFrame:
+    """Values of each group in an array, ordered by other columns: names, or Columns with a direction and place of nulls of their own."""
+    order = [(F.desc(c) if descending else F.asc(c)) if isinstance(c, str) else c for c in by]
+    placed = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    listed = F.collect_list(F.struct(F.col("_place"), F.col(value).alias("v")))  # the operator's result: a group's values
+    return placed.groupBy(*keys).agg(F.transform(F.array_sort(listed), lambda r: r["v"]).alias(name))
 
 
 def grouping_sets(df: DataFrame, sets: Sequence[Sequence[str]], *aggregates: Column, id_name: str | None = None) -> DataFrame:

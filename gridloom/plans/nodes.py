@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -244,15 +244,15 @@ def _trees(df: DataFrame, call: Call, vector) -> DataFrame:
     keyed, distinct = _keyed(df, vector)
     spread = distinct.select("_key", "_vector", F.explode(F.sequence(F.lit(0), F.lit(len(forest.trees) - 1))).alias("tree"))
 
-    def run(x: pd.Series, tree: pd.Series) -> pd.Series:
+    def run(x: pa.Array, tree: pa.Array) -> pa.Array:
         rows, number, out = models.matrix(x), tree.to_numpy(), np.zeros(len(x))
         for t in np.unique(number):
             own = number == t
             out[own] = forest.trees[t](rows[own])[:, 0]
-        return pd.Series(out)
+        return pa.array(out)
 
-    run.__annotations__ = {"x": pd.Series, "tree": pd.Series, "return": pd.Series}
+    run.__annotations__ = {"x": pa.Array, "tree": pa.Array, "return": pa.Array}
     mean = F.sum("leaf") / len(forest.trees)
     value = (mean > 0).cast("double") if forest.classification else mean
-    made = spread.select("_key", F.pandas_udf(run, "double")("_vector", "tree").alias("leaf")).groupBy("_key").agg(F.array(value).alias(call.name))
+    made = spread.select("_key", F.arrow_udf(run, "double")("_vector", "tree").alias("leaf")).groupBy("_key").agg(F.array(value).alias(call.name))
     return keyed.join(made, "_key", "left").drop("_key", "_vector")

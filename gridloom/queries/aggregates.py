@@ -35,10 +35,39 @@ _grouped("regression", {n: (lambda n=n: F.round(agg(n, _c("l_extendedprice"), _c
          ", ".join(f"round({n}(l_extendedprice, l_quantity), 6) AS {n}" for n in ("covar_pop", "covar_samp", "corr", "regr_intercept", "regr_slope")))
 _grouped("entropy", {"e": lambda: F.round(agg("entropy", _c("l_quantity")), 6), "g": lambda: F.round(agg("geometric_mean", _c("l_quantity")), 6)},
          "round(log2(sum(l_quantity)) - sum(l_quantity * log2(l_quantity)) / sum(l_quantity), 6) AS e, round(exp(avg(ln(l_quantity))), 6) AS g")
-_grouped("top_values", {"lo": lambda: agg("min", _c("l_orderkey"), 3), "hi": lambda: agg("max", _c("l_orderkey"), 3)}, "array_agg(l_orderkey ORDER BY l_orderkey)[1:3] AS lo, array_agg(l_orderkey ORDER BY l_orderkey DESC)[1:3] AS hi")
+
+
+def _top_values(spark, sf_dir):
+    lines = tables(spark, sf_dir).lineitem
+    low, high = (A.top_values(lines, ["l_suppkey"], "l_orderkey", 3, name, least) for name, least in (("lo", True), ("hi", False)))
+    return low.join(high, "l_suppkey")
+
+
+QUERIES["agg_top_values"] = (
+    _top_values,
+    "SELECT l_suppkey, array_agg(l_orderkey ORDER BY l_orderkey)[1:3] AS lo, array_agg(l_orderkey ORDER BY l_orderkey DESC)[1:3] AS hi FROM lineitem GROUP BY l_suppkey",
+)
 _by = {"key": "o_custkey", "table": "orders"}
-_grouped("by", {"x": lambda: agg("min_by", _c("o_orderkey"), _c("o_totalprice")), "y": lambda: agg("max_by", _c("o_orderkey"), _c("o_totalprice")), "xs": lambda: agg("min_by", _c("o_orderkey"), _c("o_totalprice"), 2), "ys": lambda: agg("max_by", _c("o_orderkey"), _c("o_totalprice"), 2)},
-         "arg_min(o_orderkey, o_totalprice) AS x, arg_max(o_orderkey, o_totalprice) AS y, array_agg(o_orderkey ORDER BY o_totalprice, o_orderkey)[1:2] AS xs, array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC)[1:2] AS ys", **_by)
+
+
+def _values_by(spark, sf_dir):
+    orders = tables(spark, sf_dir).orders
+    one = orders.groupBy("o_custkey").agg(agg("min_by", _c("o_orderkey"), _c("o_totalprice")).alias("x"), agg("max_by", _c("o_orderkey"), _c("o_totalprice")).alias("y"))
+    low, high = (A.top_values_by(orders, ["o_custkey"], "o_orderkey", "o_totalprice", 2, name, least) for name, least in (("xs", True), ("ys", False)))
+    return one.join(low, "o_custkey").join(high, "o_custkey")
+
+
+QUERIES["agg_by"] = (
+    _values_by,
+    "SELECT o_custkey, arg_min(o_orderkey, o_totalprice) AS x, arg_max(o_orderkey, o_totalprice) AS y, array_agg(o_orderkey ORDER BY o_totalprice, o_orderkey)[1:2] AS xs, "
+    "array_agg(o_orderkey ORDER BY o_totalprice DESC, o_orderkey DESC)[1:2] AS ys FROM orders GROUP BY o_custkey",
+)
+QUERIES["agg_percentile_by_weight"] = (
+    lambda spark, sf_dir: A.weighted_percentile(tables(spark, sf_dir).lineitem, ["l_returnflag"], "l_extendedprice", "l_quantity", 0.3, "v").join(
+        tables(spark, sf_dir).lineitem.groupBy("l_returnflag").agg(F.percentile("l_extendedprice", 0.3, F.col("l_quantity").cast("int")).alias("exact")), "l_returnflag").select(
+        "l_returnflag", (F.abs(F.col("v") / F.col("exact") - 1) < 0.002).alias("near")),
+    "SELECT l_returnflag, true AS near FROM lineitem GROUP BY l_returnflag",
+)
 _grouped("lists", {"all": lambda: F.array_sort(agg("array_agg", F.nullif("o_orderstatus", F.lit("P")))), "kinds": lambda: F.array_sort(agg("set_agg", _c("o_orderstatus"))), "more": lambda: F.array_sort(agg("set_union", F.array("o_orderstatus", "o_orderpriority")))},
          """array_agg(nullif(o_orderstatus, 'P') ORDER BY nullif(o_orderstatus, 'P') NULLS LAST) AS "all", list_sort(list(DISTINCT o_orderstatus)) AS kinds, list_sort(list_distinct(flatten(list([o_orderstatus, o_orderpriority])))) AS more""", **_by)
 _grouped("any", {"v": lambda: agg("any_value", F.lit(7)), "w": lambda: agg("arbitrary", F.lit("x")), "f": lambda: agg("first", F.lit(1)), "l": lambda: agg("last", F.lit(2)), "fi": lambda: agg("first_ignore_null", F.nullif(F.lit(1), F.lit(1))), "li": lambda: agg("last_ignore_null", F.lit(4))},
@@ -74,8 +103,8 @@ QUERIES["agg_array_cat"] = (
     "SELECT o_custkey, flatten(array_agg([o_orderkey, o_custkey] ORDER BY o_orderkey)) AS v FROM orders GROUP BY o_custkey",
 )
 QUERIES["agg_reduce_agg"] = (
-    lambda spark, sf_dir: tables(spark, sf_dir).orders.groupBy("o_custkey").agg(agg("reduce_agg", _c("o_orderkey"), F.lit(0).cast("long"), lambda s, x: s * 3 % 1000003 + x).alias("v")),
-    None,
+    lambda spark, sf_dir: tables(spark, sf_dir).orders.groupBy("o_custkey").agg(agg("reduce_agg", _c("o_orderkey"), F.lit(7).cast("long"), lambda s, x: F.greatest(s, F.pmod(x, F.lit(1013)))).alias("v")),
+    "SELECT o_custkey, greatest(7, max(o_orderkey % 1013))::BIGINT AS v FROM orders GROUP BY o_custkey",
 )
 QUERIES["agg_most_frequent"] = (
     lambda spark, sf_dir: A.most_frequent(tables(spark, sf_dir).lineitem, ["l_returnflag"], "l_quantity", 3, "m").select("l_returnflag", F.explode("m").alias("k", "n")),
@@ -89,11 +118,23 @@ QUERIES["agg_percentile_weighted"] = (
     lambda spark, sf_dir: tables(spark, sf_dir).lineitem.groupBy("l_returnflag").agg(F.percentile("l_quantity", 0.25).alias("p25"), F.percentile("l_quantity", 0.5).alias("p50")),
     "SELECT l_returnflag, quantile_cont(l_quantity, 0.25) AS p25, quantile_cont(l_quantity, 0.5) AS p50 FROM lineitem GROUP BY l_returnflag",
 )
-QUERIES["agg_sketches"] = (  # estimates: checked by tolerance in tests, not by value
-    lambda spark, sf_dir: tables(spark, sf_dir).lineitem.groupBy("l_returnflag").agg(
-        agg("approx_distinct", _c("l_partkey")).alias("d"), F.hll_sketch_estimate(agg("approx_set", _c("l_partkey"))).alias("h"), agg("approx_percentile", _c("l_quantity"), 0.5).alias("p"), agg("checksum", _c("l_orderkey")).alias("c")),
-    None,
-)
+
+
+def _sketches(spark, sf_dir):
+    """Estimates against exact values: whether each is within its error bound; a sketch of sketches estimates as one of all rows."""
+    lines = tables(spark, sf_dir).lineitem
+    estimate = lambda column: F.hll_sketch_estimate(column)
+    near = lambda made, exact, bound: F.abs(made / exact - 1) < bound
+    exact, parts = F.count_distinct("l_partkey"), lines.groupBy("l_returnflag", F.pmod("l_orderkey", F.lit(4))).agg(agg("approx_set", _c("l_partkey")).alias("part"))
+    whole = lines.groupBy("l_returnflag").agg(
+        exact.alias("exact"), near(agg("approx_distinct", _c("l_partkey")), exact, 0.1).alias("distinct_near"), estimate(agg("approx_set", _c("l_partkey"))).alias("estimate"),
+        near(agg("approx_percentile", _c("l_quantity"), 0.5), F.percentile("l_quantity", 0.5), 0.05).alias("percentile_near"), (agg("checksum", _c("l_orderkey")) == F.bit_xor(F.xxhash64("l_orderkey"))).alias("sum_same"),
+    )
+    merged = parts.groupBy("l_returnflag").agg(estimate(agg("merge", _c("part"))).alias("merged"))
+    return whole.join(merged, "l_returnflag").select("l_returnflag", "distinct_near", "percentile_near", "sum_same", near(F.col("estimate"), F.col("exact"), 0.05).alias("set_near"), near(F.col("merged"), F.col("exact"), 0.05).alias("merged_near"))
+
+
+QUERIES["agg_sketches"] = (_sketches, "SELECT l_returnflag, true AS distinct_near, true AS percentile_near, true AS sum_same, true AS set_near, true AS merged_near FROM lineitem GROUP BY l_returnflag")
 QUERIES["agg_approx_distinct_error"] = (
     lambda spark, sf_dir: tables(spark, sf_dir).lineitem.groupBy("l_returnflag").agg(((F.abs(agg("approx_distinct", _c("l_partkey")) - F.count_distinct("l_partkey")) / F.count_distinct("l_partkey")) < 0.1).alias("near")),
     "SELECT l_returnflag, true AS near FROM lineitem GROUP BY l_returnflag",

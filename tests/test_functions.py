@@ -87,8 +87,8 @@ def test_date_patterns():
 
 def test_aggregates_of_few_rows(spark):
     df = spark.createDataFrame([(1.0, "a"), (None, "b"), (3.0, None)], "x double, s string")
-    row = df.agg(agg("kurtosis", F.col("x")).alias("k"), agg("skewness", F.col("x")).alias("w"), agg("array_agg", F.col("x")).alias("l"), agg("entropy", F.col("x") * 0).alias("e"), agg("max", F.col("x"), 5).alias("t")).first()
-    assert row.k is None and row.w is None and len(row.l) == 3 and row.e == 0 and row.t == [3.0, 1.0]
+    row = df.agg(agg("kurtosis", F.col("x")).alias("k"), agg("skewness", F.col("x")).alias("w"), agg("array_agg", F.col("x")).alias("l"), agg("entropy", F.col("x") * 0).alias("e")).first()
+    assert row.k is None and row.w is None and len(row.l) == 3 and row.e == 0
 
 
 def test_user_functions(spark):
@@ -158,3 +158,45 @@ def test_whole_numbers_of_reals(spark, x, up, down):
     assert list(row) == [up, down, math.copysign(1, x)]
     nan = spark.createDataFrame([(float("nan"),)], "x double").select(strict("ceil", F.col("x")), strict("sign", F.col("x"))).first()
     assert all(math.isnan(v) for v in nan)
+
+
+@pytest.mark.parametrize("name", ["agg_top_values", "agg_by"])
+def test_top_values_hold_no_group(spark, small, name):
+    from gridloom import queries as registry
+
+    plan = registry.queries()[name](spark, small)._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "WindowGroupLimit" in plan
+
+
+def test_top_values_of_nulls_and_few_rows(spark):
+    from gridloom.functions import aggregates as A
+
+    df = spark.createDataFrame([("a", 3, None), ("a", None, 5), ("a", 1, 7), ("b", None, None)], "k string, x int, y int")
+    assert {r.k: r.v for r in A.top_values(df, ["k"], "x", 5, "v").collect()} == {"a": [3, 1]}
+    assert {r.k: r.v for r in A.top_values_by(df, ["k"], "x", "y", 1, "v", least=True).collect()} == {"a": [None]}
+
+
+def test_weighted_percentile_of_both_signs(spark):
+    from gridloom.functions import aggregates as A
+
+    rows = [("a", float(i - 50), 1 + i % 3) for i in range(101)] + [("b", 0.0, 1), ("b", None, 4), ("c", 2.0, 0)]
+    df = spark.createDataFrame(rows, "k string, x double, w int")
+    for p in (0.1, 0.5, 0.9):
+        spread = sorted(x for k, x, w in rows if k == "a" for _ in range(w))
+        want = spread[max(0, math.ceil(p * len(spread)) - 1)]
+        got = {r.k: r.v for r in A.weighted_percentile(df, ["k"], "x", "w", p, "v").collect()}
+        assert set(got) == {"a", "b"} and got["b"] == 0 and abs(got["a"] - want) <= 0.0011 * abs(want)
+
+
+def test_array_runs_are_counted(spark):
+    df = spark.createDataFrame([([3, 1, None, 3, None],), ([],), (None,)], "a array<int>")
+    made = [tuple(r) for r in df.select(strict("array_frequency", F.col("a")), strict("array_duplicates", F.col("a"))).collect()]
+    assert made == [({1: 1, 3: 2}, [None, 3]), ({}, []), (None, None)]
+
+
+def test_sorted_aggregate_takes_a_direction_and_place_of_nulls_for_each_key(spark):
+    from gridloom import operators as op
+
+    df = spark.createDataFrame([("k", 1, None, "a"), ("k", 1, 2, "b"), ("k", 2, 1, "c"), ("k", None, 9, "d")], "k string, x int, y int, v string")
+    made = op.sorted_aggregate(df, ["k"], "vs", "v", [F.desc_nulls_first("x"), F.asc_nulls_last("y")])
+    assert made.first().vs == ["d", "c", "b", "a"]

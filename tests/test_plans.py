@@ -113,3 +113,48 @@ def test_batch_norm_dropout_noise(spark):
     rows_, watch = k.counted(df, "seen")
     rows_.count()
     assert watch.get["rows"] == 10
+
+
+GRAPH = """digraph {
+    graph [ rankdir=TB ]
+    0 [ label="f1<2.5" ]
+    0 -> 1 [label="yes, missing" color="#0000FF"]
+    0 -> 2 [label="no" color="#FF0000"]
+    1 [ label="leaf=-0.25" ]
+    2 [ label="f0<-1e-1" ]
+    2 -> 3 [label="yes"]
+    2 -> 4 [label="no"]
+    3 [ label="leaf=1.5" ]
+    4 [ label="leaf=2" ]
+}
+"""
+
+
+def test_a_tree_reads_its_graph_as_its_text():
+    text = "0:[f1<2.5] yes=1,no=2,missing=1\n1:leaf=-0.25\n2:[f0<-1e-1] yes=3,no=4,missing=4\n3:leaf=1.5\n4:leaf=2"
+    draw = np.random.default_rng(0)
+    x = np.concatenate([draw.normal(0, 3, (200, 2)), [[np.nan, 9.0], [0.0, np.nan]]])
+    assert (models.Tree.parse(GRAPH)(x) == models.Tree.parse(text)(x)).all()
+    for wrong in ("digraph {\n 0 [ label=\"f1<2\" ]\n}", "digraph {\n what is this\n}"):
+        with pytest.raises(ValueError):
+            models.Tree.parse(wrong)
+
+
+def test_kernels_over_null_vectors(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [-1.0, 5.0])], "i int, v array<double>")
+    assert [r.y for r in df.select("i", models.apply(models.Relu(), F.col("v")).alias("y")).orderBy("i").collect()] == [[1.0, 2.0], None, [0.0, 5.0]]
+    assert [r.y for r in df.limit(0).select(models.apply(models.Relu(), F.col("v")).alias("y")).collect()] == []
+
+
+def test_nearest_documents_over_many_blocks(spark):
+    from gridloom.ml import retrieval
+
+    draw = np.random.default_rng(1)
+    asked, docs = draw.normal(size=(70, 6)), draw.normal(size=(150, 6))
+    frame = lambda rows, name: spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], f"{name} long, v array<double>")
+    far = ((asked[:, None] - docs[None]) ** 2).sum(axis=2)
+    made = retrieval.nearest(frame(asked, "q"), frame(docs, "d"), "q", "v", "d", k=3, block=32).collect()
+    assert {(r.q, r.place): r.d for r in made} == {(q, i + 1): int(d) for q in range(70) for i, d in enumerate(np.argsort(far[q])[:3])}
+    assert retrieval.nearest(frame(asked, "q").limit(0), frame(docs, "d"), "q", "v", "d").collect() == []
