@@ -128,3 +128,37 @@ def most_frequent(df: DataFrame, keys: Sequence[str], x: str, n: int, name: str)
     counted = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))
     top = top_n_row_number(counted, keys, [F.desc("_n"), x], n)
     return top.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(x, "_n")))).alias(name))
+
+
+#: Hashes of a value in a Bloom filter.
+PROBES = 6
+
+
+def _spots(x: Column, bits: int) -> list[tuple[Column, Column]]:
+    """(word, bit) of each probe of a value in a bitmap of 64-bit words."""
+    places = [F.pmod(F.xxhash64(x, lit(i)), lit(bits)) for i in range(PROBES)]
+    return [(F.shiftright(at, 6), F.call_function("shiftleft", lit(1).cast("bigint"), at.bitwiseAND(lit(63)).cast("int"))) for at in places]
+
+
+def bloom_filter_agg(df: DataFrame, keys: Sequence[str], x: str, name: str, expected: int = 100_000, bits: int | None = None) -> DataFrame:
+    """A Bloom filter of the values of each group: a map from words of its bitmap, those that aren't 0, to their bits.
+
+    Bits are set before the shuffle, a row a word, so a group never travels. ``bits`` is some nine for each of the
+    ``expected`` distinct values unless given, which lets one in a hundred others pass. Nulls don't count.
+    """
+    spots = F.array(*(F.struct(w.alias("w"), b.alias("b")) for w, b in _spots(F.col(x), bits or filter_bits(expected))))
+    words = df.filter(F.col(x).isNotNull()).select(*keys, F.explode(spots).alias("_s")).groupBy(*keys, F.col("_s.w").alias("_w")).agg(F.bit_or("_s.b").alias("_b"))
+    return words.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_b"))).alias(name))
+
+
+def filter_bits(expected: int) -> int:
+    return max(64, 9 * expected)
+
+
+def might_contain(bloom: Column, x: Column, expected: int = 100_000, bits: int | None = None) -> Column:
+    """False if the filter, made with the same ``expected`` or ``bits``, never saw the value; null if either is null."""
+    held = [F.coalesce(F.try_element_at(bloom, w), lit(0).cast("bigint")).bitwiseAND(b) != 0 for w, b in _spots(x, bits or filter_bits(expected))]
+    every = held[0]
+    for one in held[1:]:
+        every = every & one
+    return F.when(bloom.isNotNull() & x.isNotNull(), every)

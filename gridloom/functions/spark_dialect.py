@@ -13,6 +13,7 @@ from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from gridloom.functions.aggregates import might_contain
 from gridloom.functions.catalyst import expression, option, unchecked
 
 #: Names that Spark SQL has under the same name.
@@ -68,6 +69,8 @@ OWN: dict[str, Callable[..., Column]] = {
 }
 OWN |= {f"decimal_{name}": OWN[name] for name in ("equalto", "notequalto", "lessthan", "lessthanorequal", "greaterthan", "greaterthanorequal")}
 
+OWN["might_contain"] = might_contain
+
 #: Functions that take lambdas or plain values go through the API, not by name.
 _API = {"transform": F.transform, "aggregate": F.aggregate, "filter": F.filter, "map_filter": F.map_filter, "sha2": F.sha2, "round": F.round, "regexp_extract": F.regexp_extract, "split": F.split, "rand": F.rand, "sort_array": F.sort_array, "array_sort": F.array_sort, "translate": F.translate, "map": F.create_map, "array": F.array}
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.queries import aggregates, edges, functions, lenient, ml, relational, sinks, tpch, windows
+from gridloom.queries import aggregates, edges, functions, imported, lenient, ml, relational, sinks, tpch, windows
 
-MODULES = (tpch, relational, sinks, windows, aggregates, functions, edges, lenient, ml)
+MODULES = (tpch, relational, sinks, windows, aggregates, functions, edges, lenient, ml, imported)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog import tables
 from gridloom.functions import aggregates as A
+from gridloom.functions import spark_call
 from gridloom.functions.aggregates import agg
 
 QUERIES = {}
@@ -139,3 +140,15 @@ QUERIES["agg_approx_distinct_error"] = (
     lambda spark, sf_dir: tables(spark, sf_dir).lineitem.groupBy("l_returnflag").agg(((F.abs(agg("approx_distinct", _c("l_partkey")) - F.count_distinct("l_partkey")) / F.count_distinct("l_partkey")) < 0.1).alias("near")),
     "SELECT l_returnflag, true AS near FROM lineitem GROUP BY l_returnflag",
 )
+
+
+def _bloom(spark, sf_dir):
+    """A filter of the part keys of each supplier's returned lines: it knows all of them, and few others."""
+    lines = tables(spark, sf_dir).lineitem
+    blooms = A.bloom_filter_agg(lines.filter("l_returnflag = 'R'"), ["l_suppkey"], "l_partkey", "bloom", expected=2_000)
+    seen = spark_call("might_contain", _c("bloom"), _c("l_partkey"), 2_000)
+    other = spark_call("might_contain", _c("bloom"), -_c("l_partkey"), 2_000)
+    return lines.filter("l_returnflag = 'R'").join(blooms, "l_suppkey").groupBy("l_suppkey").agg(F.bool_and(seen).alias("seen"), (F.avg(other.cast("int")) < 0.2).alias("few_others"))
+
+
+QUERIES["agg_bloom_filter"] = (_bloom, "SELECT l_suppkey, true AS seen, true AS few_others FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_suppkey")

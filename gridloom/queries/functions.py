@@ -127,7 +127,7 @@ _family("binary", "nation", "n_nationkey", {
     "be32": (lambda: F.hex(p("to_big_endian_32", c("n_nationkey"))), "lpad(hex(n_nationkey::BIGINT), 8, '0')"), "be64": (lambda: F.hex(p("to_big_endian_64", c("n_nationkey"))), "lpad(hex(n_nationkey::BIGINT), 16, '0')"), "from32": (lambda: p("from_big_endian_32", F.unhex(lit("FFFFFFFE"))), "-2"), "from64": (lambda: p("from_big_endian_64", F.unhex(lit("000000000000002A"))), "42"),
 })
 _family("udfs", "nation", "n_nationkey", {
-    **{n: (lambda n=n: F.hex(p(n, _b(), F.encode(lit("key"), "UTF-8"))), None) for n in ("hmac_md5", "hmac_sha1", "hmac_sha256", "hmac_sha512")}, **{n: (lambda n=n: F.hex(p(n, _b())), None) for n in ("xxhash64", "spooky_hash_v2_32", "spooky_hash_v2_64")}, "sha512": (lambda: F.hex(p("sha512", _b())), None),
+    **{n: (lambda n=n: F.hex(p(n, _b(), F.encode(lit("key"), "UTF-8"))), None) for n in ("hmac_sha512",)}, **{n: (lambda n=n: F.hex(p(n, _b())), None) for n in ("xxhash64", "spooky_hash_v2_32", "spooky_hash_v2_64")}, "sha512": (lambda: F.hex(p("sha512", _b())), None),
     "crc": (lambda: p("crc32", _b()), None), "f64": (lambda: F.hex(p("to_ieee754_64", c("n_nationkey") / 3)), None), "f32": (lambda: F.hex(p("to_ieee754_32", c("n_nationkey") / 3)), None),
 })
 _x = lambda: c("l_quantity") / 10
@@ -137,7 +137,21 @@ _family("probability", "lineitem", "l_orderkey", {
     "beta": (_r(lambda: p("beta_cdf", lit(2.0), lit(1.0), _x() / 5)), "round(pow(l_quantity / 50, 2), 8)"), "poisson": (_r(lambda: p("poisson_cdf", _x(), lit(1))), "round(exp(-l_quantity / 10) * (1 + l_quantity / 10), 8)"), "binomial": (_r(lambda: p("binomial_cdf", lit(2), _x() / 5, lit(1))), "round(1 - pow(l_quantity / 50, 2), 8)"),
     "f": (_r(lambda: p("f_cdf", lit(2.0), lit(2.0), _x())), "round((l_quantity / 10) / (1 + l_quantity / 10), 8)"), "inverse_beta": (_r(lambda: p("inverse_beta_cdf", lit(2.0), lit(1.0), _x() / 5)), "round(sqrt(l_quantity / 50), 8)"),
 })
-_family("normal_cdf", "lineitem", "l_orderkey", {"v": (_r(lambda: p("normal_cdf", lit(2.0), lit(1.5), _x())), None)})
+_family("normal_cdf", "lineitem", "l_orderkey", {  # the SQL adds up the density by Simpson's rule
+    "v": (_r(lambda: p("normal_cdf", lit(2.0), lit(1.5), _x())),
+          "round(0.5 + (l_quantity / 10 - 2) / 1.5 / 240 / sqrt(2 * pi()) * list_sum(list_transform(range(0, 81), lambda i: (CASE WHEN i IN (0, 80) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+          " * exp(-pow((l_quantity / 10 - 2) / 1.5 * i / 80, 2) / 2))), 8)"),
+})
+
+
+def _hmac_sql(digest: str) -> str:
+    """The keyed hash of n_name, by its definition: the key's two pads are constants."""
+    inner, outer = (bytes(b ^ pad for b in b"key".ljust(64, b"\0")).hex() for pad in (0x36, 0x5C))
+    return f"upper({digest}(unhex('{outer}') || unhex({digest}(unhex('{inner}') || encode(n_name)))))"
+
+
+_family("hmac", "nation", "n_nationkey", {f"hmac_{n}": (lambda n=n: F.hex(p(f"hmac_{n}", _b(), F.encode(lit("key"), "UTF-8"))), _hmac_sql(n)) for n in ("md5", "sha1", "sha256")})
+_family("lenient_digests", "part", "p_partkey", {"s256": (lambda: s("sha2", c("p_name"), 256), "sha256(p_name)"), "s1": (lambda: s("sha1", c("p_name")), "sha1(p_name)")})
 QUERIES["fn_random"] = (lambda spark, sf_dir: tables(spark, sf_dir).orders.select("o_orderkey", p("random", lit(10)).between(0, 9).alias("ok"), (p("rand") < 1).alias("ok2"), (F.size(p("shuffle", F.array(lit(1), lit(2)))) == 2).alias("ok3")), "SELECT o_orderkey, true AS ok, true AS ok2, true AS ok3 FROM orders")
 _family("lenient", "part", "p_partkey", {
     **{n: (lambda n=n: s(n, c("p_type")), f"{d}(p_type)") for n, d in (("lower", "lower"), ("upper", "upper"), ("length", "length"), ("ascii", "ascii"), ("md5", "md5"))}, "dow": (lambda: s("dow", lit("2024-03-05").cast("date")), "3"), "div0": (lambda: s("divide", c("p_size"), lit(0)), "CAST(NULL AS DOUBLE)"),

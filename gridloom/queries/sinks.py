@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -14,10 +16,14 @@ QUERIES = {}
 
 
 def _folder(spark) -> str:
-    """A new folder where executors and driver can both write: below the checkpoint folder of a cluster."""
+    """A new folder where executors and driver can both write: below the checkpoint folder; a local session may do without one."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not shared:
-        return tempfile.mkdtemp(prefix="gridloom-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = tempfile.mkdtemp(prefix="gridloom-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        return path
     return f"{shared.rstrip('/')}/written-{uuid.uuid4().hex}"
 
 

@@ -158,3 +158,37 @@ def test_nearest_documents_over_many_blocks(spark):
     made = retrieval.nearest(frame(asked, "q"), frame(docs, "d"), "q", "v", "d", k=3, block=32).collect()
     assert {(r.q, r.place): r.d for r in made} == {(q, i + 1): int(d) for q in range(70) for i, d in enumerate(np.argsort(far[q])[:3])}
     assert retrieval.nearest(frame(asked, "q").limit(0), frame(docs, "d"), "q", "v", "d").collect() == []
+
+
+@pytest.mark.parametrize("broken", [
+    {"relations": [{"rel": {"cross": {}}}]}, {"relations": [{"rel": {"filter": {"input": {"read": {"namedTable": {"names": ["t"]}}}, "condition": {"scalarFunction": {"functionReference": 9, "arguments": []}}}}}]},
+    {"extensions": [{"extensionFunction": {"functionAnchor": 1, "name": "no_such:i64"}}], "relations": [{"rel": {"filter": {"input": {"read": {"namedTable": {"names": ["t"]}}}, "condition": {"scalarFunction": {"functionReference": 1}}}}}]},
+])
+def test_plans_from_outside_that_are_errors(spark, broken):
+    from gridloom.plans import from_substrait
+
+    with pytest.raises(ValueError):
+        from_substrait(spark, broken, lambda name: spark.range(3))
+
+
+def test_a_substrait_plan_reads_files_and_masks_measures(spark, tmp_path):
+    from gridloom.plans import from_substrait
+
+    path = str(tmp_path / "rows")
+    spark.range(10).selectExpr("id AS a", "id % 2 = 0 AS even").write.parquet(path)
+    field = lambda i: {"selection": {"directReference": {"structField": {"field": i}}}}
+    read = {"read": {"baseSchema": {"names": ["a", "even"], "struct": {"types": [{"i64": {}}, {"bool": {}}]}}, "localFiles": {"items": [{"uriFolder": path, "parquet": {}}]}}}
+    measures = [{"measure": {"functionReference": 1, "arguments": [{"value": field(0)}]}, "filter": field(1)}, {"measure": {"functionReference": 2, "arguments": [{"value": field(1)}], "invocation": "AGGREGATION_INVOCATION_DISTINCT"}}]
+    plan = {"extensions": [{"extensionFunction": {"functionAnchor": i, "name": n}} for i, n in ((1, "sum:i64"), (2, "count:any"))], "relations": [{"rel": {"aggregate": {"input": read, "measures": measures}}}]}
+    assert tuple(from_substrait(spark, plan, None).first()) == (20, 2)
+
+
+def test_join_orders_that_are_errors(spark):
+    from gridloom.plans import join_in_order
+
+    frame = spark.range(3)
+    for order in ("[]", '[{"ID": "0", "Left": "a", "Right": "x", "ProbeKeys": "id", "BuildKeys": "id"}]'):
+        with pytest.raises(ValueError):
+            join_in_order(order, {"a": frame})
+    same = join_in_order('[{"ID": "0", "Left": "a", "Right": "b", "ProbeKeys": "id", "BuildKeys": "id"}]', {"a": frame, "b": frame.selectExpr("id", "id * 2 AS twice")})
+    assert sorted(map(tuple, same.collect())) == [(0, 0), (1, 2), (2, 4)]
