@@ -30,3 +30,11 @@ def test_entry_imports_without_the_subpackage(tmp_path):
     code = "import __spark_entry__ as e; assert not any(n.startswith('op') or n == 'pipeline' for n in e.queries()); print(len(e.queries()))"
     made = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert made.returncode == 0, made.stderr
+
+
+def test_entry_imports_without_an_optional_library(tmp_path):
+    for name in ("ahocorasick", "zstandard", "public_tokenizers"):
+        (tmp_path / f"{name}.py").write_text(f"raise ModuleNotFoundError('no module named {name}', name='{name}')")
+    code = "import __spark_entry__ as e; assert 'tpch_q1' in e.queries() and 'pipeline' not in e.queries() and set(e.oracle_sql()) <= set(e.queries())"
+    made = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=ROOT, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": f"{tmp_path}:{ROOT}"}, capture_output=True, text=True)
+    assert made.returncode == 0, made.stderr
