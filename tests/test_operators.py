@@ -86,3 +86,29 @@ def test_stream_drops_repeats(spark, small, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("once").count() == events.count()
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_order_by_orders_all_rows_without_one_task_for_them(spark, small):
+    from gridloom import queries as registry
+
+    df = registry.queries()["rel_order_by"](spark, small)
+    rows = [(r.a, r.c_custkey) for r in df.collect()]
+    assert rows == sorted(rows, key=lambda r: (r[0] is not None, -(r[0] or 0), r[1]))
+    assert "rangepartitioning" in plan_of(df) and "SinglePartition" not in plan_of(df)
+
+
+def test_partitionings_have_the_plans_that_they_say(spark, small):
+    from gridloom import queries as registry
+
+    dealt = plan_of(registry.queries()["rel_partitioned_output"](spark, small))
+    assert dealt.count("Exchange hashpartitioning(s_nationkey") == 1  # the grouping uses the partitions that there are
+    local = plan_of(registry.queries()["rel_local_partition"](spark, small))
+    assert "RoundRobinPartitioning(6)" in local and "Coalesce 3" in local
+    ranged = plan_of(op.repartition(spark.range(10), "range", 3, "id"))
+    assert "rangepartitioning(id" in ranged
+    merged = plan_of(registry.queries()["rel_merge_exchange_all"](spark, small))
+    assert "rangepartitioning" in merged and "Union" in merged
