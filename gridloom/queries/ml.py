@@ -40,7 +40,7 @@ _kernel("dot_product", lambda v: _rounded(k.dot_product(v, F.reverse(v))), "[rou
 _kernel("cosine_similarity", lambda v: F.round(k.cosine_similarity(v, F.reverse(v)), 7), "round(list_dot_product(v, list_reverse(v)) / (list_dot_product(v, v) + 1e-8), 7)")
 _kernel("concat", lambda v: k.concat(v, v), "list_concat(v, v)")
 _kernel("min_max", lambda v: F.round(k.min_max(F.element_at(v, 1), -1.0, 1.0), 8), "round((v[1] + 1) / 2, 8)")
-_kernel("dropout", lambda v: F.size(k.dropout(v, 0.3)), "64")
+_kernel("dropout", lambda v: F.forall(F.zip_with(k.dropout(v, 0.3), v, lambda d, x: (d == 0) | (d == x)), lambda fine: fine) & (k.dropout(v, 0.3) == k.dropout(v, 0.3)) & (k.dropout(v, 0.0) == v), "true")
 _kernel("embedding", lambda v: k.embedding(F.array(F.pmod("vec_id", F.lit(3)).cast("int"), F.lit(1)), [[0.0, 1.0], [2.0, 3.0], [4.0, 5.0]]), "list_concat([[0.0, 1.0], [2.0, 3.0], [4.0, 5.0]][(vec_id % 3 + 1)::INTEGER], [2.0, 3.0])::DOUBLE[]")
 _kernel("sequence_pooling", lambda v: k.sequence_pooling(v, 32, "max"), "list_transform(range(1, 33), lambda i: greatest(v[i], v[i + 32]))")
 _kernel("sequence_pooling_mean", lambda v: _rounded(k.sequence_pooling(v, 32, "mean")), _r("list_transform(range(1, 33), lambda i: (v[i] + v[i + 32]) / 2)"))
@@ -60,8 +60,8 @@ _kernel("token_frequency", lambda v: k.token_frequency(F.array(F.lit(0), F.lit(2
 _kernel("ratings_vector", lambda v: k.ratings_vector(F.create_map(F.lit(2), F.pmod("vec_id", F.lit(5)).cast("int")), 3), "[0.0::DOUBLE, (vec_id % 5)::DOUBLE, 0.0]")
 _kernel("multi_hot", lambda v: k.multi_hot(F.array(F.lit(1), F.lit(3)), 4), "[0.0::DOUBLE, 0.5, 0.0, 0.5]")
 _kernel("conversions", lambda v: F.element_at(k.as_int_vector(k.change_rating(F.pmod("vec_id", F.lit(5)))), 1), "CASE WHEN vec_id % 5 >= 3 THEN 1 ELSE 0 END")
-_kernel("laplace_noise", lambda v: F.size(k.laplace(v, 1.0)), "64")
-_kernel("offline_provider", lambda v: F.length(retrieval.complete(F.col("vec_id").cast("string"), retrieval.OfflineProvider())), "15")
+_kernel("laplace_noise", lambda v: (k.laplace(v, 1.0) == k.laplace(v, 1.0)) & (k.laplace(v, 1.0) != v) & F.forall(F.zip_with(k.laplace(v, 1e12), v, lambda d, x: F.abs(d - x) < 1e-9), lambda fine: fine), "true")
+_kernel("offline_provider", lambda v: retrieval.complete(F.col("vec_id").cast("string"), retrieval.OfflineProvider()), "'answer-' || substr(sha256(vec_id::VARCHAR), 1, 8)")
 QUERIES["ml_batch_norm"] = (
     lambda spark, sf_dir: k.batch_norm(tables(spark, sf_dir).embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", [1.0] * 64, [0.0] * 64, "y").select("vec_id", F.round(F.element_at("y", 1), 6).alias("y")),
     "SELECT vec_id, round((embedding[1] - avg(embedding[1]::DOUBLE) OVER ()) / sqrt(var_samp(embedding[1]::DOUBLE) OVER () + 1e-5), 6) AS y FROM embeddings",
@@ -100,7 +100,7 @@ QUERIES["ml_rag_nearest"] = (
     """WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
 SELECT q.vec_id AS query_id, d.vec_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(q.v, d.v), 6), d.vec_id) AS place FROM e q, e d WHERE q.vec_id % 50 = 0 QUALIFY place <= 3""",
 )
-QUERIES["ml_tokenizer"] = (lambda spark, sf_dir: tables(spark, sf_dir).documents.select("doc_id", F.size(retrieval.hash_tokenizer(F.col("text"))).alias("n")), None)
+QUERIES["ml_tokenizer"] = (lambda spark, sf_dir: tables(spark, sf_dir).documents.select("doc_id", F.size(retrieval.hash_tokenizer(F.col("text"))).alias("n")), r"SELECT doc_id, len(list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> ''))::INTEGER AS n FROM documents")
 
 # Plans: each rule alone must give what the plan as written gives ------------------------------------------------------
 _RULE_SQL = "SELECT vec_id, " + "[" + ", ".join("round(greatest(list_dot_product(v, [" + ", ".join(f"{x!r}::DOUBLE" for x in c.tolist()) + "]) + 0.1, 0), 6)" for c in _WS.T) + "] AS y FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
