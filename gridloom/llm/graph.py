@@ -21,19 +21,19 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return hung.filter("x != low").select(F.col("x").alias("a"), F.col("low").alias("b")).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, parts: int | None = None) -> DataFrame:
     """(node, component) for every node with an edge; component is the smallest node reachable.
 
     ``edges`` has two columns of one orderable type; direction, loops, repeats and nulls don't matter. Each pass is
     two aggregations and two joins, cut by a checkpoint in the shared folder; passes grow with the logarithm of the
-    number of nodes. A hub is only ever aggregated, or the skewed side of a join that Spark may split.
+    number of nodes; its files are ``parts`` at most. A hub is only ever aggregated, or the skewed side of a join that Spark may split.
     """
     a, b = edges.columns
-    now = checkpoint(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    now = checkpoint(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).filter("a IS NOT NULL AND b IS NOT NULL AND a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), parts)
     mark = F.struct(F.count("*"), F.bit_xor(F.xxhash64("a", "b")))
     seen = now.agg(mark).first()[0]
     while seen[0]:
-        now = checkpoint(_stars(_stars(now, large=True), large=False))
+        now = checkpoint(_stars(_stars(now, large=True), large=False), parts)
         then, seen = seen, now.agg(mark).first()[0]
         if then == seen:
             break

@@ -7,30 +7,35 @@ most precisely near 1, for a few bytes a class. Candidates share a band; a sketc
 threshold drops it; the full sets confirm all others.
 
 Classes in one bucket are not paired with each other. In each round every bucket has one leader and its other classes
-are checked against that; a bucket whose classes are all in one component is done. The first leader is any class; later
-ones are those with the smallest share of shingles that no other open class has, the centre of a group of edited copies.
-Buckets that hold several components after ``rounds`` rounds are compared in blocks, less the classes ruled out by the
-shingles that they have alone.
+are checked against that; a bucket whose classes are all in one component is done. The leader is the class that shares
+most buckets with most others, the centre of a group of edited copies; in later rounds, the one of a component that has
+not led. Buckets that hold several components after ``rounds`` rounds are compared in blocks: sketches first, which tell
+the classes that may be linked with another component at all, then the sets of those.
+
+A bucket with more than its share of all rows is split: its rows are dealt by class among as many tasks as the shuffle
+has partitions. There are fewer than four such buckets a partition, so a list of them is small whatever the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 from functools import partial
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm import textnum
-from gridloom.llm._common import checkpoint, map_arrow, slices
+from gridloom.llm._common import checkpoint, map_arrow, parts_for, shuffle_partitions, slices
 from gridloom.llm.graph import components
 
 BANDS, ROWS, SKETCH_BITS = 24, 4, 256
-#: Classes of a bucket in one chunk of the last, blockwise comparison.
-CHUNK = 256
+#: Classes that one copy of a leader's set meets; classes of a bucket in one block of the comparison by sketches.
+CHUNK, SKETCHES = 256, 256
+#: Shingles of a bucket in one block of the comparison by sets.
+BLOCK_SHINGLES = 1 << 17
 U64 = np.uint64
 
 
@@ -97,6 +102,25 @@ def _far(a: str, b: str) -> F.Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
 
 
+def _copies(n: F.Column) -> F.Column:
+    """0 to n - 1, a row each."""
+    return F.explode(F.sequence(F.lit(0).cast("long"), n.cast("long") - 1))
+
+
+def _buckets(classes: DataFrame) -> tuple[DataFrame, F.Column, int]:
+    """(key, salt, c, members) of all classes in buckets of two or more; how many salts a bucket of so many members has; rows in all."""
+    spark = classes.sparkSession
+    parts = shuffle_partitions(spark)
+    spread = classes.select("c", F.explode("keys").alias("key"))
+    shared = checkpoint(spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1"), parts_for(spark, classes.count()))
+    total = shared.agg(F.sum("members")).first()[0] or 0
+    share = total / (4 * parts)
+    salts = F.when(F.col("members") > share, F.lit(parts)).otherwise(F.lit(1))
+    large = shared.filter(F.col("members") > share).select("key", F.lit(parts).alias("salts"))  # fewer than 4 * parts rows
+    dealt = spread.join(F.broadcast(large), "key", "left").withColumn("salt", F.pmod(F.xxhash64("c"), F.coalesce("salts", F.lit(1)))).select("key", "salt", "c")
+    return checkpoint(dealt.join(shared.withColumn("salt", _copies(salts)), ["key", "salt"]), parts_for(spark, total)), salts, total
+
+
 def near_duplicates(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, threshold: float = 0.8,
     bands: int = BANDS, rows: int = ROWS, slack: float = 0.3, rounds: int = 2,
@@ -112,70 +136,72 @@ def near_duplicates(
 
     A pair of similarity ``threshold`` shares no band with probability (1 - threshold ** rows) ** bands, 3e-6 at the
     defaults; ``slack`` is how far below the threshold a sketch's estimate must lie to drop a pair (over five of its
-    standard deviations at the default).
+    standard deviations at the default). Links are confirmed on full sets, in integers.
     """
+    ratio = Fraction(threshold).limit_denominator(10_000)
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     signed = checkpoint(map_arrow(texts, partial(_signatures, size=size, bands=bands, rows=rows), f"id {dict(texts.dtypes)['id']}, node binary, n long, sketch array<long>, keys array<long>"))
-    classes = checkpoint(signed.filter("id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys")))
-
-    spread = classes.select("node", F.explode("keys").alias("key"))
-    shared = spread.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
-    buckets = checkpoint(spread.join(shared.withColumn("salts", F.ceil(F.col("members") / CHUNK)), "key"))
-    active = buckets.select("node").distinct()
-    wanted = classes.join(active, "node", "left_semi").select(F.col("low").alias("id")).distinct()
-    sets = checkpoint(
-        map_arrow(texts.join(wanted, "id", "left_semi").select("text"), partial(_sets, size=size), "node binary, shingles array<long>")
-        .filter("node IS NOT NULL").join(active, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    found = signed.filter("id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
+    spark = df.sparkSession
+    classes = checkpoint(found.withColumn("c", F.monotonically_increasing_id()), parts_for(spark, signed.count()))  # the numbers are those in the files
+    buckets, salts, total = _buckets(classes)
+    parts = parts_for(spark, total)  # of what is made of the buckets
+    small = partial(checkpoint, parts=parts)
+    active = small(buckets.groupBy("c").agg(F.sum("members").alias("weight")))
+    own = classes.join(active, "c")
+    sets = small(
+        map_arrow(texts.join(own.select(F.col("low").alias("id")).distinct(), "id", "left_semi").select("text"), partial(_sets, size=size), "node binary, shingles array<long>")
+        .filter("node IS NOT NULL").join(own.select("node", "c"), "node").groupBy("c").agg(F.first("shingles").alias("shingles"))
     )
-    marks = classes.select("node", "n", "sketch")
+    marks = small(own.select("c", "n", "sketch"))
+    # Ties are broken by a hash; where that ties too, any class may lead.
+    rank = F.shiftleft(F.col("weight"), 20).bitwiseOR(F.xxhash64("c").bitwiseAND(F.lit((1 << 20) - 1)))
     most = sketch_distance(max(0.0, threshold - slack))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """(a, b, similarity) of pairs that sizes and sketches don't rule out; the leaders are a.
+        """(a, b) of the pairs that are links; the leaders are a.
 
-        A leader meets as many classes as its bucket has, so its sketch and set are laid out ``salts`` times, once for
+        A leader meets as many classes as its bucket has, so its sketch and set are laid out ``copies`` times, once for
         each CHUNK of them, and its pairs are dealt among those.
         """
-        pairs = checkpoint(pairs.groupBy("a", "b").agg(F.max("salts").alias("salts")).withColumn("salt", F.pmod(F.xxhash64("b"), "salts")))
-        heads = pairs.select("a", "salts").distinct()
-        spots = F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt")
-        on = ["a", "salts", "salt"]
+        pairs = small(pairs.groupBy("a", "b").agg(F.max("copies").alias("copies")).withColumn("copy", F.pmod(F.xxhash64("b"), "copies")))
+        heads = pairs.select("a", "copies").distinct()
+        on = ["a", "copies", "copy"]
         near = (
-            pairs.join(marks.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-            .join(heads.join(marks.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").select("a", "salts", "na", "sa", spots), on)
-            .filter(F.least("na", "nb") >= F.greatest("na", "nb") * (threshold - 1e-9)).filter(_far("sa", "sb") <= most).select(*on, "b", "na", "nb")
+            pairs.join(marks.select(F.col("c").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+            .join(heads.join(marks.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a").select("a", "copies", "na", "sa", _copies(F.col("copies")).alias("copy")), on)
+            .filter(F.least("na", "nb") * ratio.denominator >= F.greatest("na", "nb") * ratio.numerator).filter(_far("sa", "sb") <= most).select(*on, "b", "na", "nb")
         )
-        both = near.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("xb")), "b").join(heads.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("xa")), "a").select("a", "salts", "xa", spots), on)
-        return both.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("common")).select("a", "b", (F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("similarity"))
-
-    near_enough = F.col("similarity") >= threshold - 1e-12
-    links, placed, open_, alone = None, None, buckets, None
-    for turn in range(rounds + 1):
-        if links is not None:
-            placed = checkpoint(components(links.select("a", "b")))
-            # A bucket of two is done: its leader was compared with the other.
-            open_ = buckets.filter("members > 2").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
-            several = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key")
-            open_ = checkpoint(open_.join(several, "key"))
-            if open_.isEmpty():
-                break
-            if alone is None:
-                alone = checkpoint(_alone(open_, sets, marks))
-            lead = open_.join(alone, "node").groupBy("key").agg(F.min(F.struct(F.col("alone") / F.col("n"), "node")).alias("least")).select("key", F.col("least.node").alias("lead"))
-            open_ = open_.join(lead, "key")
-        if turn == rounds:
-            links = links.union(checkpoint(_rest(open_, alone, sets, threshold)))
-            placed = components(links.select("a", "b"))
-            break
-        if turn == 0:
-            led = open_.join(open_.groupBy("key").agg(F.min("node").alias("lead")), "key")
-            pairs = led.filter("node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b"), "salts")
-        else:
-            leads = placed.select(F.col("node").alias("lead"), F.col("component").alias("of"))
-            pairs = open_.join(leads, "lead", "left").filter("component != coalesce(of, lead)").select(F.col("lead").alias("a"), F.col("node").alias("b"), "salts")
-        fresh = checkpoint(confirmed(pairs).filter(near_enough))
+        leads = heads.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("xa")), "a").select("a", "copies", "xa", _copies(F.col("copies")).alias("copy"))
+        both = near.join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("xb")), "b").join(leads, on)
+        common = both.select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).cast("long").alias("common"))
+        return common.filter(F.col("common") * ratio.denominator >= (F.col("na") + F.col("nb") - F.col("common")) * ratio.numerator).select("a", "b")
+
+    # Open buckets: (key, salt, c, members, rank, led); after the first round also component.
+    open_ = small(buckets.join(active, "c").select("key", "salt", "c", "members", rank.alias("rank"), F.lit(False).alias("led")))
+    led = open_.groupBy("key").agg(F.first("members").alias("members"), F.max_by("c", "rank").alias("lead"), F.lit(None).cast("long").alias("of"))
+    links, placed = None, None
+    for turn in range(rounds):
+        led = small(led.withColumn("salt", _copies(salts)).drop("members"))
+        met = open_.join(led, ["key", "salt"])
+        apart = F.col("c") != F.col("lead") if turn == 0 else F.col("component") != F.col("of")
+        fresh = small(confirmed(met.filter(apart).select(F.col("lead").alias("a"), F.col("c").alias("b"), F.ceil(F.col("members") / CHUNK).alias("copies"))))
         links = fresh if links is None else links.union(fresh)
-    of_class = classes.select("node", "low").join(placed, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        placed = small(components(links, parts))
+        # A bucket of two is done: its leader was compared with the other.
+        now = open_.drop("component").join(led, ["key", "salt"]).filter("members > 2").select("key", "salt", "c", "members", "rank", (F.col("led") | (F.col("c") == F.col("lead"))).alias("led"))
+        now = small(now.join(placed.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c")))
+        groups = now.groupBy("key", "component").agg(F.first("members").alias("members"), F.count("*").alias("here"), F.max_by("c", "rank").alias("lead"), F.max("rank").alias("rank"), F.max("led").alias("led"))
+        fresh_rank = F.when(~F.col("led"), F.col("rank"))
+        led = small(groups.groupBy("key").agg(F.first("members").alias("members"), F.count("*").alias("several"), F.max_by("lead", fresh_rank).alias("lead"), F.max_by("component", fresh_rank).alias("of")).filter("several > 1"))
+        open_ = small(now.join(led.select("key", _copies(salts).alias("salt")), ["key", "salt"]))
+        led = led.drop("several").filter("lead IS NOT NULL")
+        if open_.isEmpty():
+            break
+    else:
+        links = links.union(small(_rest(open_, marks, sets, salts, ratio, most, parts)))
+        placed = components(links, parts)
+    of_class = classes.select("c", "node", "low").join(placed.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
     lowest = of_class.groupBy("component").agg(F.min("low").alias("component_id"))
     named = of_class.join(lowest, "component").select("node", "component_id")
     return signed.join(named, "node", "left").select(
@@ -184,49 +210,68 @@ def near_duplicates(
     )
 
 
-def _alone(open_: DataFrame, sets: DataFrame, marks: DataFrame) -> DataFrame:
-    """(node, n, alone) of the open classes: how many shingles of a class no other open class has."""
-    own = open_.select("node").distinct()
-    each = sets.join(own, "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
-    once = each.groupBy("shingle").agg(F.count("*").alias("classes"), F.min("node").alias("node")).filter("classes = 1").groupBy("node").agg(F.count("*").alias("alone"))
-    return marks.join(own, "node", "left_semi").join(once, "node", "left").select("node", "n", F.coalesce("alone", F.lit(0)).alias("alone"))
+def _blocks(rows: DataFrame, blocks: str, columns: list[str]) -> DataFrame:
+    """Deal the rows of each key to ``blocks`` blocks; every two of them meet as one group (key, i, j)."""
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("c"), blocks)).withColumn("other", _copies(F.col(blocks)))
+    return dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns)
 
 
-def _rest(open_: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _rest(open_: DataFrame, marks: DataFrame, sets: DataFrame, salts: F.Column, ratio: Fraction, most: float, parts: int) -> DataFrame:
     """Links between different components of one bucket.
 
-    Shingles that a class has alone can't be common to a pair: classes with too many of their own are left out. The
-    others of a bucket are dealt to chunks of some ``CHUNK`` classes, and every two chunks meet in one task, which
-    compares their sets and gives links only. A set travels once for each chunk of its bucket, not once a pair.
+    Blocks of sketches tell which classes may be linked with one of another component at all, a row a class. Only the
+    sets of those travel, once for each block of their bucket, and every two blocks meet in one task, which gives links.
     """
-    able = classes.filter(F.col("n") - F.col("alone") >= F.col("n") * (threshold - 1e-9)).select("node", "n")
-    side = open_.select("key", "node", "component").join(able, "node")
-    sizes = side.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x != y").select("key", F.ceil(F.col("m") / CHUNK).alias("chunks"))
-    dealt = side.join(sizes, "key").withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
-    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-    met = met.select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "component", "n").join(sets, "node")
-    return met.groupBy("key", "i", "j").applyInPandas(partial(_compare, threshold=threshold), "a binary, b binary, similarity double")
-
-
-def _compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
-    """Links of the rows, one for each class and other component."""
-    none = pd.DataFrame({"a": pd.Series(dtype=object), "b": pd.Series(dtype=object), "similarity": pd.Series(dtype=float)})
-    _, component = np.unique([bytes(c) for c in rows["component"]], return_inverse=True)
-    if component.max(initial=0) == 0:
-        return none
-    sets, n = rows["shingles"].tolist(), rows["n"].to_numpy()
-    owner = np.repeat(np.arange(len(rows)), [len(x) for x in sets])
-    _, kind, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    side = open_.join(marks, "c").withColumn("blocks", F.ceil(F.col("members") / SKETCHES)).select("key", "members", "c", "component", "n", "sketch", "blocks")
+    able = _blocks(side, "blocks", ["members", "c", "component", "n", "sketch"]).groupBy("key", "i", "j").applyInArrow(lambda g: _able(g, ratio, most), "key long, members long, c long, n long, component long")
+    able = checkpoint(able.groupBy("key", "c").agg(F.first("members").alias("members"), F.first("n").alias("n"), F.first("component").alias("component")), parts)
+    sizes = able.groupBy("key").agg(F.first("members").alias("members"), F.ceil(F.greatest(F.sum("n") / BLOCK_SHINGLES, F.count("*") / SKETCHES)).alias("blocks"))
+    sizes = checkpoint(sizes.select("key", "blocks", _copies(salts).alias("salt")), parts)
+    dealt = checkpoint(able.withColumn("salt", F.pmod(F.xxhash64("c"), salts)).join(sizes, ["key", "salt"]).select("key", "c", "component", "n", "blocks"), parts).join(sets, "c")
+    return _blocks(dealt, "blocks", ["c", "component", "n", "shingles"]).groupBy("key", "i", "j").applyInArrow(lambda g: _compare(g, ratio), "a long, b long")
+
+
+def _able(group: pa.Table, ratio: Fraction, most: float) -> pa.Table:
+    """The classes of a group that sizes and sketches don't keep from a link with another component."""
+    n, component = group.column("n").to_numpy(), group.column("component").to_numpy()
+    sketch = np.array(group.column("sketch").combine_chunks().flatten()).view(U64).reshape(len(n), -1)
+    found = np.zeros(len(n), bool)
+    for a in range(0, len(n), CHUNK):
+        for b in range(a, len(n), CHUNK):
+            x, y = slice(a, a + CHUNK), slice(b, b + CHUNK)
+            far = sum(np.bitwise_count(sketch[x, None, i] ^ sketch[None, y, i]).astype(np.int32) for i in range(sketch.shape[1]))
+            low, high = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
+            near = (far <= most) & (component[x, None] != component[None, y]) & (low * ratio.denominator >= high * ratio.numerator)
+            found[x] |= near.any(axis=1)
+            found[y] |= near.any(axis=0)
+    return group.filter(pa.array(found)).select(["key", "members", "c", "n", "component"])
+
+
+def _compare(group: pa.Table, ratio: Fraction) -> pa.Table:
+    """Links of a group's classes, one for each class and other component: common shingles by products of 0-1 matrices."""
+    n, c = group.column("n").to_numpy(), group.column("c").to_numpy()
+    _, component = np.unique(group.column("component").to_numpy(), return_inverse=True)
+    column = group.column("shingles").combine_chunks()
+    ends = np.asarray(column.offsets) - column.offsets[0].as_py()
+    owner = np.repeat(np.arange(len(n)), np.diff(ends))
+    _, kind, times = np.unique(np.asarray(column.flatten()), return_inverse=True, return_counts=True)
     shared = times[kind] > 1
     owner, (_, kind) = owner[shared], np.unique(kind[shared], return_inverse=True)
-    common = np.zeros((len(rows), len(rows)), np.float32)
-    for start in range(0, int(kind.max(initial=-1)) + 1, 4096):
-        own = (kind >= start) & (kind < start + 4096)
-        has = np.zeros((len(rows), 4096), np.float32)
-        has[owner[own], kind[own] - start] = 1
-        common += has @ has.T
-    similarity = common.astype(float) / (n[:, None] + n[None, :] - common)
-    x, y = np.nonzero((similarity >= threshold - 1e-12) & (component[:, None] != component[None, :]))
-    _, first = np.unique(x * (component.max() + 1) + component[y], return_index=True)
-    nodes = [bytes(b) for b in rows["node"]]
-    return pd.DataFrame({"a": [nodes[i] for i in x[first]], "b": [nodes[i] for i in y[first]], "similarity": similarity[x[first], y[first]]}) if len(first) else none
+    order = np.argsort(kind, kind="stable")
+    owner, kind = owner[order], kind[order]
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for top in range(0, len(n), CHUNK):
+        rows = slice(top, top + CHUNK)
+        common = np.zeros((min(CHUNK, len(n) - top), len(n)), np.float32)
+        for start in range(0, int(kind.max(initial=-1)) + 1, 2048):
+            own = slice(*np.searchsorted(kind, [start, start + 2048]))
+            has = np.zeros((len(n), 2048), np.float32)
+            has[owner[own], kind[own] - start] = 1
+            common += has[rows] @ has.T
+        both = common.astype(np.int64)
+        near = (both * ratio.denominator >= (n[rows, None] + n[None] - both) * ratio.numerator) & (component[rows, None] != component[None])
+        x, y = np.nonzero(near)
+        _, first = np.unique(x * (component.max(initial=0) + 1) + component[y], return_index=True)
+        a.append(c[rows][x[first]])
+        b.append(c[y[first]])
+    return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})

@@ -15,7 +15,7 @@ U64 = np.uint64
 #: Bytes of text handled at once, so that the temporaries stay in cache; a longer text is handled alone and whole.
 BLOCK_BYTES = 1 << 20
 #: Bytes of a longer text that are hashed at once.
-SPAN_BYTES = 1 << 22
+SPAN_BYTES = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _space = np.zeros(256, bool)
@@ -49,7 +49,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
         with np.errstate(over="ignore"):
-            size = max(n, BLOCK_BYTES * 2)
+            size = max(n, SPAN_BYTES + 1)
             inverse = pow(_BASE, -1, 1 << 64)
             _powers = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, _BASE, U64)]))
             _inverses = np.cumprod(np.concatenate([np.ones(1, U64), np.full(size - 1, inverse, U64)]))
