@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import checkpoint, shuffle_partitions
+from gridloom.llm._common import checkpoint, parts_for, row_key, shuffle_partitions
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,7 +51,7 @@ def mix(
     """
     rows = df.select(
         F.col(id_col).alias("id"), F.col(source_col).isNull().alias("absent"), F.coalesce(F.col(source_col), F.lit("")).alias("name"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (F.lit(None) if key is None else key).cast("long").alias("key"),
+        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), (F.lit(None) if key is None else key).cast("string").alias("key"),
     ).withColumn("h", F.md5(F.col("id").cast("string")))
     rows = checkpoint(rows)
     dealt = rows.repartitionByRange(shuffle_partitions(df.sparkSession), "absent", "name", "size", "h", "id")
@@ -72,14 +72,15 @@ def mix(
 
 
 def resample(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``df``, each as often as the mix takes it; rows that are alike in all columns are emitted as often as the mix takes all of them."""
-    key = F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
-    copies = mix(df, id_col, text_col, source_col, key=key, **options).filter("copies > 0").groupBy("key").agg(F.sum("copies").alias("copies"))
-    return df.withColumn("key", key).dropDuplicates(["key"]).join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*(F.col(f"`{c}`") for c in df.columns)) if not {"key", "copies", "copy"} & set(df.columns) else _renamed(df, id_col, text_col, source_col, **options)
+    """The rows of ``df``, each as often as the mix takes it.
 
-
-def _renamed(df: DataFrame, id_col: str, text_col: str, source_col: str, **options) -> DataFrame:
-    """As ``resample``, where columns of the input have the names used above."""
-    short = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
-    where = {c: f"c{i}" for i, c in enumerate(df.columns)}
-    return resample(short, where[id_col], where[text_col], where[source_col], **options).toDF(*df.columns)
+    Rows that are alike in all columns are emitted as often as the mix takes all of them. Columns may have any names and
+    types; an empty table gives an empty result.
+    """
+    names = {c: f"c{i}" for i, c in enumerate(df.columns)}
+    rows = df.toDF(*names.values())
+    keyed = rows.withColumn("key", row_key(rows))
+    copies = mix(keyed, names[id_col], names[text_col], names[source_col], key=F.col("key"), **options)
+    copies = copies.filter("copies > 0").groupBy("key").agg(F.sum("copies").alias("copies"))
+    taken = keyed.dropDuplicates(["key"]).join(copies, "key").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return taken.select(*names.values()).toDF(*df.columns)
