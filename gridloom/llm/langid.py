@@ -7,15 +7,16 @@ each bit's loss, weighted by how often that bit was right for that language on c
 wins. A prediction is flagged as ambiguous if the runner-up is nearly as near, or if more bits are wrong than the code
 corrects.
 
-The classifiers are log-ratios of n-gram frequencies, so fitting is one distributed count over all training rows: the
-driver holds languages x buckets counts, whatever the corpus. Calibration rows (a tenth of the training rows, chosen
-by a hash of the text) are not counted; only their sums by language reach the driver.
+The classifiers are log-ratios of n-gram frequencies, so fitting is one distributed count over all training rows, and
+the weights of a bucket of n-grams are worked out where its counts are. The driver holds names and codewords of the
+languages and buckets x bits weights; bits grow with the logarithm of the languages. Calibration uses weights without
+the rows that it looks at (a tenth, chosen by a hash of the text); the final weights have the counts of all rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 from typing import NamedTuple
 
 import numpy as np
@@ -23,11 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm._common import map_arrow, slices
+from gridloom.llm._common import checkpoint, map_arrow, parts_for, slices
 
 ORDERS, BUCKETS, UNKNOWN = (1, 2, 3, 4), 1 << 15, "und"
-#: Languages learned at most, the most frequent ones; bounds the model.
-MAX_LANGUAGES = 256
+#: Languages whose counts a task holds at once.
+HELD = 64
 U32 = np.uint32
 
 _letter: np.ndarray | None = None
@@ -81,24 +82,60 @@ def codewords(n: int, seed: int = 7) -> np.ndarray:
         columns = np.arange(1, 1 << (n - 1))
         return np.vstack([np.ones(len(columns)), *(1 - 2 * (columns >> i & 1) for i in range(n - 1))]).astype(np.int8)
     draw, bits = np.random.default_rng(seed), int(np.ceil(8 * np.log2(n)))
-    best = max((draw.choice([-1, 1], (n, bits)) for _ in range(64)), key=lambda c: ((bits - c @ c.T) // 2 + bits * np.eye(n)).min())
-    return best[:, np.abs(best.sum(axis=0)) < n].astype(np.int8)
+    best, apart = None, -1.0
+    for _ in range(64 if n <= 1000 else 1):
+        code = draw.choice([-1, 1], (n, bits)).astype(np.float32)
+        code = code[:, np.abs(code.sum(axis=0)) < n]
+        least = min(((code.shape[1] - code[i : i + 1000] @ code.T) / 2 + 1e9 * (np.arange(n) == np.arange(i, min(n, i + 1000))[:, None])).min() for i in range(0, n, 1000))
+        if least > apart:
+            best, apart = code, least
+    return best.astype(np.int8)
 
 
 def _count(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[pa.RecordBatch]:
+    """N-grams by language and bucket: all, and those of rows that aren't looked at for calibration (fold 0)."""
     place = {x: i for i, x in enumerate(languages)}
-    total = np.zeros((len(languages), BUCKETS), np.int64)
-    for batch in slices(batches, "text", 1 << 20):
-        rows = sorted(zip((place[x] for x in batch.column("lang").to_pylist()), batch.column("text").to_pylist(), strict=True), key=lambda r: r[0])
-        kinds = np.array([r[0] for r in rows])
-        for hashes, before in grams([r[1] for r in rows]):
-            for i in np.unique(kinds):
-                a, b = np.searchsorted(kinds, i), np.searchsorted(kinds, i, side="right")
-                total[i] += np.bincount(hashes[before[a] : before[b]], minlength=BUCKETS)
-    where, bucket = np.nonzero(total)
-    for i in range(0, len(where), 50_000):
-        w, b = where[i : i + 50_000], bucket[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(w, pa.int32()), pa.array(b, pa.int32()), pa.array(total[w, b])], ["language", "bucket", "n"])
+    total: dict[int, np.ndarray] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for language, counts in total.items():
+            bucket = np.flatnonzero(counts.sum(axis=0)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(bucket), language, np.int32)), pa.array(bucket), pa.array(counts[:, bucket].sum(axis=0)), pa.array(counts[1, bucket])], ["language", "bucket", "n", "first"])
+        total.clear()
+
+    for batch in slices(batches, "text", 1 << 19):
+        folds = (batch.column("fold").to_numpy() != 0).astype(np.int64)
+        rows = sorted(zip((place[x] for x in batch.column("lang").to_pylist()), folds.tolist(), batch.column("text").to_pylist(), strict=True), key=lambda r: r[:2])
+        kinds = np.array([2 * language + fold for language, fold, _ in rows])
+        for hashes, before in grams([text for _, _, text in rows]):
+            for kind in np.unique(kinds).tolist():
+                a, b = np.searchsorted(kinds, kind), np.searchsorted(kinds, kind, side="right")
+                counts = total.setdefault(kind // 2, np.zeros((2, BUCKETS), np.int64))
+                counts[kind % 2] += np.bincount(hashes[before[a] : before[b]], minlength=BUCKETS)
+        if len(total) > HELD:
+            yield from flush()
+    yield from flush()
+
+
+def _weigh(batches: Iterator[pa.RecordBatch], code: np.ndarray, sums: np.ndarray, smoothing: float) -> Iterator[pa.RecordBatch]:
+    """Weights of each bucket, from its counts by language: of all rows, and without those of fold 0."""
+    most = max(1, (1 << 21) // max(code.shape))
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            rows, made = batch.slice(start, most), []
+            language = rows.column("languages")
+            at = np.repeat(np.arange(len(rows)), np.diff(language.offsets.to_numpy()))
+            for name, total in zip(("n", "first"), sums, strict=True):
+                share = np.full((len(rows), len(code)), smoothing)
+                share[at, language.flatten().to_numpy()] += rows.column(name).flatten().to_numpy()
+                made.append([w.tobytes() for w in _log_ratio(share / total, code).astype("<f4")])
+            yield pa.RecordBatch.from_arrays([rows.column("bucket"), *(pa.array(m, pa.binary()) for m in made)], ["bucket", "n", "first"])
+
+
+def _log_ratio(shares: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """For each bit the logarithm of the mean share among languages with +1 over that among those with -1."""
+    one = (code > 0).astype(float)
+    return (np.log(shares @ one / one.sum(axis=0)) - np.log(shares @ (1 - one) / (1 - one).sum(axis=0))).clip(-5, 5)
 
 
 def _margins(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,15 +144,17 @@ def _margins(texts: list[str], weights: np.ndarray) -> tuple[np.ndarray, np.ndar
     for hashes, before in grams(texts):
         counts = np.diff(before)
         full = np.flatnonzero(counts)
-        if len(full):
+        if len(full) == 1:  # one text, perhaps a long one
+            sums[full[0]] += np.bincount(hashes, minlength=BUCKETS) @ weights.astype(float)
+        elif len(full):
             sums[full] += np.add.reduceat(weights[hashes], before[full], axis=0)
         n += counts
     return sums / np.maximum(n, 1)[:, None], n
 
 
 def _block(bits: int) -> int:
-    """Bytes of text for which the gathered weights stay within some 32 MB."""
-    return max(1 << 15, (8 << 20) // max(8, bits))
+    """Bytes of text for which the gathered weights stay within some 16 MB."""
+    return max(1 << 15, (2 << 20) // max(8, bits))
 
 
 def _calibrate(batches: Iterator[pa.RecordBatch], languages: list[str], code: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -133,23 +172,31 @@ def _calibrate(batches: Iterator[pa.RecordBatch], languages: list[str], code: np
             )
 
 
-def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Learn from the rows with text and language; others are ignored. No such row: a model without languages."""
-    rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    languages = sorted(r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect())
+def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", smoothing: float = 0.5) -> Model:
+    """Learn all languages from all rows with text and language; others are ignored. No such row: a model without languages.
+
+    A language with no n-gram in its texts is known by smoothing alone. Calibration leaves out languages all of whose
+    texts are in its own tenth, as it can't tell how well these are recognised.
+    """
+    rows = train.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())  # the names, once
     code = codewords(len(languages))
     if code.shape[1] == 0:
         return Model(languages, code, np.zeros((BUCKETS, 0), np.float32), np.ones(0), np.ones(code.shape))
-    rows = rows.filter(F.col("lang").isin(languages)).withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(10)))
-    counted = map_arrow(rows.filter("fold != 0").select("text", "lang"), partial(_count, languages=languages), "language int, bucket int, n long")
-    found = counted.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()  # at most languages x buckets rows
-    total = np.zeros((len(languages), BUCKETS))
-    total[found.column("language").to_numpy(), found.column("bucket").to_numpy()] = found.column("n").to_numpy()
-    total += smoothing
-    total /= total.sum(axis=1, keepdims=True)
-    one = code.T > 0
-    weights = np.stack([np.log(total[p].mean(axis=0)) - np.log(total[~p].mean(axis=0)) for p in one], axis=1).clip(-5, 5).astype(np.float32)
-    checked = map_arrow(rows.filter("fold = 0").select("text", "lang"), partial(_calibrate, languages=languages, code=code, weights=weights), "language int, bit int, rows long, right long, size double")
+    rows = rows.withColumn("fold", F.pmod(F.xxhash64("text"), F.lit(10)))
+    counted = map_arrow(rows.select("text", "lang", "fold"), partial(_count, languages=languages), "language int, bucket int, n long, first long")
+    counted = checkpoint(counted.groupBy("language", "bucket").agg(F.sum("n").alias("n"), F.sum("first").alias("first")), parts_for(train.sparkSession, len(languages) * BUCKETS))  # at most languages x buckets rows
+    sums = np.full((2, len(languages)), smoothing * BUCKETS)
+    for r in counted.groupBy("language").agg(F.sum("n").alias("n"), F.sum("first").alias("first")).collect():  # a row a language
+        sums[:, r.language] += r.n, r.first
+    weights = np.tile(np.stack([_log_ratio(smoothing / s, code) for s in sums])[:, None].astype(np.float32), (1, BUCKETS, 1))
+    listed = counted.groupBy("bucket").agg(*(F.collect_list(c).alias(a) for c, a in (("language", "languages"), ("n", "n"), ("first", "first"))))  # a list holds a count a language
+    found = map_arrow(listed, partial(_weigh, code=code, sums=sums, smoothing=smoothing), "bucket int, n binary, first binary").toArrow()  # a row a bucket
+    for i, name in enumerate(("n", "first")):
+        weights[i, found.column("bucket").to_numpy()] = np.frombuffer(b"".join(found.column(name).to_pylist()), "<f4").reshape(found.num_rows, -1)
+    known = [x for x, n in zip(languages, sums[1], strict=True) if n > smoothing * BUCKETS]
+    looked_at = rows.filter("fold = 0").join(F.broadcast(train.sparkSession.createDataFrame([(x,) for x in known], "lang string")), "lang", "left_semi")  # the names again
+    checked = map_arrow(looked_at.select("text", "lang"), partial(_calibrate, languages=languages, code=code, weights=weights[1]), "language int, bit int, rows long, right long, size double")
     found = checked.groupBy("language", "bit").agg(F.sum("rows").alias("rows"), F.sum("right").alias("right"), F.sum("size").alias("size")).collect()  # languages x bits rows
     trust, size, seen = np.ones(code.shape), np.zeros(code.shape[1]), np.zeros(code.shape[1])
     for r in found:
@@ -157,22 +204,32 @@ def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang", smooth
         size[r.bit] += r["size"]
         seen[r.bit] += r.rows
     scale = np.where(seen > 0, size / np.maximum(seen, 1), 1.0)
-    return Model(languages, code, weights, np.maximum(scale, 1e-6), trust / trust.sum(axis=1, keepdims=True))
+    return Model(languages, code, weights[0], np.maximum(scale, 1e-6), trust / trust.sum(axis=1, keepdims=True))
+
+
+@lru_cache(maxsize=4)
+def _least(code: bytes, n: int) -> int:
+    words = np.frombuffer(code, np.int8).reshape(n, -1).astype(np.float32)
+    return min(int(((words.shape[1] - words[i] @ np.delete(words, i, axis=0).T) / 2).min()) for i in range(n))
+
+
+def apart(code: np.ndarray) -> int:
+    """The least number of bits in which two codewords differ."""
+    return _least(code.astype(np.int8).tobytes(), len(code))
 
 
 def decode(margins: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Best language, its score, and whether the text is ambiguous, from margins (texts x bits)."""
     scaled = (margins / model.scale).clip(-3, 3)
-    losses = np.exp(-scaled[:, None, :] * model.code[None])
-    distance = (losses * model.trust[None]).sum(axis=2)
+    one = model.code > 0
+    distance = np.exp(-scaled) @ (model.trust * one).T + np.exp(scaled) @ (model.trust * ~one).T  # the loss of bit c is exp(-c * margin)
     order = np.argsort(distance, axis=1, kind="stable")
     best = order[:, 0]
     chance = np.exp(-4 * (distance - distance.min(axis=1, keepdims=True)))
     score = 1 / chance.sum(axis=1)
     rows = np.arange(len(margins))
     wrong = (np.sign(scaled) * model.code[best] < 0).sum(axis=1)
-    apart = int(((model.code.shape[1] - model.code.astype(int) @ model.code.T.astype(int)) // 2 + (1 << 20) * np.eye(len(model.languages), dtype=int)).min())
-    ambiguous = (distance[rows, order[:, 1]] - distance[rows, best] < 0.1) | (wrong > (apart - 1) // 2)
+    ambiguous = (distance[rows, order[:, 1]] - distance[rows, best] < 0.1) | (wrong > (apart(model.code) - 1) // 2)
     return best, score, ambiguous
 
 
