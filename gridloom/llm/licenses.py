@@ -30,7 +30,9 @@ def normalised(text: F.Column) -> F.Column:
 
 
 def _with_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
+    # Rows are dealt by ``spot``, which depends on their content alone: ``row`` tells apart those that are alike in it, and
+    # may change when a task runs again, but then changes for all that the task gives of a text.
+    rows = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("spot"), F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), normalised(F.col(text_col)).alias("norm"))
     return rows.withColumn("n_words", (_spaces(F.col("norm")) - 1).cast("long"))
 
 
@@ -50,8 +52,10 @@ def _with_base(rows: DataFrame, base: tuple[tuple[str, str], ...]) -> DataFrame:
 
 def _matches(rows: DataFrame, rules: list[license_rules.Rule]) -> DataFrame:
     """One row for each match of each rule in each text that the keywords let through, with its segment, and one without a match for every text."""
+    # A pattern that begins with a space fails sooner than one that looks behind; the space is taken off the match again.
+    own = lambda pattern: " " + pattern.removeprefix("(?<= )")
     text = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    struct = lambda r: f"named_struct('number', {r.number}, 'priority', {r.priority}, 'label', {text(r.label)}, 'pattern', {text(r.pattern)}, 'confidence', {r.confidence!r}D)"
+    struct = lambda r: f"named_struct('number', {r.number}, 'priority', {r.priority}, 'label', {text(r.label)}, 'pattern', {text(own(r.pattern))}, 'confidence', {r.confidence!r}D)"
     gate = F.lit(False)
     for word in license_rules.gate(rules):
         gate = gate | F.contains("norm", F.lit(word))
@@ -60,35 +64,33 @@ def _matches(rows: DataFrame, rules: list[license_rules.Rule]) -> DataFrame:
     for r in rules:
         alike.setdefault(r.keywords, []).append(r)
     # As text, which is parsed at once: thousands of columns made one by one take longer than a small scan.
-    groups = F.expr(f"array({', '.join(f"named_struct('keywords', array({', '.join(map(text, words))}), 'rules', array({', '.join(map(struct, own))}))" for words, own in alike.items())})")
+    groups = F.expr(f"array({', '.join(f"named_struct('keywords', array({', '.join(map(text, words))}), 'rules', array({', '.join(map(struct, same))}))" for words, same in alike.items())})")
     held = F.flatten(F.transform(F.filter(groups, lambda g: F.exists(g["keywords"], lambda w: F.contains(F.col("norm"), w))), lambda g: g["rules"]))
     able = F.when(gate, F.concat(stand, held)).otherwise(stand) if rules else stand
     tried = rows.withColumn("rule", F.explode(able)).withColumn("found", F.regexp_extract_all("norm", F.col("rule.pattern"), F.lit(0)))
     tried = tried.filter((F.size("found") > 0) | (F.col("rule.number") < 0))
-    between = F.transform(F.split("norm", F.col("rule.pattern"), -1), F.length)
-    spans = F.arrays_zip(F.slice(between, F.lit(1), F.size("found")).alias("gap"), F.transform("found", F.length).alias("long"))
-    return tried.select("row", "id", "n_words", "n_base", "first_word", "last_word", "base", "rule", F.posexplode_outer(F.when(F.size("found") > 0, spans)).alias("pos", "span"))
+    between = F.transform(F.split("norm", F.col("rule.pattern"), -1), lambda x: F.length(x) + 1)
+    spans = F.arrays_zip(F.slice(between, F.lit(1), F.size("found")).alias("gap"), F.transform("found", lambda x: F.length(x) - 1).alias("long"))
+    return tried.select("spot", "row", "id", "n_words", "n_base", "first_word", "last_word", "base", "rule", F.posexplode_outer(F.when(F.size("found") > 0, spans)).alias("pos", "span"))
 
 
 def detections(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[license_rules.Rule] | None = None) -> DataFrame:
     """Every detection with its interval in the normalised text and whether it is kept; every text also has a row with a null label.
 
-    Columns: row, id, n_words, n_base, first_word, last_word, base, label, priority, start, end, confidence, kept.
+    Columns: spot, row, id, n_words, n_base, first_word, last_word, base, label, priority, start, end, confidence, kept.
     """
     rules = license_rules.rules() if rules is None else rules
     made = _matches(_with_base(_with_words(df, id_col, text_col), license_rules.BASE), rules)
-    spans = Window.partitionBy("row", "rule.number").orderBy("pos")
-    ended = made.withColumn("end", F.sum(F.col("span.gap") + F.col("span.long")).over(spans)).withColumn("start", F.col("end") - F.col("span.long"))
-    order = Window.partitionBy("row").orderBy(F.col("start"), F.col("end").desc(), F.col("rule.priority").desc(), F.col("rule.number"), F.col("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    spans = Window.partitionBy("spot", "row", "rule.number").orderBy("pos")
+    ended = made.repartition("spot").withColumn("end", F.sum(F.col("span.gap") + F.col("span.long")).over(spans)).withColumn("start", F.col("end") - F.col("span.long"))
+    order = Window.partitionBy("spot", "row").orderBy(F.col("start"), F.col("end").desc(), F.col("rule.priority").desc(), F.col("rule.number"), F.col("pos")).rowsBetween(Window.unboundedPreceding, -1)
     levels = sorted({r.priority for r in rules} | {0})
-    covered = ended
-    for level in levels:
-        covered = covered.withColumn(f"to_{level}", F.max(F.when(F.col("rule.priority") >= level, F.col("end"))).over(order))
+    covered = ended.select("*", *(F.max(F.when(F.col("rule.priority") >= level, F.col("end"))).over(order).alias(f"to_{level}") for level in levels))
     reach = F.coalesce(*(F.when(F.col("rule.priority") == level, F.col(f"to_{level}")) for level in levels))
     kept = F.col("end").isNotNull() & F.coalesce(reach < F.col("end"), F.lit(True))
     out = covered.withColumn("kept", kept)
     real = F.col("end").isNotNull()
-    return out.select("row", F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base", F.when(real, F.col("rule.label")).alias("label"), F.when(real, F.col("rule.priority")).alias("priority"), "start", "end", F.when(real, F.col("rule.confidence")).alias("confidence"), "kept")
+    return out.select("spot", "row", F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base", F.when(real, F.col("rule.label")).alias("label"), F.when(real, F.col("rule.priority")).alias("priority"), "start", "end", F.when(real, F.col("rule.confidence")).alias("confidence"), "kept")
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: list[license_rules.Rule] | None = None) -> DataFrame:
@@ -100,7 +102,7 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: l
     an empty table gives an empty result; other columns are not read.
     """
     found = detections(df, id_col, text_col, rules)
-    by_row = found.groupBy("row").agg(
+    by_row = found.groupBy("spot", "row").agg(
         *(F.first(c).alias(c) for c in (id_col, "n_words", "n_base", "first_word", "last_word", "base")),
         F.collect_set(F.when(F.col("kept"), F.col("label"))).alias("more"), F.max(F.when(F.col("kept"), F.col("confidence"))).alias("best"),
     )
