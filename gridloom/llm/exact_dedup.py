@@ -44,9 +44,10 @@ class ExtendibleHash:
             if len(entries) < self.capacity or all(k == key for k, _ in entries):
                 entries.append((key, value))  # with one key only, the page grows: an overflow chain
                 return
-            self._split(number)
+            self._split(number, key)
 
-    def _split(self, number: int) -> None:
+    def _split(self, number: int, key: int) -> None:
+        """Split the page that ``key`` falls on, in two by the next bit; the directory doubles if it has no slot for that bit."""
         local, entries = self.pages[number]
         if local == self.depth:
             self.directory += self.directory
@@ -54,8 +55,7 @@ class ExtendibleHash:
         bit = 1 << local
         self.pages[number] = (local + 1, [e for e in entries if not e[0] & bit])
         self.pages.append((local + 1, [e for e in entries if e[0] & bit]))
-        first = next(i for i, p in enumerate(self.directory) if p == number) & (bit - 1)
-        for i in range(first | bit, len(self.directory), bit << 1):
+        for i in range(key & (bit - 1) | bit, len(self.directory), bit << 1):
             self.directory[i] = len(self.pages) - 1
 
     def lookup(self, key: int) -> list[tuple]:
@@ -145,10 +145,11 @@ def _own(batches: Iterator[pa.RecordBatch], folder: str, capacity: int) -> Itera
     total = sum(len(e) for _, e in index.pages)
     if total:
         path = write_file(folder, "range", index.dump())
-        yield pa.RecordBatch.from_pydict({"path": [path], "depth": [index.depth], "pages": [len(index.pages)], "entries": [total], "longest_chain": [longest]}, schema=_MANIFEST)
+        rows = sum(v[3] for _, entries in index.pages for _, v in entries)
+        yield pa.RecordBatch.from_pydict({"path": [path], "depth": [index.depth], "pages": [len(index.pages)], "entries": [total], "rows": [rows], "longest_chain": [longest]}, schema=_MANIFEST)
 
 
-_MANIFEST = pa.schema([("path", pa.string()), ("depth", pa.int64()), ("pages", pa.int64()), ("entries", pa.int64()), ("longest_chain", pa.int64())])
+_MANIFEST = pa.schema([("path", pa.string()), ("depth", pa.int64()), ("pages", pa.int64()), ("entries", pa.int64()), ("rows", pa.int64()), ("longest_chain", pa.int64())])
 
 
 def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,7 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 64, owners: int | None = None, key: F.Column | None = None) -> DataFrame:
-    """Write the index of all texts and return its manifest: one row (path, depth, pages, entries, longest_chain) a file."""
+    """Write the index of all texts and return its manifest: one row (path, depth, pages, entries, rows, longest_chain) a file."""
     spark = df.sparkSession
     owners = owners or shuffle_partitions(spark)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -171,7 +172,7 @@ def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     owner = (F.shiftrightunsigned("key", 40) * owners) / F.lit(1 << 24)  # the key's place among all unsigned keys
     dealt = spread_by(found.withColumn("owner", F.floor(owner)), "owner", owners).drop("owner").sortWithinPartitions("key")
     made = dealt.select("key", F.col("text").cast("binary").alias("text"), "keep_id", "n")
-    files = map_arrow(made, partial(_own, folder=fresh_dir(spark, "exact-index"), capacity=capacity), "path string, depth long, pages long, entries long, longest_chain long")
+    files = map_arrow(made, partial(_own, folder=fresh_dir(spark, "exact-index"), capacity=capacity), "path string, depth long, pages long, entries long, rows long, longest_chain long")
     return spark.createDataFrame(files.collect(), files.schema)  # one row for each owner; runs the job once
 
 
@@ -187,7 +188,13 @@ def exact_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.select("id", (F.xxhash64("text") if key is None else key).alias("key"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
     files = build_index(df, id_col, text_col, capacity, owners, key)
-    files = files.select("path").repartition(max(1, shuffle_partitions(df.sparkSession)))
+    parts = max(1, shuffle_partitions(df.sparkSession))
+    share = (files.agg(F.sum("rows")).first()[0] or 0) / (4 * parts)
     # The planner takes entries for as small as the list of files; they are as many as distinct texts, so no broadcast.
-    entries = map_arrow(files, _entries, "key long, text_sha256 string, keep_id long, group_size long")
-    return rows.join(entries.hint("merge"), ["key", "text_sha256"]).select(F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
+    entries = map_arrow(files.select("path").repartition(parts), _entries, "key long, text_sha256 string, keep_id long, group_size long")
+    # A text that many rows have is laid out for as many tasks as there are partitions, and its rows are dealt among them.
+    large = entries.filter(F.col("group_size") > share).select("key", "text_sha256", F.lit(parts).alias("split"))  # fewer than 4 * parts rows
+    spread = F.pmod(F.xxhash64("id", F.spark_partition_id()), F.coalesce("split", F.lit(1)))
+    rows = rows.join(F.broadcast(large), ["key", "text_sha256"], "left").withColumn("deal", spread).drop("split")
+    entries = entries.withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("group_size") > share, parts).otherwise(1).cast("long") - 1)))
+    return rows.join(entries.hint("merge"), ["key", "text_sha256", "deal"]).select(F.col("id").alias(id_col), "keep_id", "group_size", F.coalesce(F.col("id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), "text_sha256")
