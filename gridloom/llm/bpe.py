@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from gridloom.llm._common import map_arrow, slices
 
 #: Pieces remembered in each of two generations, bytes of the longest one remembered, and pairs of neighbours remembered.
-REMEMBERED, LONGEST, PAIRS = 250_000, 64, 600_000
+REMEMBERED, LONGEST, PAIRS = 150_000, 64, 600_000
+NEVER = 1 << 62
 _GAP = "Ā"  # not a Latin-1 character: parts pieces in one run of the automaton
 
 
@@ -35,6 +36,9 @@ class Vocabulary:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = dict(zip(ranks.values(), ranks, strict=True))
+        self.lengths = [0] * (max(ranks.values(), default=0) + 1)
+        for token, rank in ranks.items():
+            self.lengths[rank] = len(token)
         self.merged: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.automaton = ahocorasick.Automaton()
@@ -46,8 +50,16 @@ class Vocabulary:
         self.automaton.make_automaton()
         self.shorter: dict[int, int | None] = {}
         self.fits: dict[int, bool] = {}
+        self.spines: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Let go of what is remembered of the texts seen."""
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.long: list[str] = []
+        self.fits.clear()
+        self.spines.clear()
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -65,11 +77,7 @@ class Vocabulary:
         return self.ranks[pieces[0]], self.ranks[pieces[1]]
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether BPE leaves these two tokens as they are when they stand together.
-
-        Undo the merges of both around their border, the later one first: if two parts that meet there would have
-        been merged before one of them was made, the tokens can't stand together.
-        """
+        """Whether BPE leaves these two tokens as they are when they stand together, remembered."""
         pair = left << 32 | right
         known = self.fits.get(pair)
         if known is None:
@@ -78,30 +86,39 @@ class Vocabulary:
             known = self.fits[pair] = self._compatible(left, right)
         return known
 
+    def _spine(self, token: int, side: int) -> list[tuple[int, int, int]]:
+        """The tokens that stand at one end of this one while it is made, the whole first: (token, merge that makes it, merge that it ends in).
+
+        Merges are numbered by rank, which is the order BPE makes them in; a byte is there from the start (-1).
+        """
+        key = (token, side)
+        if key not in self.spines:
+            steps, now, gone = [], token, NEVER
+            while now in self.parts:
+                steps.append((now, now, gone))
+                now, gone = self.parts[now][side], now
+            self.spines[key] = [*steps, (now, -1, gone)]
+        return self.spines[key]
+
     def _compatible(self, left: int, right: int) -> bool:
-        limit, parts, merged = 1 << 62, self.parts, self.merged
+        """Go back in time over the pairs of tokens that meet at the border: none of them may be a merge that comes before either is merged away.
+
+        Of equal merges the one further left comes first: those within the left token before those over the border,
+        and these before those within the right token.
+        """
+        ours, theirs = self._spine(left, 1), self._spine(right, 0)
+        i = j = 0
         while True:
-            made = merged.get((left, right))
-            if made is not None and made < limit:
+            (a, a_made, a_gone), (b, b_made, b_gone) = ours[i], theirs[j]
+            merge = self.merged.get((a, b), NEVER)
+            if merge < a_gone and merge <= b_gone and merge != NEVER:
                 return False
-            if left > right:
-                limit = left
-                if left not in parts:
-                    if right not in parts:
-                        return True
-                    limit, right = right + 1, parts[right][0]
-                else:
-                    left = parts[left][1]
-                    if left == limit:
-                        return True
+            if a_made > b_made:
+                i += 1
+            elif b_made >= 0:
+                j += 1
             else:
-                limit = right + 1
-                if right not in parts:
-                    if left not in parts:
-                        return True
-                    limit, left = left, parts[left][1]
-                else:
-                    right = parts[right][0]
+                return True
 
     def _prefix(self, token: int) -> int | None:
         """The next shorter token that begins this one."""
@@ -111,18 +128,28 @@ class Vocabulary:
         return self.shorter[token]
 
     def _walk(self, piece: str) -> list[int]:
+        lengths, known, fits = self.lengths, self.fits.get, self.compatible
         longest: list[int | None] = [None] * len(piece)
         reach = [0] * len(piece)
         for end, token in self.automaton.iter(piece):
-            n = len(self.bytes_of[token])
-            if n > reach[end - n + 1]:
-                reach[end - n + 1], longest[end - n + 1] = n, token
+            n = lengths[token]
+            at = end - n + 1
+            if n > reach[at]:
+                reach[at], longest[at] = n, token
         out: list[int] = []
         dead = bytearray(len(piece) + 1)
-        at, token, bytes_of, fits = 0, longest[0], self.bytes_of, self.compatible
+        at, token = 0, longest[0]
         while True:
-            end = at + len(bytes_of[token])
-            if not dead[end] and (not out or fits(out[-1], token)):
+            end = at + lengths[token]
+            if dead[end]:
+                fine = False
+            elif not out:
+                fine = True
+            else:
+                fine = known(out[-1] << 32 | token)
+                if fine is None:
+                    fine = fits(out[-1], token)
+            if fine:
                 out.append(token)
                 at = end
                 if at == len(piece):
@@ -130,16 +157,11 @@ class Vocabulary:
                 token = longest[at]
             else:
                 token = self._prefix(token)
-                if token is None:
+                while token is None:
                     dead[at] = 1
                     token = out.pop()
-                    at -= len(bytes_of[token])
+                    at -= lengths[token]
                     token = self._prefix(token)
-                    while token is None:
-                        dead[at] = 1
-                        token = out.pop()
-                        at -= len(bytes_of[token])
-                        token = self._prefix(token)
 
     def _encode_new(self, pieces: list[str]) -> None:
         """Encode pieces by greedy longest matches of one run; those with neighbours that don't fit are walked."""
@@ -152,13 +174,15 @@ class Vocabulary:
         for i in pending:
             at += len(latin[i]) + 1
             ends.append(at)
-        k, now, fine, fits = 0, [], True, self.compatible
+        k, now, fine, known, fits = 0, [], True, self.fits.get, self.compatible
         for end, token in self.automaton.iter_long(text) if pending else ():
             while end >= ends[k]:
                 found.append(now if fine else None)
                 k, now, fine = k + 1, [], True
-            if fine and now and not fits(now[-1], token):
-                fine = False
+            if fine and now:
+                fine = known(now[-1] << 32 | token)
+                if fine is None:
+                    fine = fits(now[-1], token)
             now.append(token)
         if pending:
             found.append(now if fine else None)
@@ -168,7 +192,9 @@ class Vocabulary:
             young[pieces[i]] = pack([ranks[latin[i].encode("latin-1")]], "<u4").tobytes()
 
     def know(self, pieces: list[str]) -> dict[str, bytes]:
-        """A mapping that holds the packed ids of every piece of the list."""
+        """A mapping that holds the packed ids of every piece of the list, until the next call."""
+        for piece in self.long:
+            del self.young[piece]
         new = set(pieces)
         new.difference_update(self.young)
         if len(self.young) + len(new) > REMEMBERED:
@@ -179,12 +205,8 @@ class Vocabulary:
             self.young[piece] = self.old[piece]
         new -= back
         self._encode_new(list(new))
-        known = self.young
-        if long := [p for p in new if len(p) > LONGEST]:
-            known = dict(known)
-            for p in long:
-                del self.young[p]
-        return known
+        self.long = [p for p in new if len(p) > LONGEST]  # these are forgotten at the next call
+        return self.young
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids.tolist()))
@@ -199,6 +221,11 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+def _forget(path: str) -> None:
+    if path in _vocabularies:
+        _vocabularies[path].forget()
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
     vocab, find = vocabulary(path), regex.compile(pattern).findall
     for batch in slices(batches, "text", 1 << 20):
@@ -237,7 +264,7 @@ def encode(df: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc
     columns are not read.
     """
     rows, kind = _rows(df, id_col, text_col, "text")
-    return map_arrow(rows, partial(_encode, path=vocabulary_path, pattern=pattern), f"{kind}, ids binary").withColumnRenamed("id", id_col)
+    return map_arrow(rows, partial(_encode, path=vocabulary_path, pattern=pattern), f"{kind}, ids binary", partial(_forget, vocabulary_path)).withColumnRenamed("id", id_col)
 
 
 def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -249,4 +276,4 @@ def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", ids_col:
 def round_trip(df: DataFrame, vocabulary_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encode, then decode the ids, in one pass over the texts; as ``encode`` for odd rows."""
     rows, kind = _rows(df, id_col, text_col, "text")
-    return map_arrow(rows, partial(_digest, path=vocabulary_path, pattern=pattern), f"{kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return map_arrow(rows, partial(_digest, path=vocabulary_path, pattern=pattern), f"{kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", partial(_forget, vocabulary_path)).withColumnRenamed("id", id_col)
