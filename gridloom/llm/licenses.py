@@ -9,7 +9,7 @@ maximum of ends for each priority decides; that is linear in the detections of a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.llm import license_rules
@@ -19,13 +19,19 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def _spaces(column: F.Column) -> F.Column:
+def _spaces(column: Column) -> Column:
     return F.length(column) - F.length(F.replace(column, F.lit(" "), F.lit("")))
 
 
-def normalised(text: F.Column) -> F.Column:
+def lowered(text: Column) -> Column:
+    """A-Z lowered. Other letters may be too: no rule has any. Only two of them become ASCII letters, and texts with these go letter by letter."""
+    odd = F.contains(text, F.lit("\u0130")) | F.contains(text, F.lit("\u212a"))
+    return F.when(odd, F.translate(text, UPPER, LOWER)).otherwise(F.lower(text))
+
+
+def normalised(text: Column) -> Column:
     """Words between single spaces, one at either end; one space if there is no word."""
-    words = F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, " "))
+    words = F.trim(F.regexp_replace(lowered(F.coalesce(text, F.lit(""))), SEPARATORS, " "))
     return F.when(words == "", F.lit(" ")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
 
 
