@@ -32,7 +32,7 @@ from gridloom.llm._common import checkpoint, map_arrow, shuffle_partitions, slic
 U64 = np.uint64
 #: Frequent classes at least, words in each, classes by word ending; rows of each feature's table at least (a power of two), words whose counts travel.
 BINS, WIDTH, ENDINGS, ROWS, LEXICON = 16, 64, 32, 4096, 1 << 16
-STEP, BATCH, TOKENS_A_TASK = 0.15, 16384, 1 << 22
+STEP, BATCH, TOKENS_A_TASK = 0.15, 8192, 1 << 22
 END, START = textnum.mix(np.array([0xE4D], U64))[0], textnum.mix(np.array([0x57A27], U64))[0]
 _factors = textnum.seeds(8, 9) | U64(1)
 
@@ -191,16 +191,31 @@ def _chances(scores: np.ndarray) -> np.ndarray:
     return scores
 
 
+def _segment_sums(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, steps: int = 6) -> np.ndarray:
+    """Sums of runs of rows. Most runs are short: their rows are added up one place at a time, only the rest of long ones run by run."""
+    out = values.take(starts, axis=0)
+    left = np.flatnonzero(ends - starts > 1)
+    for k in range(1, steps):
+        out[left] += values.take(starts[left] + k, axis=0)
+        left = left[ends[left] - starts[left] > k + 1]
+    if len(left):
+        sizes = ends[left] - starts[left] - steps
+        first = np.cumsum(sizes) - sizes
+        rows = np.arange(sizes.sum()) + np.repeat(starts[left] + steps - first, sizes)
+        out[left] += np.add.reduceat(values.take(rows, axis=0), first, axis=0)
+    return out
+
+
 def _descend(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray, used: np.ndarray) -> None:
     """One step on the rows used, each by its own rate (the root of its squared gradients so far)."""
     order = np.argsort(rows, kind="stable")  # a radix sort where rows are 16-bit
     ordered = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    own = ordered[starts]
-    summed = np.add.reduceat(gradient.take(order, axis=0), starts, axis=0)
+    own, ends = ordered[starts], np.append(starts[1:], len(rows))
+    summed = _segment_sums(gradient.take(order, axis=0), starts, ends)
     seen[own] += np.einsum("ij,ij->i", summed, summed) / summed.shape[1]
     table[own] -= STEP / np.sqrt(seen[own])[:, None] * summed
-    used[own] += np.diff(np.concatenate([starts, [len(rows)]]))
+    used[own] += ends - starts
 
 
 def _train(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, weights: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
@@ -296,9 +311,9 @@ def _score(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, weights: list[np
         rest = x.inner < 0
         score[rest] += own[rest] - lexicon.shares[x.kind[rest] - frequent_classes(lexicon.tokens)]
         n = np.diff(t.before)
-        zero = pa.array(np.zeros(len(n), np.int32))
+        spots = [batch.column(c).to_numpy() for c in ("spot", "spot2")]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(textnum.mix(batch.column("row").to_numpy().view(U64)).view(np.int64)), batch.column("row"), zero, batch.column("id"), pa.array(n.astype(np.int64)), pa.array(_sums(known, t.before).astype(np.int64)), pa.array(_sums(own - floor, t.before)), pa.array(_sums(score, t.before))],
+            [pa.array(textnum.mix(spots[0].view(U64)).view(np.int64)), *map(pa.array, spots), pa.array(np.zeros(len(n), np.int32)), batch.column("id"), pa.array(n.astype(np.int64)), pa.array(_sums(known, t.before).astype(np.int64)), pa.array(_sums(own - floor, t.before)), pa.array(_sums(score, t.before))],
             _COLUMNS,
         )
         rare = np.flatnonzero(~known)
@@ -306,12 +321,12 @@ def _score(batches: Iterator[pa.RecordBatch], lexicon: Lexicon, weights: list[np
             of = np.searchsorted(t.before, rare, side="right") - 1
             none = lambda kind: pa.nulls(len(rare), kind)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(t.hashes[rare].view(np.int64)), pa.array(batch.column("row").to_numpy()[of]), pa.array(np.ones(len(rare), np.int32)), none(batch.column("id").type), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())],
+                [pa.array(t.hashes[rare].view(np.int64)), *(pa.array(x[of]) for x in spots), pa.array(np.ones(len(rare), np.int32)), none(batch.column("id").type), none(pa.int64()), none(pa.int64()), none(pa.float64()), none(pa.float64())],
                 _COLUMNS,
             )
 
 
-_COLUMNS = ["word", "row", "times", "id", "n_tokens", "known", "base", "score"]
+_COLUMNS = ["word", "spot", "spot2", "times", "id", "n_tokens", "known", "base", "score"]
 
 
 def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,12 +335,19 @@ def score(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "
     A null text is an empty text: the end token alone. With nothing learned every token has probability 1 in the base
     model. Null ids and repeated rows are scored each on their own; an empty table gives an empty result.
     """
-    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    parts = map_arrow(rows, partial(_score, lexicon=model.lexicon, weights=model.weights), f"word long, row long, times int, id {dict(rows.dtypes)['id']}, n_tokens long, known long, base double, score double")
+    # What is found of a row meets under 128 bits of its content, which a task that runs again can't change; rows that are
+    # alike meet too, so sums are shared out among them.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = df.select(F.xxhash64(F.col(id_col), text).alias("spot"), F.xxhash64(F.lit(7), text, F.col(id_col)).alias("spot2"), F.col(id_col).alias("id"), text.alias("text"))
+    parts = map_arrow(rows, partial(_score, lexicon=model.lexicon, weights=model.weights), f"word long, spot long, spot2 long, times int, id {dict(rows.dtypes)['id']}, n_tokens long, known long, base double, score double")
     joined = parts.join(model.counts, "word", "left")
     rare = F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)
-    summed = joined.groupBy("row").agg(
-        F.max("id").alias("id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.coalesce("known", F.lit(0)) + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
+    summed = joined.groupBy("spot", "spot2").agg(
+        F.count("n_tokens").alias("alike"), F.max("id").alias("id"), F.sum("n_tokens").alias("n_tokens"), F.sum(F.coalesce("known", F.lit(0)) + F.when(F.col("n").isNotNull(), F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.coalesce("base", F.lit(0.0)) + rare).alias("base_score"), F.sum(F.coalesce("score", F.lit(0.0)) + rare).alias("score"),
     )
-    return summed.select(F.col("id").alias(id_col), "n_tokens", "n_known", F.lit(model.lexicon.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    each = summed.withColumn("one", F.explode(F.sequence(F.lit(1).cast("long"), F.col("alike"))))
+    share = lambda name: F.col(name) / F.col("alike")
+    return each.select(
+        F.col("id").alias(id_col), share("n_tokens").cast("long").alias("n_tokens"), share("n_known").cast("long").alias("n_known"), F.lit(model.lexicon.tokens).cast("long").alias("train_tokens"), share("base_score").alias("base_score"), share("score").alias("score")
+    )
