@@ -91,6 +91,33 @@ def test_shards_look_up_by_key(odd, spark):
     assert sstable.read_shards(sstable.write_shards(empty(odd), P.path("word_bpe_49k.json"))).collect() == []
 
 
+def test_ids_that_do_not_fit_are_an_error_and_wide_ones_come_back(spark, tmp_path):
+    writer = sstable.Writer(2)
+    with pytest.raises(ValueError):
+        list(writer.add(1, np.array([70_000], np.uint32)))
+    writer = sstable.Writer(4)
+    parts = [*writer.add(1, np.array([70_000], np.uint32)), *writer.finish()]
+    (tmp_path / "wide").write_bytes(b"".join(parts))
+    assert sstable.Table(str(tmp_path / "wide")).get(1)[0].tolist() == [70_000]
+    docs = spark.createDataFrame([(1, "a cat")], "doc_id long, text string")
+    folder = str(tmp_path / "shards")
+    (row,) = sstable.write_shards(docs, P.path("word_bpe_49k.json"), end_id=99_999, folder=folder).collect()
+    assert row.path.startswith(folder) and sstable.Table(row.path).get(1)[0][-1] == 99_999
+
+
+def test_safe_boundaries_are_told_from_the_file_itself(tmp_path):
+    import json
+
+    path = P.path("word_bpe_49k.json")
+    spec = json.load(open(path))
+    (tmp_path / "renamed.json").write_text(json.dumps(spec))
+    assert wordpieces.splits_at_space(path) and wordpieces.splits_at_space(str(tmp_path / "renamed.json"))
+    assert not any(wordpieces.splits_at_space(P.path(x)) for x in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"] += "|\\s+"
+    (tmp_path / "word_bpe_49k.json").write_text(json.dumps(spec))
+    assert not wordpieces.splits_at_space(str(tmp_path / "word_bpe_49k.json"))
+
+
 def test_a_shard_of_many_blocks_finds_every_key(tmp_path):
     writer, parts = sstable.Writer(4), []
     for i in range(-500, 500):
@@ -247,6 +274,55 @@ def test_license_matches_pass_gate_and_keywords(spark):
             assert re.search(rule.pattern, norm) and any(w in norm for w in gate) and any(w in norm for w in rule.keywords)
 
 
+def brute_scan(text):
+    """Labels and score of a text, worked out without gate, keywords or windows."""
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(lower))
+    norm, found = f" {' '.join(words)} ", []
+    for rule in licenses.license_rules.rules():
+        found += [(m.start(), m.end(), rule) for m in re.finditer(rule.pattern, norm)]
+    rank = lambda d: (d[2].priority, d[1] - d[0], -d[2].number)
+    kept = [r for a, b, r in found if not any(x <= a and y >= b and rank((x, y, q)) > rank((a, b, r)) for x, y, q in found)]
+    base = {label for p, label in PHRASES if f" {p} " in norm}
+    return ",".join(sorted({r.label for r in kept} | base)), max([r.confidence for r in kept] + [0.9] * bool(base), default=0.0)
+
+
+def test_license_labels_and_scores_of_the_table_match_brute_force(spark, medium):
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{medium}/documents.parquet").collect()}
+    rows = queries.op4_license_scan(spark, medium).collect()
+    some = {r.doc_id: (r.labels, r.score) for r in rows}
+    assert len(some) == len(texts)
+    # Without any of these letters no rule's phrase can stand in a text; the others are all worked out.
+    gate = licenses.license_rules.gate(licenses.license_rules.rules())
+    norm = {i: " " + " ".join(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())) + " " for i, t in texts.items()}
+    for i, t in texts.items():
+        if i % 10 == 0 or any(w in norm[i] for w in gate):
+            assert some[i] == brute_scan(t), i
+        else:
+            assert some[i] == ("", 0.0)
+    assert sum(bool(labels) for labels, _ in some.values()) > 10
+
+
+def test_license_letters_that_lower_to_ascii(spark):
+    texts = ["Released under the \u212aDE \u0130SC License", "zl\u0130b License", "ÀÉ under the MIT License ÉÀ", "\u212a under the MIT License", "LİCENSED under MPL v2.0", "Publi\u212a"]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in rows} == {i: brute_scan(t) for i, t in enumerate(texts)}
+    assert {r.doc_id: (r.n_words, r.first_word) for r in rows if r.n_base} == {2: (6, 1), 3: (5, 1)}
+
+
+def test_every_license_rule_finds_what_it_says(spark):
+    rules, texts = licenses.license_rules.rules(), []
+    for rule in rules:
+        written = licenses.license_rules._written(rule.pattern.removeprefix("(?<= )").removesuffix("(?= )"))
+        texts += [(len(texts) + i, written[j].replace(licenses.license_rules.ANY, "x"), rule.number) for i, j in enumerate({0, len(written) // 2, len(written) - 1})]
+    found = licenses.detections(spark.createDataFrame(texts, "doc_id long, text string, rule int")).filter("label IS NOT NULL").groupBy("doc_id").agg(F.collect_list(F.struct("label", "priority", "start", "end")).alias("all")).collect()
+    by = {r.doc_id: {tuple(x) for x in r["all"]} for r in found}
+    assert len(rules) > 500 and len({r.pattern for r in rules}) == len(rules)
+    for i, text, number in texts:
+        rule = rules[number]
+        assert (rule.label, rule.priority, 1, 1 + len(text)) in by.get(i, set()), (text, rule)
+
+
 def test_license_suppression_matches_brute_force(spark):
     draw = np.random.default_rng(2)
     words = "licensed released under the terms of mit license apache version 2 0 gnu gpl v3 spdx identifier bsd style cc by nc".split()
@@ -272,6 +348,82 @@ def test_language_id(spark, medium):
     assert sum(r.lang_pred == real[r.doc_id] for r in held) / len(held) > 0.98
 
 
+def plain_grams(text):
+    """Buckets of a text's n-grams, one character at a time."""
+    mask, found = 0xFFFFFFFF, []
+    points = [ord(ch) if ch.isalpha() else 32 for ch in text.lower()]
+    for order in langid.ORDERS:
+        for i in range(len(points) - order + 1):
+            own, h = points[i : i + order], 0
+            if any(x != 32 for x in own):
+                for j, x in enumerate(own):
+                    h = (((h ^ (h >> 15)) * 0x85EBCA77) + x * 0x9E3779B1 + j + 1) & mask
+                h = ((h ^ (h >> 16)) * 0xC2B2AE3D) & mask
+                found.append(h >> 17)
+    return Counter(found)
+
+
+def test_language_id_matches_a_plain_fit_and_decoding(spark, small):
+    import xxhash
+
+    rows = spark.read.parquet(f"{small}/documents.parquet").collect()
+    grams = {r.doc_id: plain_grams(r.text or "") for r in rows}
+    train = [r for r in rows if r.lang is not None and r.text is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    names = sorted({r.lang for r in train})
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    fold = {r.doc_id: signed(xxhash.xxh64(r.text.encode(), seed=42).intdigest()) % 10 for r in train}
+    code = langid.codewords(len(names)).astype(int).tolist()
+    bits = range(len(code[0]))
+
+    def weigh(own):
+        counts = {n: Counter() for n in names}
+        for r in own:
+            counts[r.lang].update(grams[r.doc_id])
+        total = {n: sum(counts[n].values()) + 0.5 * langid.BUCKETS for n in names}
+        def weight(bucket, bit):
+            sides = {1: [], -1: []}
+            for n, word in zip(names, code):
+                sides[word[bit]].append((counts[n][bucket] + 0.5) / total[n])
+            return max(-5.0, min(5.0, math.log(sum(sides[1]) / len(sides[1])) - math.log(sum(sides[-1]) / len(sides[-1]))))
+        seen = {}
+        def margins(doc_id):
+            n = max(1, sum(grams[doc_id].values()))
+            return [sum(k * (seen[b, j] if (b, j) in seen else seen.setdefault((b, j), weight(b, j))) for b, k in grams[doc_id].items()) / n for j in bits]
+        return margins
+
+    first, whole = weigh([r for r in train if fold[r.doc_id] != 0]), weigh(train)
+    right, seen, size = {n: [0] * len(bits) for n in names}, Counter(), [0.0] * len(bits)
+    for r in train:
+        if fold[r.doc_id] == 0 and grams[r.doc_id]:
+            seen[r.lang] += 1
+            for j, m in enumerate(first(r.doc_id)):
+                right[r.lang][j] += m * code[names.index(r.lang)][j] > 0
+                size[j] += abs(m)
+    scale = [s / sum(seen.values()) for s in size]
+    trust = [[(x + 1) / (seen[n] + 2) for x in right[n]] if seen[n] else [1.0] * len(bits) for n in names]
+    for r in queries.op1_language_id(spark, small).collect():
+        if not grams[r.doc_id]:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        scaled = [max(-3.0, min(3.0, m / s)) for m, s in zip(whole(r.doc_id), scale)]
+        far = [sum(t * math.exp(-x * c) for t, x, c in zip(own, scaled, word)) / sum(own) for own, word in zip(trust, code)]
+        assert r.lang_pred == names[far.index(min(far))]
+        assert math.isclose(r.score, 1 / sum(math.exp(-4 * (d - min(far))) for d in far), rel_tol=1e-3)
+
+
+def test_language_id_learns_every_language(spark):
+    draw = np.random.default_rng(5)
+    letters = [chr(0x4E00 + i) for i in range(3000)]
+    own = {f"l{i:03}": [letters[j] for j in draw.choice(3000, 12, replace=False)] for i in range(300)}
+    rows = [(n, "".join(draw.choice(chars + [" "], 120))) for n, chars in own.items() for _ in range(1 if n < "l100" else 4)]
+    train = spark.createDataFrame(rows, "lang string, text string")
+    model = langid.fit(train)
+    assert model.languages == sorted(own)
+    asked = spark.createDataFrame([(n, "".join(draw.choice(chars, 80))) for n, chars in own.items()], "lang string, text string")
+    assert sum(r.lang == r.lang_pred for r in langid.predict(asked, model, id_col="lang").collect()) >= 295
+    assert all(r.lang == r.lang_pred for r in langid.predict(train, model, id_col="lang").collect() if r.lang < "l100")
+
+
 def test_language_id_of_odd_rows(odd, spark):
     model = langid.fit(odd)
     rows = langid.predict(odd, model).collect()
@@ -372,6 +524,50 @@ def test_language_model_probabilities_add_up():
     assert math.isclose(chances.sum(), 1, rel_tol=1e-5)
 
 
+def test_language_model_scores_match_its_weights_and_chances_add_up(spark, small, docs):
+    """Scores worked out token by token from the fitted weights, and all chances after a history summed."""
+    train = spark.read.parquet(f"{small}/documents.parquet")
+    model = language_model.fit(train)
+    lexicon, weights = model.lexicon, [w.astype(float) for w in model.weights]
+    counts = {r.word: r.n for r in model.counts.collect()}
+    got = {r.doc_id: r.score for r in language_model.score(train, model).collect()}
+    width, frequent = language_model.WIDTH, language_model.frequent_classes(lexicon.tokens)
+    softmax = lambda z: np.exp(z - np.logaddexp.reduce(z))
+    for doc_id in sorted(docs)[:12]:
+        t = language_model.tokens(pa.array([docs[doc_id][:4000]]))
+        x, total = language_model.examples(t, lexicon), 0.0
+        for i, word in enumerate(t.hashes):
+            outer = softmax(sum(weights[j][x.rows[j][i]] for j in range(3)) + weights[5][0])
+            chance = outer[x.kind[i]]
+            if x.inner[i] >= 0:
+                chance *= softmax(weights[3][x.rows[3][i]] + weights[4][x.rows[4][i]] + weights[6][x.kind[i]])[x.inner[i]]
+            else:
+                share = 10 ** lexicon.shares[x.kind[i] - frequent]
+                chance *= (counts.get(int(np.int64(word.view(np.int64))), 0) + 0.5) / share
+            total += math.log10(chance)
+        if len(docs[doc_id]) <= 4000:
+            assert math.isclose(got[doc_id], total, rel_tol=1e-4)
+    # Within a class by ending: its words outside the frequent classes, and one place for all unknown words.
+    slots = dict(zip(lexicon.words.view(np.int64).tolist(), lexicon.slots.tolist(), strict=True))
+    endings, held = Counter(), Counter()
+    for text in docs.values():
+        t = language_model.tokens(pa.array([text]))
+        endings.update(dict(zip(t.hashes.view(np.int64).tolist(), t.ending.tolist(), strict=True)).items())
+    for (word, ending), _ in endings.items():
+        if slots.get(word, -1) < 0:
+            held[ending] += counts[word] + 0.5
+    assert all(math.isclose(held[e] + 0.5, 10 ** lexicon.shares[e], rel_tol=1e-6) for e in range(language_model.ENDINGS))
+    assert (np.bincount(lexicon.slots[lexicon.slots >= 0], minlength=frequent * width)[: (lexicon.slots >= 0).sum()] == 1).all()
+
+
+def test_rows_that_are_alike_are_scored_each(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (None, "a b c"), (2, "a b d"), (None, None), (None, None)], "doc_id long, text string")
+    model = language_model.fit(docs)
+    rows = language_model.score(docs, model).collect()
+    assert sorted((str(r.doc_id), r.n_tokens, r.n_known) for r in rows) == [("1", 4, 4), ("1", 4, 4), ("2", 4, 4), ("None", 1, 1), ("None", 1, 1), ("None", 4, 4)]
+    assert len({round(r.base_score, 9) for r in rows if r.doc_id == 1}) == 1
+
+
 def test_language_model_grows_with_its_training_tokens():
     shapes = []
     for n in (1, 1 << 22, 1 << 26, 1 << 32, 1 << 36):
