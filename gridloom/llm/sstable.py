@@ -88,6 +88,8 @@ class Writer:
             shared = 0
         else:
             shared = next((i for i, (a, b) in enumerate(zip(key, self.last, strict=False)) if a != b), min(len(key), len(self.last)))
+        if len(ids) and int(ids.max()) >> 8 * self.width:
+            raise ValueError(f"id {int(ids.max())} doesn't fit {self.width} bytes")
         value = ids.astype(f"<u{self.width}").tobytes()
         self.block += bytes((shared, len(key) - shared)) + key[shared:] + _varint(len(value)) + value
         self.first = key if self.first is None else self.first
@@ -203,18 +205,21 @@ def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: in
         yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [made], "documents": [writer.documents], "tokens": [writer.tokens]}, schema=_MANIFEST)
 
 
-def write_shards(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, id_bytes: int = 2, shards: int | None = None) -> DataFrame:
+def write_shards(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 2, id_bytes: int | None = None, shards: int | None = None, folder: str | None = None) -> DataFrame:
     """Encode all texts, append ``end_id`` to each, and write shards in ascending order of the identifier.
 
     Returns the manifest, one row a shard in order: shard, path, documents, tokens, start (tokens of all shards
     before). Null texts are empty; rows with a null identifier come first; rows that repeat an identifier stay, in the
-    order of their texts' hashes. ``id_bytes`` 2 fits vocabularies under 65,536 ids. An empty table gives no shard.
+    order of their texts' hashes. ``id_bytes`` is 2 or 4, by the vocabulary's greatest id unless given; an id that doesn't
+    fit is an error. An empty table gives no shard. Shards lie in ``folder``; if none is given, in one below the shared
+    folder that goes when the application ends.
     """
     spark = df.sparkSession
+    id_bytes = id_bytes or (2 if max(end_id, wordpieces.greatest_id(tokenizer_path)) < 1 << 16 else 4)
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     dealt = rows.repartitionByRange(shards or shuffle_partitions(spark), F.col("id").asc_nulls_first(), "h").sortWithinPartitions(F.col("id").asc_nulls_first(), "h")
     dealt = dealt.select("id", "text", F.spark_partition_id().alias("shard"))
-    files = map_arrow(dealt, partial(_write, folder=fresh_dir(spark, "sstable"), path=tokenizer_path, end_id=end_id, width=id_bytes), "shard int, path string, documents long, tokens long")
+    files = map_arrow(dealt, partial(_write, folder=folder or fresh_dir(spark, "sstable"), path=tokenizer_path, end_id=end_id, width=id_bytes), "shard int, path string, documents long, tokens long")
     made, start = [], 0
     for row in sorted(files.collect()):  # one row a shard
         made.append((*row, start))

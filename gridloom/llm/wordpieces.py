@@ -1,14 +1,17 @@
 """Encoding with the tokenizers and sentencepiece libraries, each text split at safe boundaries.
 
-For the tokenizers file used here, ASCII white space is a safe boundary: its pre-tokens never hold white space, no
-normalisation joins characters across it, and no special token contains it. So the ids of a text are those of its
-words, each encoded by the library once and remembered. A word without white space, however long, goes whole.
+Where the file's own normaliser and pre-tokeniser are those of SAFE, ASCII white space is a safe boundary: pre-tokens
+never hold white space, no normalisation joins characters across it, and no special token contains it. So the ids of a
+text are those of its words, each encoded by the library once and remembered. A word without white space, however long,
+goes whole; so does every text under another file.
 """
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Iterable
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +27,21 @@ REMEMBERED, LONGEST = 500_000, 64
 JOINED, CALL_BYTES = 200, 1 << 18
 Encode = Callable[[list[str]], Iterable[list[int]]]
 
+#: Parts of a tokenizer file, fixed values: with these, and special tokens in ``<|`` and ``|>``, white space only parts words.
+SAFE = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
+#: Settings of its model, likewise.
+SAFE_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
+
 _TAIL = b".,;:!?"
 _mark = np.zeros(256, bool)
 _mark[list(_TAIL)] = True
@@ -138,7 +156,7 @@ class Memo:
 
 def library(path: str) -> tuple[Encode, Encode | None, np.ndarray | None]:
     """The function that encodes texts with the library a vocabulary file is for, without special tokens added; one for lower-case Latin words; which ids end a word."""
-    if path.endswith(".model"):
+    if not _is_json(path):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -172,6 +190,37 @@ def memo(path: str, kind: str) -> Memo:
     return _memos[path, kind]
 
 
+def _is_json(path: str) -> bool:
+    with open(path, "rb") as source:
+        return source.read(1) == b"{"
+
+
+@cache
+def _spec(path: str) -> dict:
+    """What a tokenizer file says beside its vocabulary, and its greatest id."""
+    with open(path, encoding="utf-8") as source:
+        spec = json.load(source)
+    model, added = spec["model"], spec.get("added_tokens") or []
+    ids = [t["id"] for t in added]
+    if isinstance(model.get("vocab"), dict):
+        ids += model["vocab"].values()
+    return {**{k: spec.get(k) for k in SAFE}, "added_tokens": added, "model": {k: model.get(k) for k in SAFE_MODEL}, "greatest": max(ids, default=1 << 31)}
+
+
+@cache
 def splits_at_space(path: str) -> bool:
-    """Whether ASCII white space is a safe boundary of this vocabulary: known for the word-level file only."""
-    return os.path.basename(path) == "word_bpe_49k.json"
+    """Whether ASCII white space is a safe boundary of this vocabulary, by what its file says."""
+    if not _is_json(path):
+        return False
+    spec = _spec(path)
+    plain = all(t["content"].startswith("<|") and not any(c.isspace() for c in t["content"]) and not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
+    return plain and all(spec[k] == v for k, v in SAFE.items()) and spec["model"] == SAFE_MODEL
+
+
+def greatest_id(path: str) -> int:
+    """The greatest id of a vocabulary file."""
+    if _is_json(path):
+        return _spec(path)["greatest"]
+    import sentencepiece
+
+    return sentencepiece.SentencePieceProcessor(model_file=path).get_piece_size() - 1
