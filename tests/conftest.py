@@ -8,10 +8,11 @@ os.environ["PYTHONPATH"] = os.pathsep.join([sys.path[0], os.environ.get("PYTHONP
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from gridloom.session import build
 
-    session = build("local[4]", 4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
+    shared = tmp_path_factory.mktemp("shared")
+    session = build("local[4]", 4, **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g", "spark.checkpoint.dir": f"file://{shared}"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
