@@ -1,8 +1,8 @@
 """The lenient dialect: names of Spark SQL itself. Most are the session's own functions; others are small compositions.
 
 Where this dialect gives null or wraps around instead of raising an error, the Column is made of the session's own
-expression with its evaluation mode fixed, so that the result doesn't depend on the session's ANSI setting. Casts,
-``make_date`` and ``bit_get`` raise as they do in the session.
+expression with its evaluation mode fixed, so that the result doesn't depend on the session's ANSI setting.
+``make_date`` and ``bit_get`` raise as they do in the session; a cast raises where there is no value.
 """
 
 from __future__ import annotations
@@ -51,13 +51,27 @@ def _unix_time(text: Column | None = None, pattern: Column | str = "yyyy-MM-dd H
     return expression("UnixTimestamp", text, F.lit(pattern), option(zone), False)
 
 
+def _try_cast(x: Column, kind: str) -> Column:
+    """A cast in which numbers wrap around, saturate or lose their fraction, and text may; null where there is no value."""
+    context = SparkContext._active_spark_context._jvm
+    zone = context.org.apache.spark.sql.classic.SparkSession.active().sessionState().conf().sessionLocalTimeZone()
+    legacy = context.org.apache.spark.sql.catalyst.expressions.EvalMode.LEGACY()
+    return expression("Cast", x, context.org.apache.spark.sql.types.DataType.fromDDL(kind), option(zone), legacy)
+
+
+def _cast(x: Column, kind: str) -> Column:
+    """As ``try_cast``, but an error where there is no value."""
+    made = _try_cast(x, kind)
+    return F.when(x.isNull() | made.isNotNull(), made).otherwise(F.raise_error(F.concat(F.lit(f"not a {kind}: "), x.cast("string"))).cast(kind))
+
+
 def _element_at(a: Column, at: Column) -> Column:
     return expression("ElementAt", a, at, option(None), False)
 
 
 #: Names that are operators or compositions.
 OWN: dict[str, Callable[..., Column]] = {
-    "not": lambda x: ~x, "cast": lambda x, kind: x.cast(kind), "try_cast": lambda x, kind: x.try_cast(kind), "hash_with_seed": _seeded("hash"), "xxhash64_with_seed": _seeded("xxhash64"),
+    "not": lambda x: ~x, "cast": _cast, "try_cast": _try_cast, "hash_with_seed": _seeded("hash"), "xxhash64_with_seed": _seeded("xxhash64"),
     "week_of_year": F.weekofyear, "doy": F.dayofyear, "dow": F.dayofweek, "get_timestamp": lambda s, pattern: F.try_to_timestamp(s, F.lit(pattern)), "unscaled_value": _scale,
     "make_decimal": lambda x, precision, scale: (x.cast("decimal(38,0)") / F.lit(10**scale).cast("decimal(38,0)")).cast(f"decimal({precision},{scale})"), "decimal_round": lambda x, scale=0: F.round(x, scale),
     "add": _wrapping("Add"), "subtract": _wrapping("Subtract"), "multiply": _wrapping("Multiply"), "abs": lambda x: expression("Abs", x, False), "element_at": _element_at,

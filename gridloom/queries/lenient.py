@@ -107,3 +107,17 @@ _orders("math", {
     "cents": (lambda: s("make_decimal", c("o_orderkey"), 12, 2).cast("double"), "round(o_orderkey / 100, 2)"),
     "cast_": (lambda: s("cast", c("o_totalprice"), "string").cast("double"), "o_totalprice"),
 })
+_orders("casts", {
+    "byte_wraps": (lambda: s("cast", (c("o_orderkey") * 0 + 1234567).cast("int"), "tinyint"), "(-121)::TINYINT"),
+    "real_to_byte": (lambda: s("cast", c("o_totalprice") * 0 - 12345.67, "tinyint"), "(-57)::TINYINT"),
+    "infinite": (lambda: s("cast", c("o_totalprice") * 0 + lit(float("inf")).cast("double") - 0.0, "bigint"), "9223372036854775807"),
+    "no_number": (lambda: s("cast", F.when(c("o_orderkey") >= 0, lit(float("nan"))), "int"), "0::INTEGER"),
+    "cut": (lambda: s("cast", c("o_totalprice"), "bigint"), "trunc(o_totalprice)::BIGINT"),
+    "cut_text": (lambda: s("cast", F.concat(c("o_custkey").cast("string"), lit(".87")), "int"), "o_custkey::INTEGER"),
+    "spaces": (lambda: s("cast", F.concat(lit("  "), c("o_custkey").cast("string"), lit(" ")), "bigint"), "o_custkey"),
+    "year_only": (lambda: s("cast", F.date_format("o_orderdate", "yyyy"), "date"), "CAST(date_trunc('year', o_orderdate) AS DATE)"),
+    "rest_of_date": (lambda: s("cast", F.concat(F.date_format("o_orderdate", "yyyy-M-d"), lit(" (BC)")), "date"), "CAST(o_orderdate AS DATE)"),
+    "flag": (lambda: s("cast", F.when(c("o_orderstatus") == "F", "t").otherwise("no"), "boolean"), "o_orderstatus = 'F'"),
+    "tried": (lambda: s("try_cast", c("o_orderpriority"), "int"), "CAST(NULL AS INTEGER)"),
+    "none": (lambda: s("cast", F.nullif("o_custkey", c("o_custkey")).cast("string"), "int"), "CAST(NULL AS INTEGER)"),
+})

@@ -200,3 +200,20 @@ def test_sorted_aggregate_takes_a_direction_and_place_of_nulls_for_each_key(spar
     df = spark.createDataFrame([("k", 1, None, "a"), ("k", 1, 2, "b"), ("k", 2, 1, "c"), ("k", None, 9, "d")], "k string, x int, y int, v string")
     made = op.sorted_aggregate(df, ["k"], "vs", "v", [F.desc_nulls_first("x"), F.asc_nulls_last("y")])
     assert made.first().vs == ["d", "c", "b", "a"]
+
+
+@pytest.mark.parametrize("text, kind", [("1234567", "tinyint"), ("1a", "tinyint"), ("", "tinyint"), ("1,234", "int"), ("nan", "bigint"), ("1.2.3", "float"), ("12", "boolean"), ("tru", "boolean"), ("2015-031-8", "date")])
+def test_lenient_casts_that_are_errors(spark, text, kind):
+    from gridloom.functions import spark_call as s
+
+    df = spark.createDataFrame([(text,)], "x string")
+    with pytest.raises(Exception):  # noqa: B017
+        df.select(s("cast", F.col("x"), kind)).collect()
+    assert df.select(s("try_cast", F.col("x"), kind).alias("v")).first().v is None
+
+
+@pytest.mark.parametrize("text, kind, value", [("1.23444", "tinyint", 1), (".2355", "tinyint", 0), ("-1.8", "tinyint", -1), ("+1", "tinyint", 1), ("1.", "tinyint", 1), ("0.", "tinyint", 0), (".", "tinyint", 0), ("1.7E308", "float", math.inf)])
+def test_lenient_casts_of_text(spark, text, kind, value):
+    from gridloom.functions import spark_call as s
+
+    assert spark.createDataFrame([(text,)], "x string").select(s("cast", F.col("x"), kind).alias("v")).first().v == value
