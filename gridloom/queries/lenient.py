@@ -121,3 +121,43 @@ _orders("casts", {
     "tried": (lambda: s("try_cast", c("o_orderpriority"), "int"), "CAST(NULL AS INTEGER)"),
     "none": (lambda: s("cast", F.nullif("o_custkey", c("o_custkey")).cast("string"), "int"), "CAST(NULL AS INTEGER)"),
 })
+_orders("names", {
+    "transformed": (lambda: s("transform", _list(), lambda x: x * 2), "[o_orderkey * 2, o_custkey * 2, o_orderkey * 2 + 2]"),
+    "filtered": (lambda: s("filter", _list(), lambda x: x > 100), "list_filter([o_orderkey, o_custkey, o_orderkey + 1], lambda x: x > 100)"),
+    "some_keys": (lambda: F.map_keys(s("map_filter", _map(), lambda k, v: k == "b")), "['b']"),
+    "common": (lambda: s("array_intersect", _list(), F.array("o_custkey")), "[o_custkey]"),
+    "least_of": (lambda: s("array_min", _list()), "least(o_orderkey, o_custkey)"),
+    "most_of": (lambda: s("array_max", _list()), "greatest(o_orderkey + 1, o_custkey)"),
+    "in_order": (lambda: s("array_sort", _list()), "list_sort([o_orderkey, o_custkey, o_orderkey + 1])"),
+    "paired": (lambda: F.element_at(s("map", c("o_orderstatus"), c("o_custkey")), c("o_orderstatus")), "o_custkey"),
+    "joined": (lambda: s("concat", c("o_orderstatus"), lit("-"), c("o_orderpriority")), "o_orderstatus || '-' || o_orderpriority"),
+    "letter": (lambda: s("chr", F.pmod("o_orderkey", lit(26)) + 65), "chr((o_orderkey % 26 + 65)::INTEGER)"),
+    "filled": (lambda: s("lpad", c("o_orderstatus"), lit(4), lit("xy")), "lpad(o_orderstatus, 4, 'xy')"),
+    "filled_after": (lambda: s("rpad", c("o_orderstatus"), lit(4), lit("xy")), "rpad(o_orderstatus, 4, 'xy')"),
+    "extracted": (lambda: s("regexp_extract", c("o_orderpriority"), "([0-9])-([A-Z]+)", 2), "regexp_extract(o_orderpriority, '([0-9])-([A-Z]+)', 2)"),
+    "pieces": (lambda: s("split", c("o_orderpriority"), "-"), "string_split(o_orderpriority, '-')"),
+    "smaller": (lambda: s("least", F.nullif("o_custkey", lit(3)), c("o_orderkey")), "least(nullif(o_custkey, 3), o_orderkey)"),
+    "has": (lambda: s("contains", c("o_orderpriority"), lit("OW")), "contains(o_orderpriority, 'OW')"),
+    "trimmed": (lambda: s("trim", F.concat(lit(" "), "o_orderstatus", lit(" "))), "o_orderstatus"),
+    "trimmed_before": (lambda: s("ltrim", F.concat(lit(" "), "o_orderstatus", lit(" "))), "o_orderstatus || ' '"),
+    "trimmed_after": (lambda: s("rtrim", F.concat(lit(" "), "o_orderstatus", lit(" "))), "' ' || o_orderstatus"),
+    "replaced": (lambda: s("replace", c("o_orderpriority"), lit("-"), lit("+")), "replace(o_orderpriority, '-', '+')"),
+    **{n: (lambda n=n: s(n, _day()), f"{d}(o_orderdate)") for n, d in (("year", "year"), ("quarter", "quarter"), ("month", "month"), ("day", "day"), ("week_of_year", "weekofyear"), ("doy", "dayofyear"))},
+    "hour_": (lambda: s("hour", c("o_orderdate")), "hour(o_orderdate)"),
+    "drawn": (lambda: s("random", lit(3)).between(0, 1), "true"),
+    **{f"{n}_": (lambda n=n: F.round(s(n, _half()), 8), f"round({n}((o_orderkey % 9) / 10), 8)") for n in ("acos", "cosh", "exp")},
+    **{f"{n}_": (lambda n=n: F.round(s(n, _half() + 1), 8), f"round({n}((o_orderkey % 9) / 10 + 1), 8)") for n in ("log2", "log10")},
+    "angle": (lambda: F.round(s("atan2", _half(), lit(2.0)), 8), "round(atan2((o_orderkey % 9) / 10, 2), 8)"),
+    "raised": (lambda: F.round(s("power", _half(), lit(2.0)), 8), "round(pow((o_orderkey % 9) / 10, 2), 8)"),
+    "rounded": (lambda: s("round", c("o_totalprice"), 0), "round(o_totalprice, 0)"),
+    "up": (lambda: s("ceil", c("o_totalprice")), "ceil(o_totalprice)::BIGINT"),
+    "down": (lambda: s("floor", c("o_totalprice")), "floor(o_totalprice)::BIGINT"),
+    "hexed": (lambda: s("hex", c("o_orderkey")), "hex(o_orderkey)"),
+    "ones": (lambda: s("bit_count", c("o_orderkey")), "bit_count(o_orderkey)::INTEGER"),
+    "no_number": (lambda: s("isnan", c("o_totalprice")), "false"),
+    "within": (lambda: s("between", c("o_custkey"), lit(10), lit(90)), "o_custkey BETWEEN 10 AND 90"),
+    "among": (lambda: s("in", c("o_orderstatus"), "F", "P"), "o_orderstatus IN ('F', 'P')"),
+    "both": (lambda: s("bitwise_and", c("o_orderkey"), c("o_custkey")), "o_orderkey & o_custkey"),
+    "either": (lambda: s("bitwise_or", c("o_orderkey"), c("o_custkey")), "o_orderkey | o_custkey"),
+    "one_of": (lambda: s("bitwise_xor", c("o_orderkey"), c("o_custkey")), "xor(o_orderkey, o_custkey)"),
+})

@@ -217,3 +217,7 @@ def test_lenient_casts_of_text(spark, text, kind, value):
     from gridloom.functions import spark_call as s
 
     assert spark.createDataFrame([(text,)], "x string").select(s("cast", F.col("x"), kind).alias("v")).first().v == value
+
+
+def test_an_empty_sketch_estimates_nothing(spark):
+    assert spark.range(5).agg(F.hll_sketch_estimate(strict("empty_approx_set")).alias("v")).first().v == 0
