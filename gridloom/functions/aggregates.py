@@ -97,6 +97,15 @@ def weighted_percentile(df: DataFrame, keys: Sequence[str], x: str, weight: str,
     return reached.filter(F.col("_to") >= F.col("_all") * p).groupBy(*keys).agg(F.min_by((F.col("_low") + F.col("_high")) / 2, "_b").alias(name))
 
 
+def reduce_agg(df: DataFrame, keys: Sequence[str], x: str, start: Column, step: Callable[[Column, Column], Column], combine: Callable[[Column, Column], Column], name: str) -> DataFrame:
+    """A fold of each group by ``step``, whose order must not matter: each task's rows first, then what these gave, by ``combine``.
+
+    No list is longer than a task's rows or the number of tasks, however large a group is.
+    """
+    parts = df.select(*keys, F.spark_partition_id().alias("_task"), F.col(x).alias("_x")).groupBy(*keys, "_task").agg(F.aggregate(F.collect_list("_x"), start, step).alias("_part"))
+    return parts.groupBy(*keys).agg(F.aggregate(F.collect_list("_part"), start, combine).alias(name))
+
+
 def histogram(df: DataFrame, keys: Sequence[str], x: str, name: str) -> DataFrame:
     """Counts of each value in a map, by key: counted in two steps, so that only distinct values meet."""
     counted = df.filter(F.col(x).isNotNull()).groupBy(*keys, x).agg(F.count("*").alias("_n"))

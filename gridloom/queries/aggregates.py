@@ -107,6 +107,10 @@ QUERIES["agg_reduce_agg"] = (
     lambda spark, sf_dir: tables(spark, sf_dir).orders.groupBy("o_custkey").agg(agg("reduce_agg", _c("o_orderkey"), F.lit(7).cast("long"), lambda s, x: F.greatest(s, F.pmod(x, F.lit(1013)))).alias("v")),
     "SELECT o_custkey, greatest(7, max(o_orderkey % 1013))::BIGINT AS v FROM orders GROUP BY o_custkey",
 )
+QUERIES["agg_reduce_agg_by_task"] = (
+    lambda spark, sf_dir: A.reduce_agg(tables(spark, sf_dir).lineitem, ["l_returnflag"], "l_orderkey", F.lit(0).cast("long"), lambda s, x: s + F.pmod(x, F.lit(7)), lambda a, b: a + b, "v"),
+    "SELECT l_returnflag, sum(l_orderkey % 7)::BIGINT AS v FROM lineitem GROUP BY l_returnflag",
+)
 QUERIES["agg_most_frequent"] = (
     lambda spark, sf_dir: A.most_frequent(tables(spark, sf_dir).lineitem, ["l_returnflag"], "l_quantity", 3, "m").select("l_returnflag", F.explode("m").alias("k", "n")),
     "SELECT l_returnflag, k, n FROM (SELECT l_returnflag, l_quantity AS k, count(*) AS n FROM lineitem GROUP BY l_returnflag, l_quantity) QUALIFY row_number() OVER (PARTITION BY l_returnflag ORDER BY n DESC, k) <= 3",
