@@ -226,3 +226,25 @@ def test_resample_takes_equal_rows_each_on_its_own(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, m map<string,int>")
     taken = Counter(r.source for r in mixing.resample(docs, weights=(1, 1)).collect())
     assert abs(taken["a"] * 4 - 607.5) <= 4 and abs(taken["b"] * 5 - 607.5) <= 5  # 1.5 times 810 words, halved
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace as Fake
+
+    from gridloom.llm import _common
+
+    def session(master, folder=None):
+        nothing = Fake(isEmpty=lambda: True)
+        conf = Fake(get=lambda name, default=None: folder)
+        return Fake(conf=Fake(get=lambda name, default=None: None), sparkContext=Fake(master=master, getConf=lambda: conf, _jsc=Fake(sc=lambda: Fake(getCheckpointDir=lambda: nothing))))
+
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(RuntimeError):
+            _common.shared_dir(session(master))
+    assert _common.shared_dir(session("yarn", "hdfs://all/share/")) == "hdfs://all/share"
+
+
+def test_partitions_of_small_frames(spark):
+    from gridloom.llm import _common
+
+    assert [_common.parts_for(spark, n, 100) for n in (0, 1, 100, 101, 10**9)] == [1, 1, 1, 2, _common.shuffle_partitions(spark)]
