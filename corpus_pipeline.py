@@ -48,10 +48,11 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text is an empty text. A null id is less than any other; of rows that repeat both id and text, one stays.
     """
     rows, names = numbered(docs)
-    kept = exact_dedup.exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).distinct()
-    rows = rows.withColumn("sha_", digest(F.col(names["text"])))
-    left = rows.join(kept, F.col(names["doc_id"]).eqNullSafe(kept["id"]) & (F.col("sha_") == kept["sha"]), "left_semi")
-    return left.dropDuplicates(["sha_"]).drop("sha_").toDF(*docs.columns)
+    key = lambda doc_id, sha: F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), sha)
+    kept = exact_dedup.exact_duplicates(docs).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("key")).distinct()
+    keyed = rows.withColumn("key", key(F.col(names["doc_id"]), digest(F.col(names["text"]))))
+    # One id a text is left, so one row a key is one row a text: by the partitions that the join has made.
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*rows.columns).toDF(*docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
