@@ -186,18 +186,15 @@ _MANIFEST = pa.schema([("shard", pa.int32()), ("path", pa.string()), ("documents
 
 
 def _write(batches: Iterator[pa.RecordBatch], folder: str, path: str, end_id: int, width: int) -> Iterator[pa.RecordBatch]:
-    words, shard, writer = wordpieces.memo(path, "packed"), None, Writer(width)
-    whole = not wordpieces.splits_at_space(path)
+    memo, shard, writer = wordpieces.memo(path, "packed"), None, Writer(width)
 
     def parts() -> Iterator[bytes]:
         nonlocal shard
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             shard = batch.column("shard")[0].as_py()
-            split = [[(t or "").encode()] for t in batch.column("text").to_pylist()] if whole else wordpieces.split(batch.column("text"))
-            known = words.know([w for s in split for w in s])
-            for identifier, s in zip(batch.column("id").to_pylist(), split, strict=True):
-                ids = np.frombuffer(b"".join(map(known.__getitem__, s)), "<u4")
-                yield from writer.add(identifier, np.append(ids, np.uint32(end_id)))
+            ids, offsets = wordpieces.encode(batch.column("text"), memo)
+            for identifier, a, b in zip(batch.column("id").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                yield from writer.add(identifier, np.append(ids[a:b], np.uint32(end_id)))
         yield from writer.finish()
 
     made = write_file(folder, "shard", parts())

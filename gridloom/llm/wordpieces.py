@@ -42,7 +42,9 @@ SAFE = {
 #: Settings of its model, likewise.
 SAFE_MODEL = {"type": "BPE", "dropout": None, "continuing_subword_prefix": None, "end_of_word_suffix": "</w>", "fuse_unk": False, "byte_fallback": False, "ignore_merges": False}
 
+#: ASCII punctuation that may end a word: what ``split`` parts by itself, and all that a memo parts (no apostrophe, nothing of a special token).
 _TAIL = b".,;:!?"
+_TAILS = _TAIL + b'"#$%&()*+-/=@[\\]^_`{}~'
 _mark = np.zeros(256, bool)
 _mark[list(_TAIL)] = True
 #: Second bytes of the two-byte letters that begin with C3: all but the signs for times and divided by.
@@ -51,8 +53,8 @@ _second[0x80:0xC0] = True
 _second[[0x97, 0xB7]] = False
 
 
-def split(column: pa.Array) -> list[list[bytes]]:
-    """For each text the words that may be encoded one by one; null is empty.
+def _parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, where marks are to be parted from the word before them, and the offsets of each text; null is empty.
 
     A text of Latin-1 characters without the opening of a special token is lowered (its ASCII letters; the vocabulary's
     normaliser does so anyway, and no combining mark can follow one), and a mark that ends a word of letters is parted
@@ -60,7 +62,7 @@ def split(column: pa.Array) -> list[list[bytes]]:
     """
     raw, offsets = textnum.buffer_of(column)
     if not len(raw):
-        return [[] for _ in range(len(offsets) - 1)]
+        return raw, np.zeros(0, np.int64), offsets
     after = np.append(raw[1:], np.uint8(32))
     odd = np.flatnonzero((raw >= 0xC4) | ((raw == 60) & (after == 124)))
     plain = np.ones(len(offsets) - 1, bool)
@@ -75,11 +77,55 @@ def split(column: pa.Array) -> list[list[bytes]]:
     letter = ((before >= 97) & (before <= 122)) | (_second[before] & (low[np.maximum(at - 2, 0)] == 0xC3))
     first = np.zeros(len(raw) + 1, bool)
     first[offsets] = True
-    at = at[letter & ~first[at]]
+    return low, at[letter & ~first[at]], offsets
+
+
+def split(column: pa.Array) -> list[list[bytes]]:
+    """For each text the words that may be encoded one by one; null is empty."""
+    low, at, offsets = _parts(column)
     data, cuts = np.insert(low, at, 32).tobytes(), (offsets + np.searchsorted(at, offsets)).tolist()
     return [data[a:b].split() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
 
 
+def _distinct(column: pa.Array) -> tuple[list[bytes], pa.Array, np.ndarray]:
+    """The different words of ``split``, the place among them of each word of all texts, and the offsets of each text's words."""
+    low, at, offsets = _parts(column)
+    held = ~textnum._space[low]
+    starts = held.copy()
+    starts[1:] &= ~held[:-1]
+    starts[at] = True
+    starts[offsets[:-1][np.diff(offsets) > 0]] = True
+    starts &= held
+    bounds = np.append(np.flatnonzero(starts[held]), np.count_nonzero(held))
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), pa.py_buffer(low[held])])
+    coded = words.dictionary_encode()
+    data, ends = _content(coded.dictionary)
+    data, ends = data.tobytes(), ends.tolist()
+    return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], coded.indices, np.searchsorted(np.flatnonzero(starts), offsets)
+
+
+def _content(column: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of an array of its own buffers, and the offsets of each value."""
+    _, ends, data = column.buffers()
+    ends = np.frombuffer(ends, np.int64)[: len(column) + 1] if len(column) else np.zeros(1, np.int64)
+    return np.frombuffer(data, np.uint8)[: ends[-1]] if ends[-1] else np.zeros(0, np.uint8), ends
+
+
+def encode(column: pa.Array, memo: Memo) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, and the offsets of each text's; null is empty.
+
+    A word is looked up once however often it occurs: no Python object is made for its other places.
+    """
+    if memo.ends is None:  # no boundary is known to be safe
+        words = [(t or "").encode() for t in column.to_pylist()]
+        places, cuts = pa.array(np.arange(len(words))), np.arange(len(words) + 1)
+    else:
+        words, places, cuts = _distinct(column)
+    known = memo.know(words)
+    data, ends = _content(pa.array([known[w] for w in words], pa.large_binary()).take(places))
+    return data.view("<u4"), ends[cuts] // 4
+
+
 class Memo:
     """A value of the packed ids of words that adds up when words are joined; the last ``REMEMBERED`` to twice as many words are looked up, not encoded.
 
@@ -98,12 +144,11 @@ class Memo:
         """A mapping that holds the value of every word of the list, until the next call."""
         for word in self.long:
             self.young.pop(word, None)
-        new = set(words)
-        new.difference_update(self.young)
+        new = {w for w in words if w not in self.young}
         if len(self.young) + len(new) > REMEMBERED:
             self.old, self.young = self.young, {}
             new = set(words)
-        back = new & self.old.keys()
+        back = {w for w in new if w in self.old}
         for word in back:
             self.young[word] = self.old[word]
         new -= back
@@ -116,9 +161,12 @@ class Memo:
             return dict(zip(words, self._call(self.encode, [w.decode() for w in words]), strict=True))
         latin, letters, others, found, parts = set(), set(), set(), {}, []
         for word in words:
+            if word.isalpha() and word.islower():  # of ASCII letters
+                latin.add(word)
+                continue
             text, core = word.decode(), word
             if not text.isalpha():
-                core = word.rstrip(_TAIL)
+                core = word.rstrip(_TAILS)
                 text = text[: len(core) - len(word)]
                 if len(core) == len(word) or not text.isalpha() or not text.lower().isalpha():
                     others.add(word)

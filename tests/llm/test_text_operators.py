@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -63,6 +64,50 @@ def test_words_encode_as_the_whole_text(text):
     assert made == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+def test_ids_of_a_batch_are_those_of_its_texts():
+    from tokenizers import Tokenizer
+
+    path, chance = P.path("word_bpe_49k.json"), random.Random(3)
+    library, memo = Tokenizer.from_file(path), wordpieces.memo(path, "packed")
+    odd = ["", None, " \t", "a$$$ b%%% cé$ ﬁ~ ΑΣ] x's' <|endoftext|>) a<| b|> c=\u0338 ½* ²- 日本) ʰ_", "x", " y.", "İ$$$ e\u0301$"]
+    odd += ["".join(chance.choice("ab éÉΣ日½<|>$%'=~.,\u0301\u0338\n ") for _ in range(80)) for _ in range(200)]
+    for kind in (pa.string(), pa.large_string()):
+        ids, offsets = wordpieces.encode(pa.array(["before", *odd], kind).slice(1), memo)
+        made = [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        assert made == [library.encode(t or "", add_special_tokens=False).ids for t in odd]
+    other = wordpieces.memo(P.path("piece_bpe_32k.model"), "packed")
+    ids, offsets = wordpieces.encode(pa.array(["a b", None, "c d é"]), other)
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == list(other.encode(["a b", "", "c d é"]))
+
+
+def test_a_shard_looks_up_each_different_word_of_a_batch_once(monkeypatch, tmp_path):
+    asked, know = [], wordpieces.Memo.know
+    monkeypatch.setattr(wordpieces.Memo, "know", lambda self, words: asked.extend(words) or know(self, words))
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2], "text": ["a cat. " * 5000, "A  cat"], "shard": pa.array([0, 0], pa.int32())})
+    (made,) = sstable._write(iter([batch]), str(tmp_path), P.path("word_bpe_49k.json"), 2, 2)
+    assert sorted(asked) == [b".", b"a", b"cat"]
+    assert [(i, len(ids)) for i, ids in sstable.Table(made.column("path")[0].as_py())] == [(1, 15_001), (2, 3)]
+
+
+def test_a_memo_is_asked_without_a_walk_over_what_it_holds():
+    class Unwalked(dict):
+        def __iter__(self):
+            raise AssertionError("all words of the memo are walked")
+
+    memo = wordpieces.Memo(*wordpieces.library(P.path("word_bpe_49k.json")), lambda ids: ids)
+    memo.young = Unwalked(memo.know([b"cat", b"dog"]))
+    assert len(memo.know([b"cat", b"bird"])[b"bird"]) >= 4
+
+
+def test_words_that_end_in_punctuation_share_the_encoding_of_their_letters():
+    memo = wordpieces.Memo(*wordpieces.library(P.path("word_bpe_49k.json")), lambda ids: ids)
+    sent, encode = [], memo.encode
+    memo.encode = lambda texts: sent.extend(texts) or encode(texts)
+    words = [b"cat$$$", b"dog$$$", b"bird$$$"]
+    known = memo.know(words)
+    assert sent == ["$$$"] and len({known[w] for w in words}) == 3
+
+
 def test_segments_join_to_the_text_and_cut_at_space():
     text = (b"ab cd\tef\n" * 1000) + b"x" * 5000 + b" y"
     parts = list(token_counts.segments(text, 500))
