@@ -83,6 +83,14 @@ def top_values_by(df: DataFrame, keys: Sequence[str], x: str, y: str, n: int, na
     return ranked.groupBy(*keys).agg(F.transform(F.array_compact(F.array(*places)), lambda s: s["v"]).alias(name))
 
 
+def count_distinct(df: DataFrame, keys: Sequence[str], x: str, name: str) -> DataFrame:
+    """The number of distinct values of each group, not counting null, by rows of a value each.
+
+    In one grouping with sketches, Spark would keep a state of every sketch for each distinct value of a group.
+    """
+    return df.select(*keys, x).distinct().groupBy(*keys).agg(F.count(x).alias(name))
+
+
 def weighted_percentile(df: DataFrame, keys: Sequence[str], x: str, weight: str, p: float, name: str, error: float = 0.001) -> DataFrame:
     """A value of each group near its weighted percentile ``p``: within ``error`` of the least one that has this share at or below it, relative to it.
 

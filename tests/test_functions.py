@@ -221,3 +221,22 @@ def test_lenient_casts_of_text(spark, text, kind, value):
 
 def test_an_empty_sketch_estimates_nothing(spark):
     assert spark.range(5).agg(F.hll_sketch_estimate(strict("empty_approx_set")).alias("v")).first().v == 0
+
+
+@pytest.mark.parametrize("name", ["agg_sketches", "agg_approx_distinct_error"])
+def test_sketches_are_not_kept_for_each_distinct_value(spark, small, name):
+    from gridloom import queries as registry
+
+    plan = registry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    by_part = [line for line in plan.splitlines() if "l_partkey" in line.partition("keys=")[2].partition("functions=")[0]]
+    assert by_part and all("functions=[]" in line for line in by_part)
+
+
+def test_sketches_of_the_null_flag_and_of_a_flag_without_parts(spark, tmp_path):
+    from gridloom import queries as registry
+
+    rows = [(None, 1, 7, 5.0), (None, 2, 8, 5.0), ("A", 3, None, 6.0), ("R", 4, 9, None)]
+    spark.createDataFrame(rows, "l_returnflag string, l_orderkey long, l_partkey long, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name in ("agg_sketches", "agg_approx_distinct_error"):
+        made = [tuple(r) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+        assert {r[0] for r in made} == {None, "A", "R"} and len(made) == 3 and all(v is True for r in made for v in r[1:]), made
