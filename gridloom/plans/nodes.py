@@ -120,7 +120,9 @@ class Join(Node):
         return self.left.widths() | self.right.widths()
 
     def lower(self):
-        return self.left.lower().join(self.right.lower(), F.col(self.left_key) == F.col(self.right_key))
+        """A right side with vectors is shuffled, not broadcast: the planner counts a vector as one number, so what it takes for small would fill the driver."""
+        right = self.right.lower()
+        return self.left.lower().join(right.hint("merge") if self.right.widths() else right, F.col(self.left_key) == F.col(self.right_key))
 
     def key(self):
         return f"join({self.left_key}={self.right_key})[{self.left.key()},{self.right.key()}]"

@@ -192,3 +192,22 @@ def test_join_orders_that_are_errors(spark):
             join_in_order(order, {"a": frame})
     same = join_in_order('[{"ID": "0", "Left": "a", "Right": "b", "ProbeKeys": "id", "BuildKeys": "id"}]', {"a": frame, "b": frame.selectExpr("id", "id * 2 AS twice")})
     assert sorted(map(tuple, same.collect())) == [(0, 0), (1, 2), (2, 4)]
+
+
+def test_sides_with_vectors_are_not_broadcast(spark, sides):
+    def joins(df):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]  # the last one, of the sizes met
+        return "SortMergeJoin" in plan, "BroadcastHashJoin" in plan
+
+    assert joins(Join(*sides, "k", "rk").lower()) == (True, False)
+    names = Source("names", spark.createDataFrame([(i, f"n{i}") for i in range(7)], "lid int, name string"), 7)
+    assert joins(Join(sides[0], names, "k", "lid").lower()) == (False, True)
+
+
+@pytest.mark.parametrize("name, keys", [(f"wl_two_tower_{mode}", "ui") for mode in ("none", "factorise", "tree", "heuristic")] + [(f"wl_fraud_{mode}", ("sender",)) for mode in ("none", "relation", "tree")])
+def test_workloads_shuffle_their_vectors(spark, small, name, keys):
+    from gridloom import queries as registry
+
+    plan = registry.queries()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert all(f"SortMergeJoin [{key}#" in plan for key in keys)
